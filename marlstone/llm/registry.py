@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_files
+from . import exact_dedup, packing, simhash, token_files
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_token_files": token_files.op10_token_files,
 }
 
