@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -37,6 +38,16 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.lowers = '"Lowercase"' in self.model.to_str()[: 4 << 10] or "Lowercase" in str(self.model.normalizer)
         self.generation = generation
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.parts = None
+        if suffix and self.lowers:
+            import regex
+
+            for token, i in self.model.get_vocab(with_added_tokens=False).items():
+                self.ends[i] = token.endswith(suffix)
+            # Fixed value: the pattern by which this vocabulary splits text before its merges.
+            self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -53,6 +64,39 @@ class WordTokenizer:
             raw = raw.lower()  # ASCII letters only; the model lowers the rest
         return raw.split()
 
+    def _missing(self, words: list[str]) -> list[bytes]:
+        """Ids of words that no cache has: by way of their parts where the vocabulary marks the end of each part."""
+        if self.parts is None:
+            return self._encode_words(words)
+        young, old, split, new = self.young, self.old, [], {}
+        for w in words:
+            if w.isalpha() or "<|" in w or not (w.isascii() or unicodedata.is_normalized("NFC", w)):
+                split.append((w,))
+                new[w] = None
+            else:
+                split.append(own := self.parts.findall(w))
+                for p in own:
+                    key = p.encode()
+                    ids = young.get(key) or old.get(key)
+                    new[p] = ids
+        wanted = [p for p, ids in new.items() if ids is None]
+        for p, ids in zip(wanted, self._encode_parts(wanted), strict=True):
+            new[p] = ids
+            if len(p) < 32:
+                young[p.encode()] = ids
+        return [new[own[0]] if len(own) == 1 else b"".join(map(new.__getitem__, own)) for own in split]
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """As `_encode_words`; a part ends with the token that says so, and if that doesn't add up, offsets decide."""
+        if not parts:
+            return []
+        ids = np.array(self.model.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(parts) or ends[-1] != len(ids):
+            return self._encode_words(parts)
+        raw, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, from one text that holds them all: a token belongs to the word in which it starts."""
         starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
@@ -80,7 +124,7 @@ class WordTokenizer:
             table[w] = ids
         for k in range(0, len(missing), 1000):
             part = missing[k : k + 1000]
-            for w, ids in zip(part, self._encode_words([w.decode("utf-8", "replace") for w in part]), strict=True):
+            for w, ids in zip(part, self._missing([w.decode("utf-8", "replace") for w in part]), strict=True):
                 young[w] = table[w] = ids
         if len(young) > self.generation:
             self.old, self.young = young, {}
