@@ -131,8 +131,10 @@ def tools() -> dict:
         at = r"(?: ?[\[({<] ?(?:at|@|arroba|ät) ?[\])}>] ?|[ _-]at[ _-]| @ )"
         word = r"[A-Za-z0-9_%+-]++"
         host = r"[A-Za-z0-9-]++"
+        # A local part has up to nine words, so each start is given up soon.
         # A plain " at " or " dot " is a disguise only if a whole address stands around it.
-        store["address"] = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>{word}(?:(?:\.|{dot}){word})*+)(?P<at>@|{at})(?P<domain>{host}(?:(?:\.|{dot}){host})++)", re.I)
+        store["address"] = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>{word}(?:(?:\.|{dot}){word}){{0,8}}+)(?P<at>@|{at})(?P<domain>{host}(?:(?:\.|{dot}){host})++)", re.I)
+        store["dotted"] = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{dot})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
         store["dot"] = re.compile(dot, re.I)
         # A look that costs little: a disguise has brackets around its words, or a spelled dot.
         store["hint"] = re.compile(r"[\[({<] ?(?:at|@|arroba|ät|dot|punto|punkt|point|\.) ?[\])}>]|[ _-]dot[ _-]| @ ", re.I)
@@ -191,6 +193,7 @@ def spelled_digits(copy: Copy) -> None:
 
 
 def addresses(copy: Copy) -> None:
+    """At and dot disguises of e-mail addresses, and dot disguises of ip addresses."""
     t, changes = tools(), []
     for m in t["address"].finditer(copy.text):
         for part, new in (("local", "."), ("at", "@"), ("domain", ".")):
@@ -201,6 +204,7 @@ def addresses(copy: Copy) -> None:
             else:
                 changes += [(a + d.start(), a + d.end(), new) for d in t["dot"].finditer(m[part])]
     copy.rewrite(changes)
+    copy.rewrite([(m.start() + d.start(), m.start() + d.end(), ".") for m in t["dotted"].finditer(copy.text) for d in t["dot"].finditer(m[0])])
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:

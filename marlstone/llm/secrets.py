@@ -36,8 +36,9 @@ CONTEXT_WORDS = ("password", "passphrase", "passwd", "passcode", "pwd", "secret"
 SURROUNDING = 256
 #: A candidate starts within so many characters after its context word.
 REACH = 40
-#: Marginal bytes a character from which a candidate is incompressible; random base64 takes 0.75, random hexadecimal 0.5.
-NOVEL, NOVEL_HEX = 0.62, 0.45
+#: Marginal bytes a character from which a candidate is incompressible.  Random base64 takes 0.75 and random hexadecimal
+#: 0.5 where the literals are entropy-coded, and both nearly 1 where the surroundings are too short for that.
+NOVEL, NOVEL_HEX = 0.7, 0.5
 LEAST_LENGTH = 16
 CONTEXT = re.compile(r"(?<![A-Za-z])(?:" + "|".join(sorted(map(re.escape, CONTEXT_WORDS), key=len, reverse=True)) + r")(?![a-z])", re.I | re.A)
 CONTEXT_STEMS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "session", "webhook")
@@ -77,7 +78,7 @@ def compressor():
 
         parts = IDENTIFIER_PARTS.split()
         joined = [a + b.title() for a in parts[:40] for b in parts[40:90:3]] + [f"{a}_{b}" for a in parts[40:80] for b in parts[80:120:4]]
-        words = " ".join([*joined, *parts, *CONTEXT_WORDS])
+        words = " ".join([*joined, *parts, *(p.title() for p in parts), *CONTEXT_WORDS])
         primed = zstandard.ZstdCompressionDict(words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         store["c"] = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_dict_id=False)
     return store["c"]
