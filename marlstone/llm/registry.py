@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash, token_files
+from . import exact_dedup, line_dedup, packing, pii, secrets, sharding, simhash, token_files
 
 QUERIES = {
+    "op1_pii_deobfuscation": pii.op1_pii_deobfuscation,
+    "op2_bounded_ring_sharding": sharding.op2_bounded_ring_sharding,
+    "op3_secret_novelty": secrets.op3_secret_novelty,
+    "op4_line_chunk_dedup": line_dedup.op4_line_chunk_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
@@ -12,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_line_chunk_dedup": line_dedup.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
