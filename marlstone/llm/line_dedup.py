@@ -58,8 +58,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"), F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_row"))
     texts = rows.select("_id", "_hash", "_text")
 
-    # Hashes of all multi-line chunks, and of these the ones that occur more than once.
-    chunks = with_chunks(texts.filter(F.contains("_text", F.lit("\n"))), "_text").select("_id", "_hash", F.posexplode("_chunks").alias("_place", "_chunk"))
+    # Hashes of all multi-line chunks, and of these the ones that occur more than once.  The outer form of explode keeps
+    # Catalyst from inferring a filter on the array, which it would push down by repeating the whole chain per element.
+    chunks = with_chunks(texts.filter(F.contains("_text", F.lit("\n"))), "_text").select("_id", "_hash", F.posexplode_outer("_chunks").alias("_place", "_chunk"))
     several = F.contains("_chunk", F.lit("\n")) & F.rlike("_chunk", F.lit(r"[^ \x09-\x0D]"))
     refs = materialise(chunks.filter(several).select("_id", "_hash", "_place", F.xxhash64("_chunk").alias("_of")), "line-chunks")
     repeated = refs.groupBy("_of").count().filter("count > 1").select("_of")
@@ -67,7 +68,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     # Their bytes, from the documents that hold them; the first of each group of equal bytes stays.
     places = nominated.groupBy("_id", "_hash").agg(F.collect_set("_place").alias("_places"))
-    fetched = with_chunks(_by_row(texts.dropDuplicates(["_id", "_hash"]), places, "inner"), "_text").select("_id", "_hash", F.explode("_places").alias("_place"), "_chunks")
+    fetched = with_chunks(_by_row(texts.dropDuplicates(["_id", "_hash"]), places, "inner"), "_text").select("_id", "_hash", F.explode_outer("_places").alias("_place"), "_chunks")
     fetched = fetched.select("_id", "_hash", "_place", F.get("_chunks", F.col("_place")).alias("_chunk"))
     first = fetched.groupBy("_chunk").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_place", "_hash")).alias("f")).select("f._id", "f._hash", "f._place")
     gone = _by_row(nominated.select("_id", "_hash", "_place").distinct(), materialise(first, "first-chunks"), "left_anti", "_place")
