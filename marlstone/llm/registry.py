@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, pii, secrets, sharding, simhash, token_files
+from . import exact_dedup, line_dedup, packing, pii, quality, secrets, sharding, simhash, token_files
 
 QUERIES = {
     "op1_pii_deobfuscation": pii.op1_pii_deobfuscation,
     "op2_bounded_ring_sharding": sharding.op2_bounded_ring_sharding,
     "op3_secret_novelty": secrets.op3_secret_novelty,
     "op4_line_chunk_dedup": line_dedup.op4_line_chunk_dedup,
+    "op5_risk_controlled_quality": quality.op5_risk_controlled_quality,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
