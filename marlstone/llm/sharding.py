@@ -6,9 +6,10 @@ what a full shard can't take continues clockwise to the owner of the next arc.
 the number of rows, so all shards end up full and their counts differ by one at most.
 
 Spark counts the rows of each cell, which is a place on the ring and one of SPLITS parts of its rows, so a key that holds
-a third of all rows is spread over as many tasks.  The cells are 2**RING_BITS * SPLITS at most whatever the data; from
-their counts the driver works out which ranks of a cell go to which shard.  Rows get their rank in the cell by a window
-and find their shard by a broadcast of those ranges, which are as few.
+a third of all rows is spread over as many tasks.  The cells are 2**RING_BITS * SPLITS at most whatever the data, so
+their running counts are broadcast.  From the counts of the arcs, of which there are shards * VIRTUAL_NODES at most, the
+driver works out which ranks of an arc go to which shard.  Rows get their rank in the cell by a window, add what lies
+before the cell, and find their shard by a broadcast of those few ranges.
 
 Cases: a null or empty text has size 1; a null key hashes to one place like any key; repeated rows are dealt out like
 different ones; an empty table gives an empty result; other columns are not read.
@@ -82,47 +83,39 @@ def flows(demand: list[int], owners: list[int], room: list[int]) -> list[list[tu
     return out
 
 
-def ranges(counts: dict[tuple[int, int], int], shards: int, headroom: float = 0.0, nodes: int = VIRTUAL_NODES) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(place, split, first rank, end, shard, slot of the first rank, home shard) that cover every cell."""
-    owners = ring(shards, nodes)
-    arcs = arcs_of(owners)
-    cells: list[list[tuple[int, int, int]]] = []
-    by_place: dict[int, list[tuple[int, int]]] = {}
-    for (place, split), n in sorted(counts.items()):
-        by_place.setdefault(place, []).append((split, n))
-    for a, b, _ in arcs:
-        cells.append([(p, s, n) for p in range(a, b) for s, n in by_place.get(p, ())])
-    demand = [sum(n for *_, n in c) for c in cells]
+def ranges(demand: list[int], arcs: list[tuple[int, int, int]], shards: int, headroom: float = 0.0) -> list[tuple[int, int, int, int, int, int]]:
+    """(arc, first rank, end, shard, slot of the first rank, home shard): which ranks of each arc go where."""
     dealt = flows(demand, [o for *_, o in arcs], capacities(sum(demand), shards, headroom))
     slot, out = [0] * shards, []
-    for (_, _, home), own, going in zip(arcs, cells, dealt, strict=True):
-        going = [[s, n] for s, n in going]
-        for place, split, n in own:
-            rank = 0
-            while rank < n:
-                s, room = going[0]
-                take = min(room, n - rank)
-                out.append((place, split, rank, rank + take, s, slot[s], home))
-                slot[s] += take
-                rank += take
-                going[0][1] -= take
-                if not going[0][1]:
-                    going.pop(0)
+    for arc, ((_, _, home), going) in enumerate(zip(arcs, dealt, strict=True)):
+        rank = 0
+        for s, n in going:
+            out.append((arc, rank, rank + n, s, slot[s], home))
+            slot[s] += n
+            rank += n
     return out
 
 
 def assign_shards(docs: DataFrame, shards: int = 16, headroom: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (gapless in the shard), home_shard (where the ring alone would put it)."""
-    spark = docs.sparkSession
-    text = text_or_empty(text_col)
+    spark, text = docs.sparkSession, text_or_empty(text_col)
+    arcs = arcs_of(ring(shards))
+    arc_of = [k for k, (a, b, _) in enumerate(arcs) for _ in range(a, b)]
     keyed = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("uid"))
     keyed = materialise(keyed, "shard-keys")  # from here on the uid of a row is fixed
     hashed = F.xxhash64("doc_id")
-    cell = keyed.withColumns({"place": F.shiftrightunsigned(hashed, 64 - RING_BITS).cast("int"), "split": F.pmod(F.xxhash64("uid"), F.lit(SPLITS)).cast("int"), "hash": hashed})
-    counts = {(r["place"], r["split"]): r["count"] for r in cell.groupBy("place", "split").count().collect()}
-    found = spark.createDataFrame(ranges(counts, shards, headroom), "place int, split int, first bigint, end bigint, shard int, first_slot bigint, home_shard int")
+    place = F.shiftrightunsigned(hashed, 64 - RING_BITS).cast("int")
+    arc = F.element_at(F.split(F.lit(",".join(map(str, arc_of))), ",").cast("array<int>"), place + 1)
+    cell = keyed.withColumns({"place": place, "arc": arc, "split": F.pmod(F.xxhash64("uid"), F.lit(SPLITS)).cast("int"), "hash": hashed})
+    # At most 2**RING_BITS * SPLITS cells, each with the rows of its arc that come before it.
+    cells = materialise(cell.groupBy("arc", "place", "split").count(), "ring-cells")
+    before = cells.select("place", "split", (F.sum("count").over(Window.partitionBy("arc").orderBy("place", "split")) - F.col("count")).alias("before"))
+    demand = {r["arc"]: r["n"] for r in cells.groupBy("arc").agg(F.sum("count").alias("n")).collect()}
+    rows = ranges([demand.get(k, 0) for k in range(len(arcs))], arcs, shards, headroom) or [(-1, 0, 0, 0, 0, 0)]
+    found = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, rows))} AS t(of_arc, first, end, shard, first_slot, home_shard)")
     ranked = cell.withColumn("rank", F.row_number().over(Window.partitionBy("place", "split").orderBy("hash", "uid")) - 1)
-    joined = ranked.join(F.broadcast(found), (ranked.place == found.place) & (ranked.split == found.split) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    placed = ranked.join(F.broadcast(before), ["place", "split"]).withColumn("rank", F.col("rank") + F.col("before"))
+    joined = placed.join(F.broadcast(found), (F.col("arc") == F.col("of_arc")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     return joined.select("doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("rank") - F.col("first")).alias("slot"), "home_shard")
 
 
