@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, pii, quality, secrets, sharding, simhash, token_files
+from . import exact_dedup, line_dedup, packing, pieces, pii, quality, secrets, sharding, simhash, token_files
 
 QUERIES = {
     "op1_pii_deobfuscation": pii.op1_pii_deobfuscation,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_novelty": secrets.op3_secret_novelty,
     "op4_line_chunk_dedup": line_dedup.op4_line_chunk_dedup,
     "op5_risk_controlled_quality": quality.op5_risk_controlled_quality,
+    "op6_gumbel_segmentations": pieces.op6_gumbel_segmentations,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
