@@ -66,9 +66,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = refs.groupBy("_of").count().filter("count > 1").select("_of")
     nominated = materialise(refs.join(repeated, "_of", "left_semi"), "nominated-chunks")
 
-    # Their bytes, from the documents that hold them; the first of each group of equal bytes stays.
+    # Their bytes, from the documents that hold them (repeated rows give the same places twice, which changes no minimum);
+    # the first of each group of equal bytes stays.
     places = nominated.groupBy("_id", "_hash").agg(F.collect_set("_place").alias("_places"))
-    fetched = with_chunks(_by_row(texts.dropDuplicates(["_id", "_hash"]), places, "inner"), "_text").select("_id", "_hash", F.explode_outer("_places").alias("_place"), "_chunks")
+    fetched = with_chunks(_by_row(texts, places, "inner"), "_text").select("_id", "_hash", F.explode_outer("_places").alias("_place"), "_chunks")
     fetched = fetched.select("_id", "_hash", "_place", F.get("_chunks", F.col("_place")).alias("_chunk"))
     first = fetched.groupBy("_chunk").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_place", "_hash")).alias("f")).select("f._id", "f._hash", "f._place")
     gone = _by_row(nominated.select("_id", "_hash", "_place").distinct(), materialise(first, "first-chunks"), "left_anti", "_place")
@@ -90,7 +91,8 @@ def _by_row(left: DataFrame, right: DataFrame, how: str, *more: str) -> DataFram
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"r{k}"))
-    return left.join(other, on, how).drop(*[f"r{k}" for k in keys])
+    # Merged at any size, so that what is shuffled grows evenly with the input.
+    return left.join(other.hint("merge"), on, how).drop(*[f"r{k}" for k in keys])
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
