@@ -46,14 +46,14 @@ SPACES = r"[ \x09-\x0D]+"
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of every row."""
+    """doc_id, text_hash, stratum and the counts of every row."""
     text = text_or_empty(text_col)
     # Each step is used more than once by the next, so Catalyst keeps them apart and nothing is evaluated per element.
-    a = docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(lang_col).isin(*STRATA), F.col(lang_col)).otherwise("other").alias("stratum"), F.array_remove(F.split(text, SPACES), "").alias("words"), F.split(text, "\n").alias("lines"))
-    b = a.select("doc_id", "stratum", F.size("words").alias("n"), F.array_distinct("words").alias("different"), F.array_join("words", "").alias("solid"), F.filter("lines", lambda x: F.rlike(x, F.lit(r"[^ \x09-\x0D]"))).alias("lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    a = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.when(F.col(lang_col).isin(*STRATA), F.col(lang_col)).otherwise("other").alias("stratum"), F.array_remove(F.split(text, SPACES), "").alias("words"), F.split(text, "\n").alias("lines"))
+    b = a.select("doc_id", "text_hash", "stratum", F.size("words").alias("n"), F.array_distinct("words").alias("different"), F.array_join("words", "").alias("solid"), F.filter("lines", lambda x: F.rlike(x, F.lit(r"[^ \x09-\x0D]"))).alias("lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     h = F.col("hashes")
     windows = F.when(F.col("n") >= WINDOW, F.transform(F.sequence(F.lit(0), F.col("n") - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
-    c = b.select("doc_id", "stratum", "n", "different", "solid", "lines", windows.alias("windows"))
+    c = b.select("doc_id", "text_hash", "stratum", "n", "different", "solid", "lines", windows.alias("windows"))
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
     d = c.withColumn("ordered", F.when(twice, F.array_sort(F.transform("windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
     o = F.col("ordered")
@@ -64,7 +64,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     without = lambda chars: F.length("solid") - F.length(F.translate("solid", chars, ""))
     long = lambda x: x.cast("bigint")
     return e.select(
-        "doc_id", "stratum", long(F.col("n")).alias("n_words"), long(F.length("solid")).alias("word_chars"), long(without(SYMBOLS)).alias("n_symbols"),
+        "doc_id", "text_hash", "stratum", long(F.col("n")).alias("n_words"), long(F.length("solid")).alias("word_chars"), long(without(SYMBOLS)).alias("n_symbols"),
         long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), long(F.coalesce(covered, F.lit(0))).alias("n_repeat_words"),
         long(F.size("lines")).alias("n_lines"), long(without("!")).alias("n_bangs"), long(F.size("different")).alias("n_different_words"),
     ).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))

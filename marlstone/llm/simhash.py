@@ -69,15 +69,15 @@ def fingerprint(text: str, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
+    """doc_id, text_hash, and fp, the fingerprint as a signed long, of every row."""
 
     def hashed(batches):
         for batch in batches:
-            ids, texts = batches_of(["doc_id", "text"], batch)
+            ids, hashes, texts = batches_of(["doc_id", "text_hash", "text"], batch)
             fps = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(hashed, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), text_or_empty(text_col).alias("text")).mapInArrow(hashed, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def spanning_links(members: np.ndarray) -> list[tuple[int, int]]:
@@ -146,16 +146,17 @@ def links(distinct: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that a chain of links reaches)."""
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that a chain of links reaches),
+    root (a number of the component, also where no doc_id names it), text_hash."""
     given = materialise(fingerprints(docs, size, id_col, text_col), "fingerprints")
     distinct = materialise(given.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp")))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(least, "root").select("fp", "component_id")
-    return given.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = named.join(least, "root").select("fp", "root", "component_id")
+    return given.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "text_hash")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("root", "text_hash")
