@@ -83,7 +83,7 @@ class Model:
                 self.length[i] = len(piece)
                 log_weight[i] = -alpha * np.log(2 + min(-sp.get_score(i), sp.get_piece_size()))
         self.weight = np.exp(log_weight)
-        self.longest = max(by_length)
+        self.longest = -(-max(by_length) // 8) * 8  # padded, so that a row of flags is whole words
         self.known = frozenset(p for p, _ in by_length[1])
         hashes, ids = [], []
         for n, pieces in by_length.items():
@@ -159,36 +159,39 @@ class Lattices:
             self._short(units, short, longest)
         for u in order[:first]:
             self._long(units[u], int(self.shift[u]))
-        self.upto = np.cumsum(self.chance, axis=1)
+        # For draws single precision will do: a row is one cache line, and chances are resolved to 2**-24.
+        self.upto = self.chance.astype(np.float32) @ np.triu(np.ones((model.longest, model.longest), np.float32))
 
     def _short(self, units: list[str], short: np.ndarray, longest: int) -> None:
         model, many, off, width = self.model, self.many, self.off, self.model.longest
         codes = np.frombuffer("".join([units[u] for u in short]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         start = np.cumsum(self.length[short]) - self.length[short]
         code = [codes[start[: many[t]] + t - 1] for t in range(1, longest + 1)]
+        # From each place, all pieces that begin there carry its mass to where they end; places come in order, so the mass
+        # at a place is whole when its turn comes.
+        mass = np.zeros(int(many[1 : longest + 1].sum()))
         for a in range(longest):
-            h = np.zeros(many[a + 1], np.uint64)
+            m = int(many[a + 1])
+            here = mass[off[a] : off[a] + m] if a else np.ones(m)
+            h = np.zeros(m, np.uint64)
             for n in range(1, min(width, longest - a) + 1):
-                m = int(many[a + n])
+                m, end = int(many[a + n]), int(off[a + n])
                 h = model.roll(h[:m], code[a + n - 1])
                 hit, ids = model.look_up(h)
-                self.piece[off[a + n] + hit, n - 1] = ids
+                joint = here[hit] * model.weight[ids]
+                if n == 1 and len(hit) < m:
+                    alone = np.ones(m, bool)
+                    alone[hit] = False
+                    alone = np.flatnonzero(alone)
+                    mass[end + alone] += here[alone]
+                    self.chance[end + alone, 0] = here[alone]
+                if len(hit):
+                    at = end + hit
+                    mass[at] += joint
+                    self.chance[at, n - 1] = joint
+                    self.piece[at, n - 1] = ids
+        self.chance[: len(mass)] /= mass[:, None]
         self._alone(np.concatenate(code), 0)
-        weight, mass = self.chance, np.zeros(int(many[1 : longest + 1].sum()))
-        known = np.flatnonzero(self.piece.reshape(-1)[: len(mass) * width] >= 0)
-        flat = weight.reshape(-1)
-        flat[known] = model.weight[self.piece.reshape(-1)[known]]
-        weight[: len(mass), 0][self.piece[: len(mass), 0] < 0] = 1.0
-        weight[: len(mass), 0][np.isin(self.piece[: len(mass), 0], model.bytes)] = 1.0
-        for t in range(1, longest + 1):
-            m, a = int(many[t]), int(off[t])
-            here = weight[a : a + m]
-            for n in range(1, min(t - 1, width) + 1):
-                b = int(off[t - n])
-                here[:, n - 1] *= mass[b : b + m]
-            total = here.sum(axis=1)
-            mass[a : a + m] = total
-            here /= total[:, None]
 
     def _alone(self, codes: np.ndarray, base: int) -> None:
         """A character that is no piece stands alone in every path, so its weight cancels out."""
@@ -236,7 +239,9 @@ class Lattices:
         while len(live):
             row = self.row(unit[live], left[live])
             u = uniform(key[live], turn, step)
-            n = np.minimum((self.upto[row] <= u[:, None]).sum(axis=1), self.model.longest - 1)
+            passed = self.upto[row] <= u.astype(np.float32)[:, None]
+            n = np.bitwise_count(passed.view(np.uint64)).astype(np.int64).reshape(len(row), -1)
+            n = np.minimum(sum(n[:, k] for k in range(n.shape[1])), self.model.longest - 1)
             p = self.chance[row, n]
             if (bad := p == 0).any():  # rounding at the end of the sums
                 n[bad] = self.chance[row[bad]].argmax(axis=1)
