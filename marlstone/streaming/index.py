@@ -49,7 +49,9 @@ def usage_stream(events: DataFrame) -> DataFrame:
 
 
 def limited_stream(events: DataFrame, key: str, limit: int, period: float = C.RATE_PERIOD_SECONDS) -> DataFrame:
-    """key, event_id, allowed by a sliding window kept as state for each key; the state ends a period after the last event."""
+    """key, event_id, allowed by a sliding window kept as state for each key.
+
+    The state of a key ends when the watermark has passed its last event by a period."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -58,11 +60,11 @@ def limited_stream(events: DataFrame, key: str, limit: int, period: float = C.RA
         rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
         allowed, window = jobs.limit_fold(rows["t"].tolist(), limit, period, list(state.get[0]) if state.exists else [])
         state.update((window,))
-        state.setTimeoutDuration(int(period * 1000))
+        state.setTimeoutTimestamp(max(int((rows["t"].iloc[-1] + period) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: k[0], "event_id": rows["event_id"].to_numpy(), "allowed": allowed})
 
-    timed = events.select(key, "event_id", (F.unix_micros("ts") / 1e6).alias("t"))
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} bigint, event_id bigint, allowed boolean", "window array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("ts", f"{int(period)} seconds").select(key, "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("t"))
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} bigint, event_id bigint, allowed boolean", "window array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def poll(page: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
