@@ -167,6 +167,30 @@ def decode_cursor(raw: str) -> tuple[str | None, str] | None:
     return value["o"], value["i"]
 
 
+def location_cursors(text: Column) -> Column:
+    """Each location's cursor from stored JSON; anything that is no object of strings is empty."""
+    return F.coalesce(F.from_json(text, "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+
+
+def query_url(base: str, request: dict) -> str:
+    """The address that asks for a request: metadata keys sorted, the limit brought within bounds."""
+    from urllib.parse import urlencode
+
+    pairs = [(k, request[k]) for k in ("q", "mode", "fallback") if request.get(k)]
+    if request.get("limit") is not None:
+        pairs.append(("limit", min(C.MAX_SEARCH_LIMIT, max(1, int(request["limit"])))))
+    pairs += [(f"metadata.{k}", v) for k, v in sorted((request.get("metadata") or {}).items())]
+    return f"{base}?{urlencode(pairs)}" if pairs else base
+
+
+def parse_list_params(params: dict[str, str]) -> dict:
+    """Parameters of the lists in a browser: what can't be read is left at its default."""
+    number = lambda k, low, high, default: int(params[k]) if params.get(k, "").isdigit() and low <= int(params[k]) <= high else default
+    among = lambda k, allowed: params[k] if params.get(k) in allowed else None
+    cursor = decode_cursor(params.get("cursor", "")) if params.get("cursor") else None
+    return {"limit": number("limit", 1, 100, 20), "min_rating": number("min_rating", 1, 5, None), "source": among("source", C.SOURCES), "hidden": among("hidden", ("true", "false", "all")) or "false", "indexed": among("indexed", ("true", "false")), "since": parse_since(params["since"]) if params.get("since") else None, "cursor": cursor}
+
+
 def canonical_json(value) -> str:
     """Keys sorted at every level, dates as ISO strings."""
     iso = lambda d: d.astimezone(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")

@@ -11,9 +11,9 @@ from .. import constants as C
 from ..functions import scalar as S
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import dml, evals, jobs, search
+from ..operators import access, dml, evals, jobs, search
 from ..sources import mapping
-from . import views
+from . import generate, views
 from .views import CHUNKS_SQL, EPOCH, REVIEWS_SQL, RUNS_SQL, USAGE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -595,3 +595,32 @@ def normalize_rows(spark, d):
     rows = views.table(spark, d, "documents").select(i.alias("row"), cells.alias("cells"))
     m = mapping.Mapping("generic", 0.0, {"external_id": "Review ID", "author_name": "Reviewer", "rating": "Stars", "occurred_at": "Posted", "text": "Comment", "source": "Site"})
     return mapping.normalize(rows, headers, m).filter("ok").select("row", "review.external_id", "review.rating", "review.author_name", "review.source", (F.size("warnings") > 0).alias("warned"))
+
+
+@query(f"""SELECT i AS id, CASE WHEN i % 3 = 0 THEN 'yelp' ELSE 'google' END AS source, (3 + (i // 12) % 3)::INT AS rating, {EPOCH} + i * 3600 AS occurred_s, CASE WHEN i % 2 = 0 THEN 'north' ELSE 'south' END AS location, 2::BIGINT AS chunks FROM range(2400) t(i)""")
+def generated_load(spark, d):
+    """Reviews and excerpts for load tests."""
+    r = generate.reviews(spark, 2400)
+    n = generate.chunks(r).groupBy(F.col("review_id").alias("id")).agg(F.count(F.lit(1)).alias("chunks"))
+    return r.join(n, "id").select("id", "source", "rating", "occurred_s", F.col("metadata")["location"].alias("location"), "chunks")
+
+
+@query("""SELECT c_custkey AS id, greatest(0, 5 - coalesce(n, 0))::BIGINT AS room, 3 > greatest(0, 5 - coalesce(n, 0)) AS would_reject FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) ON o_custkey = c_custkey""")
+def cap_info(spark, d):
+    """Room left under a cap, and whether a batch of three would be refused."""
+    n = views.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    c = views.table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(n, "id", "left").withColumn("review_count", F.coalesce("n", F.lit(0)))
+    return access.cap_info(c, F.lit(3), F.lit(5)).select("id", F.col("room").cast("bigint").alias("room"), "would_reject")
+
+
+@query(f"""WITH {REVIEWS_SQL} SELECT id FROM reviews_v WHERE updated_s < {EPOCH + 30 * 86_400} - 29 * 86400 - 60000""")
+def retention(spark, d):
+    """What was written longer ago than it is kept."""
+    return R(spark, d).filter(access.retired(F.col("updated_s"), EPOCH + 30 * 86_400 - 60_000, 29)).select("id")
+
+
+@query(f"""WITH {REVIEWS_SQL}, l AS (SELECT source, place_name, max(id) AS row FROM reviews_v GROUP BY ALL) SELECT DISTINCT source, place_name AS external_id, row FROM l JOIN (SELECT DISTINCT source, place_name FROM reviews_v WHERE id % 41 = 0) USING (source, place_name)""")
+def rejected_rows(spark, d):
+    """Rejected keys to the last row of the upload that has them."""
+    rows = R(spark, d).select("source", F.col("place_name").alias("external_id"), F.col("id").alias("row"))
+    return access.rejected_rows(rows, rows.filter("row % 41 = 0").select("source", "external_id").distinct())
