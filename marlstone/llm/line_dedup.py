@@ -63,8 +63,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     chunks = with_chunks(texts.filter(F.contains("_text", F.lit("\n"))), "_text").select("_id", "_hash", F.posexplode_outer("_chunks").alias("_place", "_chunk"))
     several = F.contains("_chunk", F.lit("\n")) & F.rlike("_chunk", F.lit(r"[^ \x09-\x0D]"))
     refs = materialise(chunks.filter(several).select("_id", "_hash", "_place", F.xxhash64("_chunk").alias("_of")), "line-chunks")
-    repeated = refs.groupBy("_of").count().filter("count > 1").select("_of")
-    nominated = materialise(refs.join(repeated, "_of", "left_semi"), "nominated-chunks")
+    # Written, so that both sides of the join are shuffled as they are and Spark can split a hash that very many share.
+    repeated = materialise(refs.groupBy("_of").count().filter("count > 1").select("_of"), "repeated-chunks")
+    nominated = materialise(refs.join(repeated.hint("merge"), "_of", "left_semi"), "nominated-chunks")
 
     # Their bytes, from the documents that hold them (repeated rows give the same places twice, which changes no minimum);
     # the first of each group of equal bytes stays.
