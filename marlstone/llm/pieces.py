@@ -40,7 +40,7 @@ UNIT = re.compile(f"\n|{META}*[^{META}\n]+|{META}+")
 LONG_UNIT = 40  # characters from which forward sums are kept as logarithms
 SAMPLES = 2
 EXHAUSTED = 1e-12  # a region with less of its unit's mass is empty but for rounding
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 300_000  # so that the lattices of a batch stay near the processor
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,11 +50,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def uniform(key: np.ndarray, *parts) -> np.ndarray:
-    """Numbers in (0, 1) from keys and whole numbers."""
-    x = key
+def keyed(key: np.ndarray, *parts: int) -> np.ndarray:
+    """Further keys from keys and whole numbers."""
     for p in parts:
-        x = mix(x + np.asarray(p).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        key = mix(key + np.uint64((p * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF))
+    return key
+
+
+def uniform(key: np.ndarray, *parts: int) -> np.ndarray:
+    """Numbers in (0, 1) from keys and whole numbers."""
+    x = keyed(key, *parts)
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -235,10 +240,10 @@ class Lattices:
         """For each given unit: the log-probability of a drawn path, and its pieces by steps from the end."""
         left, logp = self.length[unit].copy(), np.zeros(len(unit))
         live, steps = np.arange(len(unit)), []
-        step = 0
+        key, step = keyed(key, turn), 0
         while len(live):
             row = self.row(unit[live], left[live])
-            u = uniform(key[live], turn, step)
+            u = uniform(key[live], step)
             passed = self.upto[row] <= u.astype(np.float32)[:, None]
             n = np.bitwise_count(passed.view(np.uint64)).astype(np.int64).reshape(len(row), -1)
             n = np.minimum(sum(n[:, k] for k in range(n.shape[1])), self.model.longest - 1)
@@ -432,10 +437,13 @@ def row_keys(ids: list, seed: int) -> np.ndarray:
     return mix(mix(given + np.uint64(0x9E3779B97F4A7C15)) + np.uint64(seed))
 
 
-def decode(model: Model, ids) -> str:
-    """The text of a list of ids: pieces and bytes joined, without the space put before the first word."""
-    raw = b"".join(map(model.plain.__getitem__, ids))
-    return raw.decode("utf-8", "replace")[1:]
+def decode_bytes(model: Model, ids: list[int]) -> bytes:
+    """The text of a list of ids in UTF-8: pieces and bytes joined, without the space put before the first word."""
+    return b"".join(map(model.plain.__getitem__, ids))[1:]
+
+
+def decode(model: Model, ids: list[int]) -> str:
+    return decode_bytes(model, ids).decode("utf-8", "replace")
 
 
 def sample_segmentations(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: float = 1.0, seed: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -455,8 +463,8 @@ def sample_segmentations(docs: DataFrame, model_path: str, samples: int = SAMPLE
                 for d, found in zip(doc_ids[a:b], sample_batch(model, row_keys(doc_ids[a:b], seed), texts[a:b], samples), strict=True):
                     for s, (ids, logp, _, rest) in enumerate(found):
                         inclusion = -np.expm1(-np.exp(min(700.0, logp - rest))) if rest > -np.inf else 1.0
-                        text = decode(model, ids.tolist())
-                        rows.append((d, s, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), logp, float(inclusion), zlib.crc32(text.encode("utf-8", "replace")), *([ids] if with_ids else [])))
+                        plain = decode_bytes(model, ids.tolist())
+                        rows.append((d, s, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), logp, float(inclusion), zlib.crc32(plain), *([ids] if with_ids else [])))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32())]
                 names = ["doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "inclusion", "decoded_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names[: 7 + with_ids])
