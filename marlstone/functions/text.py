@@ -41,11 +41,14 @@ def lexeme(word: str) -> str | None:
     return None if word in C.ENGLISH_STOP_WORDS else S.stem(word)
 
 
-def vector_of(text: str) -> dict[str, list[int]]:
-    """Each lexeme with its positions; stop words leave gaps."""
+def vector_of(text: str, stems: dict[str, str | None] | None = None) -> dict[str, list[int]]:
+    """Each lexeme with its positions; stop words leave gaps.  Texts that share `stems` stem each word once."""
+    stems = {} if stems is None else stems
     out: dict[str, list[int]] = {}
     for word, at in tokens(text or ""):
-        lex = lexeme(word)
+        if word not in stems:
+            stems[word] = lexeme(word)
+        lex = stems[word]
         if lex:
             out.setdefault(lex, []).append(at)
     return dict(sorted(out.items()))
@@ -53,7 +56,8 @@ def vector_of(text: str) -> dict[str, list[int]]:
 
 @arrow("map<string,array<int>>")
 def lexemes(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else vector_of(t))
+    stems: dict[str, str | None] = {}
+    return texts.map(lambda t: None if t is None else vector_of(t, stems))
 
 
 # ---- queries --------------------------------------------------------------------------------------------------

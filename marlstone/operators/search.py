@@ -7,13 +7,14 @@ which Catalyst moves no filter that would repeat them.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.vector import cosine
+from ..functions.vector import dot
 
 #: Queries in one batch; a batch is broadcast.
 MAX_BATCH = 1_000
@@ -93,20 +94,23 @@ def batch_frame(like: DataFrame, queries: list[Query]) -> DataFrame:
     for q in queries:
         q.check()
         text = (q.text or "").strip()
-        rows.append((q.query_id, q.project_id, q.environment, q.limit, q.min_rating, float(q.similarity_floor), C.lexical_floor(q.similarity_floor) if text else float(q.similarity_floor), [float(x) for x in q.vector or []], text or None, q.category, list(q.sources), q.since_s))
+        rows.append((q.query_id, q.project_id, q.environment, q.limit, q.min_rating, float(q.similarity_floor), C.lexical_floor(q.similarity_floor) if text else float(q.similarity_floor), [float(x) for x in q.vector or []], math.sqrt(sum(float(x) ** 2 for x in q.vector or [])), text or None, q.category, list(q.sources), q.since_s))
     kind = "string" if queries and isinstance(queries[0].project_id, str) else "bigint"
-    return like.sparkSession.createDataFrame(rows, f"query_id bigint, q_project {kind}, q_environment string, q_limit int, q_min_rating int, floor double, low_floor double, q_vector array<double>, q_text string, q_category string, q_sources array<string>, q_since bigint")
+    return like.sparkSession.createDataFrame(rows, f"query_id bigint, q_project {kind}, q_environment string, q_limit int, q_min_rating int, floor double, low_floor double, q_vector array<double>, q_norm double, q_text string, q_category string, q_sources array<string>, q_since bigint")
 
 
 def candidates(reviews: DataFrame, chunks: DataFrame, queries: list[Query]) -> DataFrame:
     """Embedded excerpts of publishable reviews with the queries of their tenant and their similarity."""
     batch = batch_frame(reviews, queries)
     r = reviews.select(F.col("id").alias("review_id"), "project_id", "environment", "rating", "sentiment", "hidden", "source", "occurred_s")
-    c = chunks.filter(F.col("embedding").isNotNull()).join(r.filter(~F.col("hidden")), "review_id")
+    c = chunks.filter(F.col("embedding").isNotNull()).withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding")))).join(r.filter(~F.col("hidden")), "review_id")
     on = (F.col("project_id") == F.col("q_project")) & (F.col("environment") == F.col("q_environment"))
     allowed = publishable(F.col("q_min_rating")) & ((F.size("q_sources") == 0) | F.array_contains("q_sources", F.col("source"))) & (F.col("q_since").isNull() | (F.col("occurred_s") >= F.col("q_since")))
     joined = c.join(F.broadcast(batch), on & allowed).withColumn("breadth", breadth(F.col("kind")))
-    return joined.select("*", F.explode_outer(F.array(cosine(F.col("embedding"), F.col("q_vector")))).alias("similarity"))
+    # Lengths are taken once for each vector, before the join; only the product is left for each pair.
+    length = F.col("norm") * F.col("q_norm")
+    cosine = F.when(length == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("q_vector")) / length)
+    return joined.select("*", F.explode_outer(F.array(cosine)).alias("similarity")).drop("embedding", "q_vector", "norm", "q_norm")
 
 
 def vector_search(reviews: DataFrame, chunks: DataFrame, queries: list[Query]) -> DataFrame:

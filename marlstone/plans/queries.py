@@ -87,8 +87,9 @@ def search_vector_batch(spark, d):
 
 def _with_words(spark, d):
     """Excerpts with the words of a document each, since the embeddings have no texts of their own."""
-    docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), T.lexemes("text").alias("lexemes"))
-    return Ch(spark, d).join(docs, "review_id")
+    chunks = Ch(spark, d)
+    docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), "text").join(chunks.select("review_id").distinct(), "review_id", "left_semi")
+    return chunks.join(docs.select("review_id", T.lexemes("text").alias("lexemes")), "review_id")
 
 
 @query(VECTOR_SQL.replace("{floor}", ""))
