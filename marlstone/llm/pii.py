@@ -136,8 +136,8 @@ def tools() -> dict:
         store["address"] = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>{word}(?:(?:\.|{dot}){word}){{0,8}}+)(?P<at>@|{at})(?P<domain>{host}(?:(?:\.|{dot}){host})++)", re.I)
         store["dotted"] = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{dot})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
         store["dot"] = re.compile(dot, re.I)
-        # A look that costs little: a disguise has brackets around its words, or a spelled dot.
-        store["hint"] = re.compile(r"[\[({<] ?(?:at|@|arroba|ät|dot|punto|punkt|point|\.) ?[\])}>]|[ _-]dot[ _-]| @ ", re.I)
+        # A look that costs little: brackets around a disguise's words, a spelled dot, or a plain " at " before a dotted host.
+        store["hint"] = re.compile(r"[\[({<] ?(?:at|@|arroba|ät|dot|punto|punkt|point|\.) ?[\])}>]|[ _-]dot[ _-]| @ |[ _-]at[ _-][A-Za-z0-9-]++\.[A-Za-z0-9-]", re.I)
     return store
 
 
@@ -219,7 +219,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     if glyph:
         homoglyphs(copy)
     spelled_digits(copy)
-    if hint or glyph and t["hint"].search(copy.text):
+    if hint or t["hint"].search(copy.text):
         addresses(copy)
     if not copy.rewritten:
         return []

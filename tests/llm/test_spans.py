@@ -123,3 +123,9 @@ def test_columns(spark):
     masked = pii.mask_pii(docs(spark, rows))
     assert masked.schema == docs(spark, rows).schema
     assert {r.text for r in masked.collect() if r.doc_id == 3} == {"x [EMAIL] token=abcdef0123"} and any(r.text is None for r in masked.collect())
+
+
+@pytest.mark.parametrize("text", ["write to john at example.com", "write to jоhn at example.com", "write to john at one two three four.com"])
+def test_an_at_is_seen_where_it_is_the_only_disguise(text):
+    at = text.index("j")
+    assert pii.all_spans(text) == ([], [("email", at, len(text))])
