@@ -96,6 +96,9 @@ LOOKALIKES = {
 INVISIBLE = "­​‌‍⁠﻿᠎"
 #: Names of digits.
 DIGIT_NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Characters of the words of a local part, and the length of the longest dot between them.
+WORD_CHARS = LOCAL_CHARS - {"."}
+LONGEST_DOT = len(" ( punto ) ") + 1
 #: Names of digits count when so many stand together, with figures between them or not; else they are words.
 LEAST_SPELLED = 4
 
@@ -129,11 +132,11 @@ def tools() -> dict:
         store["atom"] = re.compile(rf"{name}|[0-9]|plus|[ ,.-]++", re.I | re.A)
         dot = r"(?: ?[\[({<] ?(?:dot|punto|punkt|point) ?[\])}>] ?|[ _-]dot[ _-]| ?[\[({<] ?\. ?[\])}>] ?)"
         at = r"(?: ?[\[({<] ?(?:at|@|arroba|ät) ?[\])}>] ?|[ _-]at[ _-]| @ )"
-        word = r"[A-Za-z0-9_%+-]++"
-        host = r"[A-Za-z0-9-]++"
-        # A local part has up to nine words, so each start is given up soon.
+        host = r"(?:(?![_-]dot[_-])[A-Za-z0-9-])++"
         # A plain " at " or " dot " is a disguise only if a whole address stands around it.
-        store["address"] = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>{word}(?:(?:\.|{dot}){word}){{0,8}}+)(?P<at>@|{at})(?P<domain>{host}(?:(?:\.|{dot}){host})++)", re.I)
+        store["at"] = re.compile(rf"@|{at}", re.I)
+        store["domain"] = re.compile(rf"{host}(?P<more>(?:(?:\.|{dot}){host})++)?+", re.I)
+        store["dot_before"] = re.compile(rf"(?:\.|{dot})\Z", re.I)
         store["dotted"] = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{dot})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
         store["dot"] = re.compile(dot, re.I)
         # A look that costs little: brackets around a disguise's words, a spelled dot, or a plain " at " before a dotted host.
@@ -192,17 +195,43 @@ def spelled_digits(copy: Copy) -> None:
     copy.rewrite(changes)
 
 
+def local_start(text: str, floor: int, at: int) -> int:
+    """Where the dotted words that end at `at` begin, not before `floor`; `at` itself if there are none."""
+    start = p = at
+    while True:
+        end = p
+        while p > floor and text[p - 1] in WORD_CHARS:
+            p -= 1
+        if p == end:
+            return start
+        start = p
+        dot = tools()["dot_before"].search(text, max(floor, p - LONGEST_DOT), p)
+        if not dot:
+            return start
+        p = dot.start()
+
+
 def addresses(copy: Copy) -> None:
-    """At and dot disguises of e-mail addresses, and dot disguises of ip addresses."""
-    t, changes = tools(), []
-    for m in t["address"].finditer(copy.text):
-        for part, new in (("local", "."), ("at", "@"), ("domain", ".")):
-            a, b = m.span(part)
-            if part == "at":
-                if b - a > 1:
-                    changes.append((a, b, new))
-            else:
-                changes += [(a + d.start(), a + d.end(), new) for d in t["dot"].finditer(m[part])]
+    """At and dot disguises of e-mail addresses, and dot disguises of ip addresses.
+
+    Each at sign is taken by itself, with one look to either side, as in `emails`.
+    """
+    t, changes, floor, dead = tools(), [], 0, 0
+    for m in t["at"].finditer(copy.text):
+        a, b = m.span()
+        if a < dead:
+            continue  # within a host
+        found = t["domain"].match(copy.text, b)
+        dead = found.end() if found else b
+        start = local_start(copy.text, floor, a) if found and found["more"] else a
+        floor = b
+        if start == a:
+            continue
+        floor = dead
+        changes += [(start + d.start(), start + d.end(), ".") for d in t["dot"].finditer(copy.text[start:a])]
+        if b - a > 1:
+            changes.append((a, b, "@"))
+        changes += [(b + d.start(), b + d.end(), ".") for d in t["dot"].finditer(copy.text[b:dead])]
     copy.rewrite(changes)
     copy.rewrite([(m.start() + d.start(), m.start() + d.end(), ".") for m in t["dotted"].finditer(copy.text) for d in t["dot"].finditer(m[0])])
 

@@ -129,3 +129,24 @@ def test_columns(spark):
 def test_an_at_is_seen_where_it_is_the_only_disguise(text):
     at = text.index("j")
     assert pii.all_spans(text) == ([], [("email", at, len(text))])
+
+
+@pytest.mark.parametrize(
+    "text",
+    [" dot ".join("abcdefghijklmn") + " at example dot com", ".".join("abcdefghijklmn") + " (at) example.com", "john_at_example_dot_com", "john-at-example.com", "john_at example.com", "john (at) example-dot-com", "john-dot-doe-at-mail-dot-example-dot-com", "j (.) d (at) e (punto) f"],
+)
+def test_local_parts_of_any_length_and_joined_disguises(text):
+    assert pii.all_spans(f"mail {text}, please") == ([], [("email", 5, 5 + len(text))])
+
+
+@pytest.mark.parametrize("unit", ["a.", "a dot ", "a-at-", "a_at_", "a at b ", "@a", "-dot-a", "a@b-at-c.d "])
+def test_addresses_are_searched_in_linear_time(unit):
+    import time
+
+    took = []
+    for n in (4_000, 40_000):
+        copy = pii.Copy(unit * n + "x (at) y (dot) z")
+        t = time.process_time()
+        pii.addresses(copy)
+        took.append(time.process_time() - t)
+    assert took[1] < 40 * took[0] + 0.5
