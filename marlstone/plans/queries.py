@@ -482,7 +482,7 @@ def display_columns(spark, d):
 @query()
 def slugs(spark, d):
     """Decomposed accents dropped; SQL here has no NFKD."""
-    return views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), S.slugify(F.substring("text", 1, 80)).alias("slug"))
+    return views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), S.slugify(F.col("text")).alias("slug"))
 
 
 # ---- text -----------------------------------------------------------------------------------------------------
