@@ -8,7 +8,9 @@ which Catalyst moves no filter that would repeat them.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -193,6 +195,12 @@ def debug(reviews: DataFrame, chunks: DataFrame, queries: list[Query], lexemes:
     return _limited(above).select(*RESULT).unionByName(_limited(below).select(*RESULT))
 
 
+def in_blocks(find: Callable[..., DataFrame], reviews: DataFrame, chunks: DataFrame, queries: list[Query], **more) -> DataFrame:
+    """What `find` (vector_search, hybrid or debug) gives for any number of queries, in batches of MAX_BATCH."""
+    blocks = [queries[k : k + MAX_BATCH] for k in range(0, len(queries), MAX_BATCH)] or [[]]
+    return reduce(DataFrame.unionByName, (find(reviews, chunks, b, **more) for b in blocks))
+
+
 def rerank_gate(scored: DataFrame, floor: float = C.RERANK_FLOOR) -> DataFrame:
     """Rows by a reranker's `score`, those under the gate dropped; ties by the order they came in (`ordinal`)."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ordinal")

@@ -87,7 +87,7 @@ def search_vector_batch(spark, d):
 
 def _with_words(spark, d):
     """Excerpts with the words of a document each, since the embeddings have no texts of their own."""
-    chunks = Ch(spark, d)
+    chunks = views.spread_chunks(spark, d)
     docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), "text").join(chunks.select("review_id").distinct(), "review_id", "left_semi")
     return chunks.join(docs.select("review_id", T.lexemes("text").alias("lexemes")), "review_id")
 
@@ -104,8 +104,9 @@ def search_debug_batch(spark, d):
 def search_hybrid_batch(spark, d):
     """Vector and word ranks fused under two floors; words by stems, positions and cover density, which SQL here lacks."""
     words = ["the and", '"of the"', "en -the", "that or zzz"]
-    qs = [search.Query(**{**q.__dict__, "text": w}) for q, w in zip(_batch(spark, d), words, strict=True)]
-    return _rounded(search.hybrid(R(spark, d), _with_words(spark, d), qs))
+    asked = views.vectors_asked(spark, d)
+    qs = [search.Query(i, i % 3, "live", 5 + k % 4, 2, 0.1, vector=v, text=words[k % 4]) for k, (i, v) in enumerate(asked)]
+    return _rounded(search.in_blocks(search.hybrid, R(spark, d), _with_words(spark, d), qs))
 
 
 @query(f"""WITH {CHUNKS_SQL}, lists AS (

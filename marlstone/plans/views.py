@@ -36,6 +36,18 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `chunks`, with the excerpts dealt over all documents in the order of ids."""
+    n = max(1, table(spark, sf_dir, "documents").count())
+    return chunks(spark, sf_dir).withColumn("review_id", F.col("id") % n)
+
+
+def vectors_asked(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
+    """Every hundredth embedding, by id, to ask with."""
+    rows = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select("vec_id", "embedding").collect()
+    return sorted((r.vec_id, [float(x) for x in r.embedding]) for r in rows)
+
+
 def query_vectors(spark: SparkSession, sf_dir: str, ids: list[int]) -> list[list[float]]:
     """The embeddings of a few given rows, to ask with."""
     found = {r.vec_id: [float(x) for x in r.embedding] for r in table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isin(ids)).collect()}
