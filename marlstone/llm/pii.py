@@ -124,7 +124,9 @@ def tools() -> dict:
     if not store:
         table = glyphs()
         store["table"] = table
-        store["glyph"] = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(table)) + "]")
+        # Runs of code points: beyond the basic plane each item of a class is tried by itself.
+        firsts, lasts = (sorted(c for c in table if c + k not in table) for k in (-1, 1))
+        store["glyph"] = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(firsts, lasts, strict=True)) + "]")
         name = "(?:" + "|".join(sorted(DIGIT_NAMES, key=len, reverse=True)) + ")"
         store["name"] = re.compile(rf"(?<![A-Za-z]){name}(?![A-Za-z])", re.I | re.A)
         atom = rf"(?:{name}(?![A-Za-z])|[0-9]++|plus(?![A-Za-z]))"
@@ -140,7 +142,7 @@ def tools() -> dict:
         store["dotted"] = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{dot})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
         store["dot"] = re.compile(dot, re.I)
         # A look that costs little: brackets around a disguise's words, a spelled dot, or a plain " at " before a dotted host.
-        store["hint"] = re.compile(r"[\[({<] ?(?:at|@|arroba|ät|dot|punto|punkt|point|\.) ?[\])}>]|[ _-]dot[ _-]| @ |[ _-]at[ _-][A-Za-z0-9-]++\.[A-Za-z0-9-]", re.I)
+        store["hint"] = re.compile(r"[\[({<] ?(?:at|@|arroba|ät|dot|punto|punkt|point|\.) ?[\])}>]|[ _-](?:dot[ _-]|at[ _-][A-Za-z0-9-]++\.[A-Za-z0-9-])| @ ", re.I)
     return store
 
 
