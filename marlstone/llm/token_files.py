@@ -9,8 +9,9 @@ checksum (the low 32 bits of XXH64).  A reader fetches the tail, the index frame
     index-frame: header JSON line, then int64 arrays doc_id, frame, place in the frame (ids), number of ids
 
 Documents are dealt out by ranges of doc_id and sorted within each range, so the files in the order of their names hold
-ascending doc_ids.  Each task writes one file under a temporary name and renames it, so a repeated task replaces the
-same file with the same bytes.
+ascending doc_ids.  A task begins another file when one holds FILE_BYTES of ids, so files and their indexes stay small
+however few tasks there are.  Each file is written under a temporary name and renamed, so a repeated task replaces the
+same files with the same bytes; what failed tasks leave is swept away when the manifest is there.
 
 Cases: a null or empty text is the end id alone; a null doc_id sorts first and is kept apart by a flag; rows with the
 same doc_id are ordered by a hash of their text; an empty table gives no files and no rows; other columns are not read.
@@ -18,6 +19,7 @@ same doc_id are ordered by a hash of their text; an empty table gives no files a
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
 import struct
@@ -36,6 +38,8 @@ ship(__name__)
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 18
+#: Plain bytes of ids after which a task begins another file.
+FILE_BYTES = 1 << 30
 END_ID = 2
 
 
@@ -122,13 +126,24 @@ class FrameReader:
                 k, ids = f, np.frombuffer(self.frame(f), self.dtype)
             yield None if i in nulls else d, ids[a : a + n]
 
-    def read(self, doc_id: int) -> np.ndarray:
-        """The ids of one document; only its frame is decompressed."""
-        if not len(found := np.flatnonzero(self.doc_id == doc_id)):
+    def read_all(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of every document with this doc_id (None: of those without one); only their frames are decompressed."""
+        null = np.zeros(len(self.doc_id), bool)
+        null[self.head["null_ids"]] = True
+        wanted = np.flatnonzero(null if doc_id is None else (self.doc_id == doc_id) & ~null)
+        out, k, ids = [], -1, np.empty(0, self.dtype)
+        for i in wanted.tolist():
+            if (f := int(self.in_frame[i])) != k:
+                k, ids = f, np.frombuffer(self.frame(f), self.dtype)
+            a = int(self.place[i])
+            out.append(ids[a : a + int(self.count[i])])
+        return out
+
+    def read(self, doc_id: int | None) -> np.ndarray:
+        """The ids of one document, the first of several with the same doc_id."""
+        if not (found := self.read_all(doc_id)):
             raise KeyError(doc_id)
-        i = int(found[0])
-        a = int(self.place[i])
-        return np.frombuffer(self.frame(int(self.in_frame[i])), self.dtype)[a : a + int(self.count[i])]
+        return found[0]
 
 
 def file_system(uri: str):
@@ -142,35 +157,63 @@ def _plain_uri(uri: str) -> str:
     return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write all documents in ascending doc_id; returns the manifest: file, part, docs, ids, bytes."""
+MANIFEST = "file string, part bigint, docs bigint, ids bigint, bytes bigint"
+
+
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, level: int = 3, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write all documents in ascending doc_id; returns the manifest, a row for each file: file, part, docs, ids, bytes."""
     folder = _plain_uri(folder)
 
     def write(batches):
         from pyspark import TaskContext
 
-        part, model, writer = TaskContext.get().partitionId(), WordTokenizer.of_process(vocabulary), None
-        end = np.array([end_id], model.dtype).tobytes()
+        part, model = TaskContext.get().partitionId(), WordTokenizer.of_process(vocabulary)
         system, base = file_system(folder)
-        name, trial = f"{base}/part-{part:06d}.tok", f"{base}/_trial-{part:06d}-{uuid.uuid4().hex}"
-        for batch in batches:
-            doc_ids, texts = batches_of(["d", "t"], batch)
-            for k in range(0, len(texts), 500):
-                for d, ids in zip(doc_ids[k : k + 500], model.encode(texts[k : k + 500]), strict=True):
-                    if writer is None:
-                        system.create_dir(base, recursive=True)
-                        writer = FrameWriter(system.open_output_stream(trial, compression=None), model.dtype.str, level)
-                    writer.add(d, ids + end)
-        if writer is not None:
+        width, n, writer, trial = model.dtype.itemsize, 0, None, None
+
+        def finished():
+            name = f"{base}/part-{part:06d}-{n:06d}.tok"
             writer.close()
             writer.out.close()
             system.move(trial, name)
-            size = system.get_file_info(name).size
-            yield pa.RecordBatch.from_pydict({"file": [name.rpartition("/")[2]], "part": [part], "docs": [len(writer.docs)], "ids": [writer.n_ids], "bytes": [size]}, pa.schema([("file", pa.string()), ("part", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
+            row = (name.rpartition("/")[2], part, len(writer.docs), writer.n_ids, system.get_file_info(name).size)
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["file", "part", "docs", "ids", "bytes"])
+
+        try:
+            for batch in batches:
+                doc_ids, texts = batches_of(["d"], batch)[0], batch.column(batch.schema.get_field_index("t"))
+                for at, ids, starts in model.encode_ended(texts, end_id):
+                    raw, starts = ids.tobytes(), (starts * width).tolist()
+                    for k in range(len(starts) - 1):
+                        if writer is None:
+                            system.create_dir(base, recursive=True)
+                            trial = f"{base}/_trial-{part:06d}-{uuid.uuid4().hex}"
+                            writer = FrameWriter(system.open_output_stream(trial, compression=None), model.dtype.str, level)
+                        writer.add(doc_ids[at + k], raw[starts[k] : starts[k + 1]])
+                        if writer.n_ids * width >= file_bytes:
+                            yield finished()
+                            writer, n = None, n + 1
+            if writer is not None:
+                yield finished()
+                writer = None
+        finally:
+            if writer is not None:  # failed on the way
+                with contextlib.suppress(OSError):
+                    writer.out.close()
+                    system.delete_file(trial)
 
     keyed = docs.select(F.col(id_col).cast("bigint").alias("d"), text_or_empty(text_col).alias("t"), F.xxhash64(text_or_empty(text_col)).alias("h"))
     ranged = keyed.repartitionByRange("d", "h").sortWithinPartitions("d", "h").select("d", "t")
-    return ranged.mapInArrow(write, "file string, part bigint, docs bigint, ids bigint, bytes bigint")
+    return ranged.mapInArrow(write, MANIFEST)
+
+
+def sweep_trials(spark: SparkSession, folder: str) -> None:
+    """Remove what tasks that were killed have left; call it when the manifest has been written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(conf)
+    for found in system.globStatus(jvm.org.apache.hadoop.fs.Path(where, "_trial-*")) or []:
+        system.delete(found.getPath(), False)
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -192,9 +235,9 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                             out = ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # One row for each file: as many as Spark had tasks, which the driver keeps track of anyway.
+    # One row for each file, of which each holds FILE_BYTES or all that a task had.
     starts, at = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r.part):
+    for r in sorted(manifest.collect(), key=lambda r: r.file):
         starts.append((r.file, at))
         at += r.ids
     rows = spark.createDataFrame(starts, "file string, start bigint")
@@ -205,4 +248,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents to token files and back."""
     folder = new_folder(spark, "token-files")
     manifest = materialise(write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, vocabulary_path()), "token-manifest")
+    sweep_trials(spark, folder)
     return read_token_files(manifest, folder)
