@@ -33,35 +33,54 @@ def process_store(name: str) -> dict:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where all is on one machine one of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Folders made by this driver that are still there.
+_folders: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed when the driver ends if not before."""
     path = f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, spark, path)
+    if not _folders:
+        atexit.register(_remove_all, spark)
+    _folders.append(path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
+def folders() -> list[str]:
+    return [*_folders]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of `new_folder` that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _folders.remove(path)
+
+
+def _remove_all(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):
+        remove(spark, folders())
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
