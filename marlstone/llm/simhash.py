@@ -48,19 +48,23 @@ def position_sets() -> list[tuple[int, ...]]:
     return [(0, 1, 2, 3), (4, 5, 6, 7)] + [(*p, *(4 + x for x in q)) for m in matchings for p in m for q in m]
 
 
-def fingerprint(text: str, size: int = 3) -> int:
-    """SimHash of the word shingles of a text, as an unsigned 64-bit number."""
+def shingle_hashes(text: str, size: int) -> np.ndarray:
+    """XXH64 of the word shingles of a text, repeats included (fewer words: of all of them), as uint64."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(size, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, len(words) - k + 1)
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; zero where there are none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192]
@@ -68,6 +72,11 @@ def fingerprint(text: str, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str, size: int = 3) -> int:
+    """SimHash of the word shingles of a text, as an unsigned 64-bit number."""
+    return simhash_of(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, and fp, the fingerprint as a signed long, of every row."""
 
@@ -81,7 +90,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
 
 
 def spanning_links(members: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among different fingerprints (uint64): breadth first, one row of tallies at a time."""
+    """A spanning forest of the links among different fingerprints (uint64): one row of tallies at a time."""
     links, left = [], members
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -145,9 +154,17 @@ def links(distinct: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     return lists[0].union(lists[1]).mapInArrow(_links_of_lists, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that a chain of links reaches),
-    root (a number of the component, also where no doc_id names it), text_hash."""
+    root (a number of the component, also where no doc_id names it), text_hash.
+
+    Without a similarity, fingerprints link at MAX_BITS bits or fewer.  With one, texts link where the Jaccard similarity of
+    their sets of word shingles reaches it (`similar.similar_texts`); fingerprints then only nominate.
+    """
+    if similarity is not None:
+        from .similar import similar_texts
+
+        return similar_texts(docs, size, similarity, id_col, text_col)
     given = materialise(fingerprints(docs, size, id_col, text_col), "fingerprints")
     distinct = materialise(given.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp")))

@@ -6,7 +6,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
-from marlstone.llm import exact_dedup, simhash
+from marlstone.llm import exact_dedup, simhash, similar
 from marlstone.llm.components import components
 from marlstone.llm.exact_dedup import DigestIndex, dedup_batch
 
@@ -145,3 +145,64 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert len({got[i] for i in range(100, 161)}) == 1 and len({got[7], *(got[1000 + i] for i in range(50))}) == 1 and len(set(got.values())) == 2 and 5 not in got
     assert F is not None
+
+
+def slow_similar(rows, size, similarity):
+    """(doc_id, least doc_id of its group) by the Jaccard similarity of all pairs."""
+    sets = []
+    for _, t in rows:
+        words = bytes(t or "", "utf-8").lower().split()
+        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        if find(i) != find(j) and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+            root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [(d, least.get(find(i))) for i, (d, _) in enumerate(rows)]
+
+
+def near_rows(seed, texts=25, copies=6):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(0, None), (1, ""), (2, " \t\n"), (3, "One"), (4, "one"), (5, "one two"), (6, "ONE TWO"), (None, "solo null"), (None, "one two"), (7, "x " * 20_000), (4, "one")]
+    passage = rng.choice(words, 60).tolist()
+    for d in range(10, 10 + texts):
+        base = rng.choice(words, int(rng.integers(40, 300))).tolist() + passage * int(rng.integers(0, 2))
+        rows.append((d, " ".join(base)))
+        for k in range(copies):  # each a step further away, so that chains grow beyond what their ends share
+            base[int(rng.integers(len(base)))] = f"edit{rng.integers(1000)}"
+            rows.append((d * 100 + k, " ".join(base)))
+    return rows
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rows = near_rows(6)
+    got = simhash.near_duplicates(docs(spark, rows), 5, similarity=0.8).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(slow_similar(rows, 5, 0.8), key=str)
+    assert simhash.near_duplicates(docs(spark, []), 5, similarity=0.8).collect() == []
+
+
+def test_recall_where_lists_of_keys_are_dealt_into_parts(spark, monkeypatch):
+    rows = near_rows(8, texts=6, copies=40)
+    monkeypatch.setattr(similar.nominated, "__defaults__", (16,))
+    got = {(r.doc_id): r.root for r in simhash.near_duplicates(docs(spark, rows), 5, similarity=0.8).collect()}
+    sets = {d: {tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for d, t in rows if d is not None and d >= 10}
+    alike = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) > 500 and sum(got[a] == got[b] for a, b in alike) >= 0.9 * len(alike)
+
+
+def test_the_forest_spans_what_is_near():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    fps[20:] = fps[:20] ^ np.uint64(5)
+    links = similar.nearest_forest(fps, 8)
+    assert sorted((min(a, b), max(a, b)) for a, b in links) == [(i, i + 20) for i in range(20)]
