@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import line_dedup, packing, pii, quality, simhash
-from marlstone.llm.common import materialise
+from marlstone.llm.common import folders, materialise, remove
 from marlstone.llm.tokens import vocabulary_path
 
 
@@ -25,29 +25,24 @@ def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
 
 
-def _compact(spark: SparkSession) -> None:
-    """Stages hand over whole texts: written with zstandard, which needs no buffers outside the heap as Snappy's does for
-    each page of long texts, and takes less disk."""
-    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
+#: What makes texts near copies: the Jaccard similarity of their sets of five-word shingles.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the rules with risk-controlled cutoffs."""
-    _compact(spark)
     told = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _rows_of(docs, told.filter("kept"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the multi-line chunks that an earlier one has."""
-    _compact(spark)
     return _with_length(line_dedup.deduplicated(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least doc_id; of rows that repeat that doc_id, one."""
-    _compact(spark)
-    found = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = simhash.near_duplicates(docs, SHINGLE_WORDS, similarity=SIMILARITY).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     told = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.count(F.lit(1)).alias("n"))
     told = materialise(told.select("r.doc_id", "r.text_hash", "n"), "representatives")
     kept = _rows_of(docs, told)
@@ -59,13 +54,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by the name of its kind."""
-    _compact(spark)
     return _with_length(pii.mask_pii(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
-    _compact(spark)
     return packing.pack_documents(docs, vocabulary_path())
 
 
@@ -82,9 +75,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`.  What a stage has written for itself, and its input, go when its result is written;
+    results are written with zstandard, which takes less disk, and less memory for pages of long texts, than Snappy."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        own = set(folders())
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialise(docs, f"stage-{k}")
+            docs = materialise(docs, f"stage-{k}", "zstd")
+            done = folders()[-1]
+            remove(spark, [f for f in folders() if f != done and (f not in own or f"/stage-{k - 1}-" in f)])
     return docs
