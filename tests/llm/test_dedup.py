@@ -1,8 +1,10 @@
 import hashlib
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -59,6 +61,42 @@ def test_hot_groups_go_by_broadcast(spark, tmp_path, monkeypatch):
     assert len(got) == 100 and sum(r.kept for r in got) == 51 and {r.group_size for r in got if r.doc_id % 2} == {50}
 
 
+@pytest.mark.parametrize("batches", [1, 2, 3])
+def test_a_whole_table_in_batches_is_the_sql(spark, tmp_path, batches):
+    rows = [(d, f"t{d % 37}" if d % 3 else "same") for d in range(300)] + [(None, "same"), (None, "alone"), (5, "t5"), (5, "t5"), (7, None), (8, ""), (9, "long " * 9000)]
+    frame = docs(spark, rows)
+    tables = {t.name for t in spark.catalog.listTables()}
+    got = sorted(map(tuple, exact_dedup.deduplicate(frame, batches).select("doc_id", "group_size", "keep_id", "kept", "text_sha256").collect()), key=str)
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    assert got == sorted(con.sql(f"SELECT doc_id, group_size, keep_id, kept, text_sha256 FROM ({exact_dedup.OP7_SQL})").fetchall(), key=str)
+
+
+def test_hot_groups_are_those_of_the_batch(spark, tmp_path):
+    """An old index of many large groups gives no broadcast; a text seen once before that fills the batch does."""
+    index = DigestIndex(spark, str(tmp_path / "index"), 4)
+    old = spark.range(3000).select(F.unhex(F.sha2(F.concat(F.lit("old"), "id"), 256)).alias("digest"), F.col("id").alias("keep_id"), F.lit(1002).cast("bigint").alias("group_size"), F.lit(0).cast("bigint").alias("batch"))
+    index.append(old.union(spark.createDataFrame([(bytearray(hashlib.sha256(b"now hot").digest()), 1, 1, 0)], old.schema)))
+    few = exact_dedup.digests(docs(spark, [(i, f"old{i}") for i in range(10)]))
+    assert exact_dedup.hot_digests(few).count() == 0
+    many = docs(spark, [(10_000 + i, "now hot") for i in range(1500)] + [(20_000, "new")])
+    assert exact_dedup.hot_digests(exact_dedup.digests(many)).count() == 1
+    got = dedup_batch(many, index, 1).collect()
+    assert len(got) == 1501 and [r.doc_id for r in got if r.kept] == [20_000] and {r.keep_id for r in got} == {1, 20_000}
+
+
+def test_a_compacted_index_is_read_in_order(spark, tmp_path):
+    index = DigestIndex(spark, str(tmp_path / "index"), 4)
+    for k in range(3):
+        dedup_batch(docs(spark, [(10 * k + i, f"{k} {i}") for i in range(10)]), index, k).collect()
+    whole = index.compact(str(tmp_path / "compact"))
+    assert sorted(map(str, whole.rows().collect())) == sorted(map(str, index.rows().collect())) and whole.buckets == exact_dedup.LEAST_BUCKETS
+    names = {f.rpartition("_")[2].split(".")[0] for f in whole.rows().inputFiles()}
+    assert len(names) == len(whole.rows().inputFiles())
+    assert exact_dedup.buckets_for(10**9) == 250
+
+
 def slow_fingerprint(text, size=3):
     words = bytes(text, "utf-8").lower().split()
     if not words:
