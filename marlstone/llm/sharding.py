@@ -1,12 +1,13 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has 2**RING_BITS places.  Each shard owns the arcs that end at its virtual nodes; a row belongs to the arc in
-which the hash of its key lies.  Loads are bounded: a shard takes at most its share of the rows (times 1 + headroom), and
+The ring has 16 places or more for each virtual node, and 2**RING_BITS at least; of nodes at one place the one with the lower
+hash stays.  Each shard owns the arcs that end at its virtual nodes; a row belongs to the arc in which the hash of its key
+lies.  Loads are bounded: a shard takes at most its share of the rows (times 1 + headroom), and
 what a full shard can't take continues clockwise to the owner of the next arc.  With no headroom the shares add up to
 the number of rows, so all shards end up full and their counts differ by one at most.
 
-Spark counts the rows of each cell, which is a place on the ring and one of SPLITS parts of its rows, so a key that holds
-a third of all rows is spread over as many tasks.  The cells are 2**RING_BITS * SPLITS at most whatever the data, so
+Spark counts the rows of each cell, which is an arc and one of SPLITS parts of its rows, so a key that holds a third of
+all rows is spread over as many tasks.  The cells are shards * VIRTUAL_NODES * SPLITS at most whatever the data, so
 their running counts are broadcast.  From the counts of the arcs, of which there are shards * VIRTUAL_NODES at most, the
 driver works out which ranks of an arc go to which shard.  Rows get their rank in the cell by a window, add what lies
 before the cell, and find their shard by a broadcast of those few ranges.
@@ -24,21 +25,28 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
 
-RING_BITS = 12
+#: The least size of the ring, enough for 64 shards.
+RING_BITS = 16
 SPLITS = 16
 VIRTUAL_NODES = 64
 
 
-def ring(shards: int, nodes: int = VIRTUAL_NODES, bits: int = RING_BITS) -> list[int]:
+def ring_bits(shards: int, nodes: int = VIRTUAL_NODES) -> int:
+    return max(RING_BITS, (16 * shards * nodes - 1).bit_length())
+
+
+def ring(shards: int, nodes: int = VIRTUAL_NODES, bits: int | None = None) -> list[int]:
     """The owner of each place: the shard whose virtual node is the next clockwise, the place itself included."""
-    at: dict[int, int] = {}
+    bits = bits or ring_bits(shards, nodes)
+    at: dict[int, tuple[bytes, int]] = {}
     for s in range(shards):
         for v in range(nodes):
-            place = int.from_bytes(hashlib.sha256(f"{s}/{v}".encode()).digest()[:8], "big") >> (64 - bits)
-            at[place] = min(s, at.get(place, s))
-    owners, owner = [0] * (1 << bits), at[min(at)]
+            h = hashlib.sha256(f"{s}/{v}".encode()).digest()
+            place = int.from_bytes(h[:8], "big") >> (64 - bits)
+            at[place] = min((h[8:], s), at.get(place, (h[8:], s)))
+    owners, owner = [0] * (1 << bits), at[min(at)][1]
     for place in reversed(range(1 << bits)):
-        owner = at.get(place, owner)
+        owner = at[place][1] if place in at else owner
         owners[place] = owner
     return owners
 
@@ -104,17 +112,17 @@ def assign_shards(docs: DataFrame, shards: int = 16, headroom: float = 0.0, id_c
     keyed = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("uid"))
     keyed = materialise(keyed, "shard-keys")  # from here on the uid of a row is fixed
     hashed = F.xxhash64("doc_id")
-    place = F.shiftrightunsigned(hashed, 64 - RING_BITS).cast("int")
+    place = F.shiftrightunsigned(hashed, 64 - ring_bits(shards)).cast("int")
     arc = F.element_at(F.split(F.lit(",".join(map(str, arc_of))), ",").cast("array<int>"), place + 1)
-    cell = keyed.withColumns({"place": place, "arc": arc, "split": F.pmod(F.xxhash64("uid"), F.lit(SPLITS)).cast("int"), "hash": hashed})
-    # At most 2**RING_BITS * SPLITS cells, each with the rows of its arc that come before it.
-    cells = materialise(cell.groupBy("arc", "place", "split").count(), "ring-cells")
-    before = cells.select("place", "split", (F.sum("count").over(Window.partitionBy("arc").orderBy("place", "split")) - F.col("count")).alias("before"))
+    cell = keyed.withColumns({"arc": arc, "split": F.pmod(F.xxhash64("uid"), F.lit(SPLITS)).cast("int"), "hash": hashed})
+    # At most arcs * SPLITS cells, each with the rows of its arc that come before it.
+    cells = materialise(cell.groupBy("arc", "split").count(), "ring-cells")
+    before = cells.select("arc", "split", (F.sum("count").over(Window.partitionBy("arc").orderBy("split")) - F.col("count")).alias("before"))
     demand = {r["arc"]: r["n"] for r in cells.groupBy("arc").agg(F.sum("count").alias("n")).collect()}
     rows = ranges([demand.get(k, 0) for k in range(len(arcs))], arcs, shards, headroom) or [(-1, 0, 0, 0, 0, 0)]
     found = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, rows))} AS t(of_arc, first, end, shard, first_slot, home_shard)")
-    ranked = cell.withColumn("rank", F.row_number().over(Window.partitionBy("place", "split").orderBy("hash", "uid")) - 1)
-    placed = ranked.join(F.broadcast(before), ["place", "split"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = cell.withColumn("rank", F.row_number().over(Window.partitionBy("arc", "split").orderBy("hash", "uid")) - 1)
+    placed = ranked.join(F.broadcast(before), ["arc", "split"]).withColumn("rank", F.col("rank") + F.col("before"))
     joined = placed.join(F.broadcast(found), (F.col("arc") == F.col("of_arc")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     return joined.select("doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("rank") - F.col("first")).alias("slot"), "home_shard")
 
