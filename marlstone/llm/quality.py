@@ -6,15 +6,20 @@ are a fixed grid and nothing is fitted to the labels beforehand.  In each stratu
 admissible if the number of good documents it rejects there shows, by the exact binomial tail, that the true rate is
 below the rule's share of `MAX_FALSE_REJECTION`.  Along the grid the tests are nested, from loosest to strictest, so
 they are one fixed sequence; over rules and strata the error `DELTA` is split evenly (Bonferroni).  Hence, with
-probability 1 - DELTA, all rules together reject at most MAX_FALSE_REJECTION of the good documents of every stratum.
+probability 1 - DELTA, all rules together reject at most MAX_FALSE_REJECTION of the good texts of every stratum.
 Among admissible cutoffs the one that rejects the most bad documents for the good ones lost is used, the loosest of equals; a stratum with
 too few labels to prove anything gets no rule.
 
+What is counted are different labelled texts that pass the base rule, since neither rows that repeat a doc_id nor equal texts
+under other doc_ids are further evidence: each counts once, as good only if no label of it is bad, and a doc_id with several
+texts counts once by its worst scores.  So the bound is one on the different good texts that pass the base rule; what the
+base rule itself rejects is fixed and not part of it.
+
 Counts stay in the row: nothing is exploded and no text is shuffled.
 
-Cases: a null text has no words and fails the base rule; a null or unlisted language is the stratum `other`; several
-labels of a document count once, as bad if one of them is; null labels don't count; repeated rows are judged alike, each
-on its own; with no labels only the base rule holds; an empty table gives an empty result; other columns are not read.
+Cases: a null text has no words and fails the base rule; a null or unlisted language is the stratum `other`; null labels
+don't count; repeated rows are judged alike, each on its own; with no labels only the base rule holds; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -77,29 +82,49 @@ def steps(rule: str) -> Column:
     return F.coalesce(F.least(F.lit(GRID), F.floor((1 - score if inverse else score) * GRID + 1e-9)), F.lit(0)).cast("int")
 
 
+#: The tail is summed from so many standard deviations below the mean, where it is under 1e-30, so large n stays cheap.
+DEVIATIONS = 12
+
+
 def critical_count(n: Column, rate: float, error: Column) -> Column:
     """The largest k with P(Binomial(n, rate) <= k) <= error, or -1: that few rejections prove a rate below `rate`.
 
-    The tail is summed term by term; terms are kept as logarithms, so large n does no harm.
+    The tail is summed term by term from its beginning, which for large n is DEVIATIONS below the mean: some
+    DEVIATIONS * sqrt(n * rate) terms.  Terms are kept as logarithms; the first comes from Stirling's series.
     """
-    start = F.struct((n * math.log1p(-rate)).alias("log"), F.exp(n * math.log1p(-rate)).alias("tail"), F.when(F.exp(n * math.log1p(-rate)) <= error, 0).otherwise(-1).cast("bigint").alias("k"))
+    first = F.floor(n * rate - DEVIATIONS * F.sqrt(n * rate * (1 - rate))).cast("bigint")
+    begin = F.when(first >= 50, first).otherwise(F.lit(0).cast("bigint"))
+    m, j = n.cast("double"), F.greatest(begin, F.lit(1)).cast("double")
+    share = j / m
+    far = -m * (share * F.log(share / rate) + (1 - share) * F.log((1 - share) / (1 - rate))) - 0.5 * F.log(2 * math.pi * j * (1 - share)) + 1 / (12 * m) - 1 / (12 * j) - 1 / (12 * (m - j))
+    log = F.when(begin == 0, n * math.log1p(-rate)).otherwise(far)
+    state = lambda log, tail, k: F.named_struct(F.lit("log"), log, F.lit("tail"), tail, F.lit("k"), k.cast("bigint"))
+    start = state(log, F.exp(log), F.when(F.exp(log) <= error, begin).otherwise(-1))
 
     def step(s: Column, j: Column) -> Column:
         log = s["log"] + F.log((n - j + 1) / j) + math.log(rate / (1 - rate))
         tail = s["tail"] + F.exp(log)
-        return F.struct(log.alias("log"), tail.alias("tail"), F.when(tail <= error, j).otherwise(s["k"]).cast("bigint").alias("k"))
+        return state(log, tail, F.when(tail <= error, j).otherwise(s["k"]))
 
     last = F.greatest(F.lit(0), F.floor(n * rate)).cast("bigint")
-    upto = F.when(last >= 1, F.sequence(F.lit(1).cast("bigint"), last)).otherwise(F.array().cast("array<bigint>"))
+    upto = F.when(last > begin, F.sequence(begin + 1, last)).otherwise(F.array().cast("array<bigint>"))
     return F.aggregate(upto, start, step, lambda s: s["k"])
 
 
+def holdout(counted: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, good, and the steps of each rule for each different labelled text that passes the base rule."""
+    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    worst = lambda: [F.max(r).alias(r) for r in RULES]
+    # Combined before the join, so a doc_id of very many rows is one row of each task.
+    documents = counted.filter("NOT base_failed").select("doc_id", "text_hash", "stratum", *[steps(r).alias(r) for r in RULES])
+    documents = documents.groupBy("doc_id").agg(F.min(F.struct("text_hash", "stratum")).alias("t"), *worst()).join(known, "doc_id")
+    return documents.groupBy("t").agg(F.min("quality").alias("quality"), *worst()).select("t.stratum", (F.col("quality") >= 1).alias("good"), *RULES)
+
+
 def cutoffs(counted: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
     """stratum, rule, cutoff (1..GRID), good, bad, good_rejected, bad_rejected: the cutoff chosen for each, if any is admissible."""
     rate, tests = max_false_rejection / len(RULES), len(RULES) * (len(STRATA) + 1)
-    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    judged = counted.filter("NOT base_failed").join(known, "doc_id")
-    each = judged.select("stratum", (F.col("quality") >= 1).alias("good"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), steps(r).alias("step")) for r in RULES])).alias("x")).select("stratum", "good", "x.*")
+    each = holdout(counted, labels).select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES])).alias("x")).select("stratum", "good", "x.*")
     # From here on at most strata x rules x grid rows.
     binned = each.groupBy("stratum", "rule", "step").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
     per_rule = binned.groupBy("stratum", "rule").agg(F.sum("g").alias("good"), F.sum("b").alias("bad"), F.collect_list(F.struct("step", "g", "b")).alias("bins"))

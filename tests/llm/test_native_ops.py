@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from marlstone.llm import line_dedup, quality, sharding
+from marlstone.llm.common import materialise
 
 # ---- sharding
 
@@ -51,6 +52,26 @@ def test_rows_stay_on_the_ring_until_their_shard_is_full(spark):
     assert sum(r.shard != r.home_shard for r in exact) < 1200  # far from a new deal of all rows
 
 
+@pytest.mark.parametrize("shards", [16, 64, 256])
+def test_the_ring_is_even_whatever_the_number_of_shards(shards):
+    owners = sharding.ring(shards)
+    share = [0] * shards
+    for s in owners:
+        share[s] += 1
+    mean = len(owners) / shards
+    assert min(share) > 0.5 * mean and max(share) < 1.7 * mean
+    half = shards // 2
+    assert abs(sum(share[:half]) - sum(share[half:])) < 0.1 * len(owners)
+
+
+def test_one_more_shard_takes_rows_and_moves_few_others(spark):
+    frame = docs(spark, [(i, "x") for i in range(4000)])
+    before, after = ({r.doc_id: (r.shard, r.home_shard) for r in sharding.assign_shards(frame, n, headroom=0.25).collect()} for n in (16, 17))
+    assert all(after[d][1] in (before[d][1], 16) for d in before)  # by the ring alone rows go to the new shard only
+    moved = [d for d in before if after[d][0] != before[d][0]]
+    assert len(moved) < 4000 * 0.2 and sum(after[d][0] == 16 for d in moved) > 100
+
+
 def test_overflow_continues_clockwise():
     assert sharding.flows([5, 1, 0], [0, 1, 2], [2, 2, 2]) == [[(0, 2), (1, 1), (2, 2)], [(1, 1)], []]
     with pytest.raises(ValueError):
@@ -183,6 +204,61 @@ def test_cutoffs_hold_the_bound_and_drop_junk(spark):
         assert r.kept == (not (bad and en)), r  # too few labels in the other language to prove a rule
 
 
+def test_the_tail_of_very_many_labels_needs_few_terms(spark):
+    for n, low, high in ((1_000_000_000, 10_000_000 - 3.0912 * 3147.0, 10_000_000 - 3.0892 * 3145.0), (100_000, 1000 - 3.2 * 31.5, 1000 - 3.0 * 31.5)):
+        k = spark.range(1).select(quality.critical_count(F.lit(n), 0.01, F.lit(0.001)).alias("k")).first().k
+        assert low - 1 <= k <= high + 1, (n, k)
+    n, p = 30_000, 0.01
+    got = spark.range(1).select(quality.critical_count(F.lit(n), p, F.lit(0.002)).alias("k")).first().k
+    log = lambda j: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)
+    tail = [sum(math.exp(log(j)) for j in range(k + 1)) for k in (got, got + 1)]
+    assert tail[0] <= 0.002 < tail[1]
+
+
+def slow_cutoffs(units):
+    """(good, steps of each rule) of one stratum to the cutoff of each rule, by trying them all."""
+    out, error = {}, quality.DELTA / (len(quality.RULES) * 5)
+    good, bad = [s for g, s in units if g], [s for g, s in units if not g]
+    for r in quality.RULES:
+        most = max((k for k in range(int(len(good) * 0.01) + 1) if binomial_tail(len(good), 0.01, k) <= error), default=-1)
+        tried = [(c, sum(s[r] >= c for s in good), sum(s[r] >= c for s in bad)) for c in range(1, quality.GRID + 1)]
+        gain = [(b / max(1, len(bad)) - quality.FALSE_COST * g / max(1, len(good)), c) for c, g, b in tried if g <= most]
+        gain = [x for x in gain if x[0] > 0]
+        if gain:
+            out[r] = max(gain)[1]
+    return out
+
+
+def test_cutoffs_against_brute_force(spark):
+    rng = random.Random(17)
+    rows, labels, units = [], [], []
+    for d in range(2600):
+        bad = rng.random() < 0.2
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+        for k in range(40):
+            if rng.random() < (0.3 if bad else 0.004):
+                words[k] = rng.choice(["!!!!", "$$$", "same", words[0]])
+        rows.append((d, " ".join(words), "fr"))
+        labels.append((d, int(not bad), 0))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    counted = materialise(quality.counts(frame), "counted")
+    for r in counted.filter("NOT base_failed").select("doc_id", *[quality.steps(x).alias(x) for x in quality.RULES]).collect():
+        units.append((labels[r.doc_id][1] == 1, r.asDict()))
+    want = slow_cutoffs(units)
+    held = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    assert {r.rule: r.cutoff for r in quality.cutoffs(counted, held).collect()} == want and want
+
+
+def test_repeated_rows_and_equal_texts_are_no_further_evidence(spark):
+    text = lambda d: " ".join(f"w{d}x{k}" for k in range(30)) + (" !!!!" * 9 if d % 6 == 0 else "")
+    rows = [(d, text(d), "en") for d in range(60)] * 100 + [(1000 + d, text(7), "en") for d in range(2000)]
+    labels = [(d, int(d % 6 != 0), 0) for d in range(60)] + [(1000 + d, 1, 0) for d in range(2000)]
+    counted = materialise(quality.counts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")), "counted")
+    held = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    assert quality.holdout(counted, held).groupBy("good").count().orderBy("good").collect() == [(False, 10), (True, 50)]
+    assert quality.cutoffs(counted, held).collect() == []
+
+
 def test_without_labels_only_the_base_rule_holds(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     told = quality.judge(spark.createDataFrame([(1, "a $$$", "en"), (2, " ".join(map(str, range(40))), "en")], "doc_id bigint, text string, lang string"), none).collect()
