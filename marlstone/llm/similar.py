@@ -134,17 +134,18 @@ def alike(text_a: str, text_b: str, size: int, similarity: float) -> bool:
     return not (len(a) or len(b)) or both >= similarity * (len(a) + len(b) - both)
 
 
-def verified(edges: DataFrame, docs: DataFrame, size: int, similarity: float, text_col: str) -> DataFrame:
+def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """The links whose texts are as similar as that."""
 
     def told(batches):
         for batch in batches:
             yield batch.filter(pa.array([alike(x, y, size, similarity) for x, y in zip(*batches_of(["ta", "tb"], batch), strict=True)], pa.bool_())).select(["a", "b"])
 
-    ends = edges.select(F.col("a").alias("end")).union(edges.select("b")).distinct()
+    # Texts are fetched by their least doc_id as well, so the copies of one text are dealt to many tasks and drop out there.
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(nodes, "node").select(F.col("node").alias("end"), F.coalesce("least", F.lit(0)).alias("at"))
     text = text_or_empty(text_col)
-    known = docs.select(F.unhex(F.md5(text)).alias("n"), text.alias("t"))
-    known = materialise(known.join(ends, known.n == ends.end, "left_semi").groupBy("n").agg(F.min("t").alias("t")), "texts", "zstd")
+    known = docs.select(F.unhex(F.md5(text)).alias("n"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("d"), text.alias("t"))
+    known = materialise(known.join(ends, (known.n == ends.end) & (known.d == ends["at"]), "left_semi").groupBy("n").agg(F.min("t").alias("t")), "texts", "zstd")
     first = edges.join(known.select(F.col("n").alias("a"), F.col("t").alias("ta")), "a")
     return first.join(known.select(F.col("n").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(told, "a binary, b binary")
 
@@ -162,7 +163,7 @@ def similar_texts(docs: DataFrame, size: int, similarity: float, id_col: str = "
     for more in nominated(nodes):
         edges = edges.union(more)
     edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nominated-links")
-    roots = components(verified(edges, docs, size, similarity, text_col))
+    roots = components(verified(edges, nodes, docs, size, similarity, id_col, text_col))
     named = materialise(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = named.join(least, "root").select("node", "root", "component_id")
