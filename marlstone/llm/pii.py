@@ -99,8 +99,16 @@ DIGIT_NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "fo
 #: Characters of the words of a local part, and the length of the longest dot between them.
 WORD_CHARS = LOCAL_CHARS - {"."}
 LONGEST_DOT = len(" ( punto ) ") + 1
-#: Names of digits count when so many stand together, with figures between them or not; else they are words.
+#: Parameter: names of digits count when so many stand together, with figures between them or not; else they are words.
 LEAST_SPELLED = 4
+#: The top-level names before which a bare "at" with bare dots makes an address.
+TOP_NAMES = frozenset("com org net edu gov mil int info biz name pro io dev app co me tv ai xyz online site tech store blog cloud email de uk fr es it nl eu ch at be us ca au jp cn in br mx ru pl se no fi dk cz pt ie nz za ar cl".split())
+#: Words before "at" that tell where something is, so what follows is a place and no address.
+PLACE_WORDS = frozenset(
+    """look looking looked looks see seen meet meeting met visit find found available hosted is are was were be been being it us me you him her them
+    here there online website site page pages more out up only now live lives work works working worked stay arrive arrived start end read download
+    buy contact reach stop shop sign log login or and not that this these those also even all""".split()
+)
 
 
 def glyphs() -> dict[int, str]:
@@ -178,11 +186,11 @@ def homoglyphs(copy: Copy) -> None:
     copy.rewrite([(m.start(), m.end(), t["table"][ord(m[0])]) for m in t["glyph"].finditer(copy.text)])
 
 
-def spelled_digits(copy: Copy) -> None:
+def spelled_digits(copy: Copy, least_spelled: int = LEAST_SPELLED) -> None:
     t, changes = tools(), []
     for m in t["spelled"].finditer(copy.text):
         atoms = [(x.start(), x.end(), x[0]) for x in t["atom"].finditer(m[0])]
-        if sum(a[2].lower() in DIGIT_NAMES for a in atoms) < LEAST_SPELLED:
+        if sum(a[2].lower() in DIGIT_NAMES for a in atoms) < least_spelled:
             continue
         for k, (a, b, what) in enumerate(atoms):
             a, b, low = a + m.start(), b + m.start(), what.lower()
@@ -213,10 +221,21 @@ def local_start(text: str, floor: int, at: int) -> int:
         p = dot.start()
 
 
+BARE_AT = frozenset(p + "at" + q for p in " _-" for q in " _-")
+
+
+def is_place(local: str, host: str) -> bool:
+    """Whether words around a bare "at" tell a place: no disguised dot, and no known top-level name, or www, or a word such as "look"."""
+    if tools()["dot"].search(local) or tools()["dot"].search(host):
+        return False
+    word = re.split("[^A-Za-z]", local.lower())[-1]
+    return host.rpartition(".")[2].lower() not in TOP_NAMES or host.lower().startswith("www.") or word in PLACE_WORDS
+
+
 def addresses(copy: Copy) -> None:
     """At and dot disguises of e-mail addresses, and dot disguises of ip addresses.
 
-    Each at sign is taken by itself, with one look to either side, as in `emails`.
+    Each at sign is taken by itself, with one look to either side, as in `emails`; nothing else in the text matters.
     """
     t, changes, floor, dead = tools(), [], 0, 0
     for m in t["at"].finditer(copy.text):
@@ -227,7 +246,7 @@ def addresses(copy: Copy) -> None:
         dead = found.end() if found else b
         start = local_start(copy.text, floor, a) if found and found["more"] else a
         floor = b
-        if start == a:
+        if start == a or (m[0].lower() in BARE_AT and is_place(copy.text[start:a], found[0])):
             continue
         floor = dead
         changes += [(start + d.start(), start + d.end(), ".") for d in t["dot"].finditer(copy.text[start:a])]
@@ -238,7 +257,7 @@ def addresses(copy: Copy) -> None:
     copy.rewrite([(m.start() + d.start(), m.start() + d.end(), ".") for m in t["dotted"].finditer(copy.text) for d in t["dot"].finditer(m[0])])
 
 
-def disguised(text: str, base: list[Span]) -> list[Span]:
+def disguised(text: str, base: list[Span], least_spelled: int = LEAST_SPELLED) -> list[Span]:
     """Spans that show only after normalisation, mapped back to the source."""
     t = tools()
     glyph = not text.isascii() and t["glyph"].search(text)
@@ -249,7 +268,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     copy = Copy(text)
     if glyph:
         homoglyphs(copy)
-    spelled_digits(copy)
+    spelled_digits(copy, least_spelled)
     if hint or t["hint"].search(copy.text):
         addresses(copy)
     if not copy.rewritten:
@@ -262,10 +281,10 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     return outside(found, base)
 
 
-def all_spans(text: str) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, least_spelled: int = LEAST_SPELLED) -> tuple[list[Span], list[Span]]:
     """Base spans, and base and disguised spans together; both by kind as listed, then start."""
     base = plain(text)
-    more = disguised(text, base)
+    more = disguised(text, base, least_spelled)
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(base + more, key=lambda s: (order[s[0]], s[1])) if more else base
 
@@ -273,7 +292,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
 # ---- documents ------------------------------------------------------------------------------------------------
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_spelled: int = LEAST_SPELLED) -> DataFrame:
     """doc_id, counts of the base spans by kind, base_sha256, spans, and counts of the disguised spans."""
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_disguised"]
 
@@ -282,7 +301,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             ids, texts = batches_of(["d", "t"], batch)
             rows = []
             for d, text in zip(ids, texts, strict=True):
-                base, every = all_spans(text)
+                base, every = all_spans(text, least_spelled)
                 rows.append((d, *(sum(s[0] == k for s in base) for k in KINDS), digest(base), written(every), len(every) - len(base)))
             kinds = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names)
@@ -291,9 +310,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return keyed.mapInArrow(run, ", ".join(f"{n} {'string' if n in ('base_sha256', 'spans') else 'bigint'}" for n in names))
 
 
-def masked(text: str) -> str:
+def masked(text: str, least_spelled: int = LEAST_SPELLED) -> str:
     """The text with every span replaced by the name of its kind; spans that overlap are replaced as one."""
-    spans = sorted(all_spans(text)[1], key=lambda s: (s[1], -s[2]))
+    spans = sorted(all_spans(text, least_spelled)[1], key=lambda s: (s[1], -s[2]))
     out, at = [], 0
     for kind, a, b in spans:
         if a >= at:
@@ -302,13 +321,13 @@ def masked(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def mask_pii(docs: DataFrame, text_col: str = "text", least_spelled: int = LEAST_SPELLED) -> DataFrame:
     """All columns and rows of `docs`, with personal data in the text column replaced; a null text stays null."""
 
     def run(batches):
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
-            texts = [t if t is None else masked(t) for t in batch.column(k).to_pylist()]
+            texts = [t if t is None else masked(t, least_spelled) for t in batch.column(k).to_pylist()]
             yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
 
     return docs.mapInArrow(run, docs.schema)

@@ -150,3 +150,93 @@ def test_addresses_are_searched_in_linear_time(unit):
         pii.addresses(copy)
         took.append(time.process_time() - t)
     assert took[1] < 40 * took[0] + 0.5
+
+
+@pytest.mark.parametrize("text", ["look at www.example.com today", "we met at github.com", "bob (at) x and look at example.com", "created_at_utc.isoformat", "see look-at-me.com", "read_at_offset.py"])
+def test_a_bare_at_before_a_place_is_no_address(text):
+    """Also where another disguise stands in the text: each at is judged by itself."""
+    for more in ("", " or bob (at) x (dot) org"):
+        spans = pii.all_spans(text + more)[1]
+        assert [(text + more)[a:b] for _, a, b in spans] == (["bob (at) x (dot) org"] if more else [])
+
+
+def test_disguised_spans_cover_what_was_put_in():
+    """Texts are put together from words, plain and disguised identifiers; the spans must be where these were put."""
+    import random
+
+    rng = random.Random(12)
+    pick = rng.choice
+    look = {"a": "а", "e": "е", "o": "о", "c": "с"}
+    word = lambda: "".join(pick("bdfghjklm") + pick("aeo") for _ in range(rng.randint(2, 3)))
+
+    def email():
+        local, host, top = word(), word(), pick(["com", "org", "net"])
+        kind = rng.randrange(5)
+        if kind == 0:
+            return local + pick([" [at] ", " (at) ", "(@)", "{at}"]) + host + pick([" [dot] ", " (dot) ", "(.)", " dot "]) + top
+        if kind == 1:
+            return f"{local} at {host}.{top}"
+        text = f"{local}@{host}.{top}"
+        if kind == 2:
+            return "".join(look.get(c, c) if rng.random() < 0.5 or k == len(local) - 1 else c for k, c in enumerate(local)) + text[len(local) :]
+        if kind == 3:
+            k = len(local) + rng.randrange(2)  # beside the at sign, where no plain address is left
+            return text[:k] + "\u200b" + text[k:]
+        return text
+
+    def ip():
+        dots = pick([".", "[.]", " (dot) "])
+        return dots.join(str(rng.randrange(256)) for _ in range(4))
+
+    for _ in range(400):
+        text, want = "", []
+        for _ in range(rng.randint(1, 6)):
+            text += " ".join(pick(["the", "über", "naïve", "🙂", "was", "near"]) for _ in range(rng.randint(1, 4))) + pick([", ", "; ", "\n"])
+            kind, own = pick([("email", email), ("ip", ip)])
+            own = own()
+            want.append((kind, len(text), len(text) + len(own)))
+            text += own + pick([", ", "; ", " !\n"])
+        got = pii.all_spans(text)[1]
+        assert sorted(got, key=lambda s: s[1]) == want, text
+
+
+@pytest.mark.parametrize("text, shown", [("pwd is kJxLmQvZtRnWpYsDqHgBfTcR", "kJxLmQvZtRnWpYsDqHgBfTcR"), ("auth token: 83920174658392017465", "83920174658392017465"), ("webhook qzxkvjwpmbtrlnhgfdsc", "qzxkvjwpmbtrlnhgfdsc")])
+def test_strings_of_letters_or_figures_alone_are_measured(text, shown):
+    assert [text[a:b] for k, a, b in secrets.all_spans(text)[1] if k == "novel" or b - a > 16][-1].endswith(shown)
+
+
+@pytest.mark.parametrize("word", ["SessionTokenManagerFactory", "Geschwindigkeitsbegrenzung", "internationalization", "responsabilidadadministrativa", "ConfigurationPropertiesBean", "EncryptionKeyRotationPolicy", "Bundesverfassungsgericht", "anticonstitutionnellement"])
+def test_words_and_identifiers_of_letters_are_not_novel(word):
+    assert secrets.all_spans(f"the bearer {word} is explained below, with more about the words of long names")[1] == []
+
+
+def slow_candidates(text):
+    """Every candidate within the reach of some context word, each context searched by itself."""
+    out, end = [], 0
+    for m in secrets.CONTEXT.finditer(text):
+        at = max(m.end(), end)
+        for c in re.finditer("[A-Za-z0-9+/_.=~-]{16,}", text[at:]):
+            if at + c.start() > m.end() + secrets.REACH:
+                break
+            a, b = at + c.start(), at + c.start() + len(c[0].rstrip(".=-"))
+            if b - a >= 16:
+                out.append(("novel", a, b))
+            end = at + c.end()
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["token ", "pwd", "secret=", " ", ".", "abcdefgh12345678", "x" * 9, "auth: ", "-", "\n", "word " * 9, "é"]), max_size=25))
+def test_candidates_against_every_context_by_itself(parts):
+    text = "".join(parts)
+    assert secrets.candidates(text) == slow_candidates(text)
+
+
+def test_a_megabyte_of_contexts_takes_little_time():
+    import time
+
+    for unit in ("token ", "pwd-", "secret x", "auth: kJ8x2LmQ9vZ4tR7nW1pY6sD3 "):
+        text = unit * (10**6 // len(unit)) + " kJ8x2LmQ9vZ4tR7nW1pY6sD3"
+        began = time.process_time()
+        secrets.candidates(text)
+        assert time.process_time() - began < 2
