@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -30,72 +30,93 @@ def detect_delimiter(header: str) -> str:
     return max(DELIMITERS, key=lambda d: (bare.count(d), -DELIMITERS.index(d)))
 
 
+def field_pattern(delimiter: str) -> re.Pattern:
+    """One field with what ends it: in quotes (doubled ones stand for one) with anything up to the delimiter behind, or bare."""
+    d = re.escape(delimiter)
+    return re.compile(rf'(?:"(?P<quoted>(?:[^"]|"")*)(?:"(?P<behind>[^{d}\r\n]*)|\Z)|(?P<bare>[^{d}\r\n]*))(?P<end>{d}|\r\n|\r|\n|\Z)')
+
+
 class Records:
     """Records of a CSV text that arrives in parts, however it is cut: RFC 4180 with bare CR, doubled quotes, quotes inside a
-    field kept, an open quote at the end closed, and blank records left out."""
+    field kept, an open quote at the end closed, and blank records left out.
+
+    What has arrived is matched field by field; a record is given out when something stands behind its line end, and what is
+    left waits for the next part.
+    """
 
     def __init__(self, delimiter: str = ","):
-        self.delimiter, self.field, self.row = delimiter, [], []
-        self.quoted = self.was_quoted = self.quote_seen = self.after_cr = False
-        self.started = False
+        self.pattern, self.waiting, self.at_start = field_pattern(delimiter), "", True
 
     def write(self, text: str) -> Iterator[list[str]]:
-        for c in text:
-            if not self.started:
-                self.started = True
-                if c == "﻿":
-                    continue
-            if self.after_cr:
-                self.after_cr = False
-                if c == "\n":
-                    continue
-            if self.quoted:
-                if self.quote_seen:
-                    self.quote_seen = False
-                    if c == '"':
-                        self.field.append('"')
-                        continue
-                    self.quoted = False
-                elif c == '"':
-                    self.quote_seen = True
-                    continue
-                else:
-                    self.field.append(c)
-                    continue
-            if c == '"' and not self.field and not self.was_quoted:
-                self.quoted = self.was_quoted = True
-            elif c == self.delimiter:
-                self._end_field()
-            elif c in "\r\n":
-                self.after_cr = c == "\r"
-                yield from self._end_row()
-            else:
-                self.field.append(c)
+        if text and self.at_start:
+            text, self.at_start = text.removeprefix("\ufeff"), False
+        self.waiting += text
+        yield from self._records(last=False)
 
     def end(self) -> Iterator[list[str]]:
-        if self.field or self.row or self.was_quoted:
-            yield from self._end_row()
-
-    def _end_field(self) -> None:
-        self.row.append("".join(self.field))
-        self.field, self.was_quoted, self.quoted, self.quote_seen = [], False, False, False
-
-    def _end_row(self) -> Iterator[list[str]]:
-        blank = not self.row and not self.was_quoted and not "".join(self.field).strip()
-        self._end_field()
-        row, self.row = self.row, []
-        if not blank:
-            yield row
+        yield from self._records(last=True)
+
+    def _records(self, last: bool) -> Iterator[list[str]]:
+        text, row, quoted, begin = self.waiting, [], False, 0
+        for m in self.pattern.finditer(text):
+            open_end = m.end() == len(text)
+            if open_end and not last:
+                break  # the field, or the line end, may go on
+            if m["quoted"] is not None:
+                quoted = True
+                row.append(m["quoted"].replace('""', '"') + (m["behind"] or ""))
+            else:
+                row.append(m["bare"])
+            if m["end"] == "" or m["end"] in "\r\n":
+                begin = m.end()
+                if quoted or len(row) > 1 or row[0].strip():
+                    yield row
+                row, quoted = [], False
+                if m["end"] == "":
+                    break
+        self.waiting = text[begin:]
 
 
 def parse_csv(text: str) -> tuple[list[str], list[list[str]]]:
     """Trimmed headers and rows of a whole text."""
-    first = text.lstrip("﻿").splitlines()[0] if text.strip() else ""
+    first = text.lstrip("\ufeff").splitlines()[0] if text.strip() else ""
     records = Records(detect_delimiter(first))
     rows = [*records.write(text), *records.end()]
     return [h.strip() for h in rows[0]] if rows else [], rows[1:]
 
 
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """path, row (from 1), and cells of large CSV files in RFC 4180 form, read line by line in parallel.
+
+    A line goes on in the next one while the quotes up to its end are odd.  Quotes and records are counted in each part that
+    Spark reads; the counts of the parts, a row for each, say what stands before them.  A record is put together from its lines, and
+    no task has more than the lines of its part and of records that reach into it.
+    """
+    head = spark.read.text(path).limit(1).first()
+    delimiter = detect_delimiter((head[0] if head else "").lstrip("\ufeff"))
+    w = Window.partitionBy("path", "part").orderBy("at")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    lines = lines.withColumn("part", F.shiftright("at", 33)).withColumn("q", F.length("line") - F.length(F.replace("line", F.lit('"'))))
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = lines.groupBy("path", "part").agg(F.sum("q").alias("n")).select("path", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("quotes_before"))
+    lines = lines.join(parts, ["path", "part"]).withColumn("upto", F.col("quotes_before") + F.sum("q").over(w) - F.col("q"))
+    lines = lines.withColumn("begins", (F.col("upto") % 2 == 0).cast("int")).withColumn("own", F.sum("begins").over(w))
+    starts = lines.groupBy("path", "part").agg(F.sum("begins").alias("n")).select("path", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("records_before"))
+    numbered = lines.join(starts, ["path", "part"]).withColumn("record", F.col("records_before") + F.col("own"))
+    whole = numbered.groupBy("path", "record").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            cells = [next(iter([*(r := Records(delimiter)).write(t), *r.end()]), None) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.string()))], ["path", "record", "cells"])
+
+    # Blank records take no number, and the first that is left is the header.
+    filled = whole.filter(F.trim("text") != "").mapInArrow(run, "path string, record bigint, cells array<string>")
+    blank = whole.filter(F.trim("text") == "").groupBy("path").agg(F.sort_array(F.collect_list("record")).alias("gaps"))
+    row = F.col("record") - F.coalesce(F.size(F.filter("gaps", lambda g: g < F.col("record"))), F.lit(0)) - 1
+    return filled.join(blank, "path", "left").select("path", row.alias("row"), "cells").filter("row > 0")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Row number and cells of a well-formed CSV file, read in parallel by Spark; all columns are strings."""
     head = spark.read.text(path, wholetext=False).limit(1).first()

@@ -50,6 +50,19 @@ def test_csv_however_it_is_cut():
     assert files.parse_csv("") == ([], [])
 
 
+def test_large_csv_files_are_read_line_by_line(spark, tmp_path):
+    quoted = lambda s: '"' + s.replace('"', '""') + '"'
+    rows = [[f"r{i}", "one, two" if i % 3 else "line\n\nlines " * 40, f'say "{i}"'] for i in range(2000)]
+    (tmp_path / "a.csv").write_text("id,text,said\r\n" + "\n".join(",".join(map(quoted, r)) + ("\n\n" if i % 500 == 7 else "") for i, r in enumerate(rows)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)
+    try:
+        got = files.csv_rows(spark, str(tmp_path / "a.csv"))
+        assert spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions() > 4
+        assert [(r.row, r.cells) for r in sorted(got.collect(), key=lambda r: r.row)] == [(i + 1, r) for i, r in enumerate(rows)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_json_tables():
     headers, rows = files.parse_json_table(json.dumps({"x": 1, "reviews": [{"a": {"b": 1.0}, "c": [1, "é"]}, {"d": None, "a": True}]}))
     assert headers == ["a.b", "c", "d", "a"] and rows == [["1", '[1,"é"]', "", ""], ["", "", "", "true"]]
