@@ -140,20 +140,34 @@ def lexical(vector: dict[str, list[int]], query_text: str, rule: str = "half-spe
 
 
 def match_columns(rows: DataFrame, column: str, texts: dict[int, tuple[str, list[str]]], rule: str = "half-specific") -> DataFrame:
-    """full_match, word_rank and lexical of each row for its query (query_id), from its lexeme positions."""
+    """full_match, word_rank and lexical of each row for its query (query_id), from its lexeme positions.
+
+    Only rows that have one of the query's lexemes are looked into, unless the query asks for what lacks a word.
+    """
     parsed = {i: (parse_query(t), t, g) for i, (t, g) in texts.items()}
+    lexemes_of = {i: sorted({lex for a in q for _, p in a for lex, _ in p} | set(vector_of(t))) for i, (q, t, _) in parsed.items()}
+    lacking = {i for i, (q, _, _) in parsed.items() if any(all(negated for negated, _ in a) for a in q)}
+    wanted = rows.sparkSession.createDataFrame([(i, names, i in lacking) for i, names in lexemes_of.items()] or [(0, [], False)], "query_id bigint, _names array<string>, _lacking boolean")
+    # A row a query, and there are MAX_BATCH queries at most.
+    told = rows.join(F.broadcast(wanted), "query_id", "left")
+    worth = F.col("_lacking") | F.arrays_overlap(F.map_keys(F.col(column)), F.col("_names"))
 
     @F.pandas_udf("struct<full_match:boolean,word_rank:double,lexical:boolean>")
     def judge(ids: pd.Series, vectors: pd.Series) -> pd.DataFrame:
         out = []
         for i, v in zip(ids, vectors, strict=True):
             query, text, generic = parsed[i]
-            vector = {k: list(p) for k, p in (v or {}).items()} if text else {}
+            if v is None or not text:
+                out.append((False, 0.0, False))
+                continue
+            vector = {k: list(p) for k, p in v.items()}
             full = matches(vector, query)
-            out.append((full, cover_rank(vector, query) if full else 0.0, bool(text) and (full or lexical(vector, text, rule, generic))))
+            out.append((full, cover_rank(vector, query) if full else 0.0, full or lexical(vector, text, rule, generic)))
         return pd.DataFrame(out, columns=["full_match", "word_rank", "lexical"])
 
-    return rows.withColumn("_m", judge("query_id", F.col(column))).select("*", "_m.*").drop("_m")
+    empty = F.lit(None).cast("map<string,array<int>>")
+    looked = F.when(worth, F.coalesce(F.col(column), F.create_map().cast("map<string,array<int>>"))).otherwise(empty)
+    return told.withColumn("_m", judge("query_id", looked)).select(*rows.columns, "_m.*")
 
 
 # ---- sentences ------------------------------------------------------------------------------------------------

@@ -96,43 +96,54 @@ def batch_frame(like: DataFrame, queries: list[Query]) -> DataFrame:
     for q in queries:
         q.check()
         text = (q.text or "").strip()
-        rows.append((q.query_id, q.project_id, q.environment, q.limit, q.min_rating, float(q.similarity_floor), C.lexical_floor(q.similarity_floor) if text else float(q.similarity_floor), [float(x) for x in q.vector or []], math.sqrt(sum(float(x) ** 2 for x in q.vector or [])), text or None, q.category, list(q.sources), q.since_s))
+        low = C.lexical_floor(q.similarity_floor) if text else float(q.similarity_floor)
+        vector = [float(x) for x in q.vector or []]
+        rows.append((q.query_id, q.project_id, q.environment, q.limit, q.min_rating, float(q.similarity_floor), low, vector, math.sqrt(sum(x * x for x in vector)), text or None, q.category, list(q.sources), q.since_s, dict(q.metadata)))
     kind = "string" if queries and isinstance(queries[0].project_id, str) else "bigint"
-    return like.sparkSession.createDataFrame(rows, f"query_id bigint, q_project {kind}, q_environment string, q_limit int, q_min_rating int, floor double, low_floor double, q_vector array<double>, q_norm double, q_text string, q_category string, q_sources array<string>, q_since bigint")
+    return like.sparkSession.createDataFrame(rows, f"query_id bigint, q_project {kind}, q_environment string, q_limit int, q_min_rating int, floor double, low_floor double, q_vector array<double>, q_norm double, q_text string, q_category string, q_sources array<string>, q_since bigint, q_metadata map<string,string>")
 
 
 def candidates(reviews: DataFrame, chunks: DataFrame, queries: list[Query]) -> DataFrame:
-    """Embedded excerpts of publishable reviews with the queries of their tenant and their similarity."""
+    """Embedded excerpts of publishable reviews with the queries of their tenant and their similarity.
+
+    Reviews are reduced to the batch's tenants, and so are excerpts that say whose they are, before any vector moves.
+    """
     batch = batch_frame(reviews, queries)
-    r = reviews.select(F.col("id").alias("review_id"), "project_id", "environment", "rating", "sentiment", "hidden", "source", "occurred_s")
-    c = chunks.filter(F.col("embedding").isNotNull()).withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding")))).join(r.filter(~F.col("hidden")), "review_id")
+    tenants = F.broadcast(batch.select("q_project", "q_environment").distinct())
+    of_batch = lambda t: (t["project_id"] == tenants["q_project"]) & (t["environment"] == tenants["q_environment"])
+    metadata = F.col("metadata") if "metadata" in reviews.columns else F.lit(None).cast("map<string,string>").alias("metadata")
+    mine = reviews.filter(~F.col("hidden"))
+    r = mine.join(tenants, of_batch(mine), "left_semi").select(F.col("id").alias("review_id"), "project_id", "environment", "rating", "sentiment", "hidden", "source", "occurred_s", metadata)
+    c = chunks.filter(F.col("embedding").isNotNull())
+    if "project_id" in chunks.columns and "environment" in chunks.columns:
+        c = c.join(tenants, of_batch(c), "left_semi").drop("project_id", "environment")
+    c = c.join(r, "review_id").withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
     on = (F.col("project_id") == F.col("q_project")) & (F.col("environment") == F.col("q_environment"))
-    allowed = publishable(F.col("q_min_rating")) & ((F.size("q_sources") == 0) | F.array_contains("q_sources", F.col("source"))) & (F.col("q_since").isNull() | (F.col("occurred_s") >= F.col("q_since")))
+    has_all = (F.size("q_metadata") == 0) | F.coalesce(F.forall(F.map_entries("q_metadata"), lambda e: F.coalesce(F.try_element_at("metadata", e["key"]) == e["value"], F.lit(False))), F.lit(False))
+    allowed = publishable(F.col("q_min_rating")) & ((F.size("q_sources") == 0) | F.array_contains("q_sources", F.col("source"))) & (F.col("q_since").isNull() | (F.col("occurred_s") >= F.col("q_since"))) & has_all
     joined = c.join(F.broadcast(batch), on & allowed).withColumn("breadth", breadth(F.col("kind")))
     # Lengths are taken once for each vector, before the join; only the product is left for each pair.
     length = F.col("norm") * F.col("q_norm")
     cosine = F.when(length == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("q_vector")) / length)
-    return joined.select("*", F.explode_outer(F.array(cosine)).alias("similarity")).drop("embedding", "q_vector", "norm", "q_norm")
+    return joined.select("*", F.explode_outer(F.array(cosine)).alias("similarity")).drop("embedding", "q_vector", "norm", "q_norm", "metadata", "q_metadata")
 
 
 def vector_search(reviews: DataFrame, chunks: DataFrame, queries: list[Query]) -> DataFrame:
     """The best reviews by similarity alone.
 
-    A review's best excerpt is its first in the order of ranks, so excerpts are first reduced to their reviews' best
-    (map-side combined) and those to the query's limit; ranks are then counted among the excerpts of these reviews,
-    since every excerpt ahead of one of theirs is one of theirs.  No task sorts all excerpts of a tenant.
+    A review's best excerpt is its first in the order of ranks, and every excerpt ahead of one of the reviews returned is
+    itself of a review returned.  So the excerpts of a review (there are few, since a text has bounded length) are put together
+    once, reviews are reduced to the query's limit, and ranks are counted among their excerpts alone.  Similarities are
+    computed once, and no task sorts all excerpts of a tenant.
     """
     scored = candidates(reviews, chunks, [Query(**{**q.__dict__, "text": None}) for q in queries]).filter("similarity >= floor")
-    scored = scored.select("query_id", "q_limit", "review_id", "id", "start_offset", "source", "rating", "occurred_s", "similarity", "breadth")
-    order = [F.col("similarity").desc(), newest_first(), "breadth", "id"]
-    key = F.struct(F.col("similarity"), F.coalesce("occurred_s", F.lit(-(1 << 62))).alias("o"), (-F.col("breadth")).alias("b"), (-F.col("id")).alias("i"))
-    best = scored.groupBy("query_id", "q_limit", "review_id").agg(F.max(key).alias("k"))
-    w = Window.partitionBy("query_id").orderBy(F.col("k").desc())
-    top = best.withColumn("place", F.row_number().over(w)).filter((F.col("place") <= C.MAX_SEARCH_LIMIT) & (F.col("place") <= F.col("q_limit"))).select("query_id", "review_id")
-    mine = scored.join(top, ["query_id", "review_id"])
-    ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    first = ranked.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "review_id").orderBy("rank"))).filter("n = 1")
-    return first.select("query_id", F.col("id").alias("chunk_id"), "review_id", "start_offset", "similarity", rrf(F.col("rank")).alias("rrf"), "rating", "source", "occurred_s")
+    key = F.struct("similarity", F.coalesce("occurred_s", F.lit(-(1 << 62))).alias("o"), (-F.col("breadth")).alias("b"), (-F.col("id")).alias("i"), F.col("id").alias("chunk_id"), "start_offset")
+    best = scored.groupBy("query_id", "q_limit", "review_id", "rating", "source", "occurred_s").agg(F.sort_array(F.collect_list(key), False).alias("keys"))
+    w = Window.partitionBy("query_id").orderBy(F.get("keys", F.lit(0)).desc())
+    top = best.withColumn("place", F.row_number().over(w)).filter((F.col("place") <= C.MAX_SEARCH_LIMIT) & (F.col("place") <= F.col("q_limit")))
+    each = top.select("query_id", "review_id", "rating", "source", "occurred_s", F.posexplode("keys").alias("n", "key"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("key").desc())))
+    return ranked.filter("n = 0").select("query_id", "key.chunk_id", "review_id", "key.start_offset", "key.similarity", rrf(F.col("rank")).alias("rrf"), "rating", "source", "occurred_s")
 
 
 def rrf(*ranks: Column) -> Column:
@@ -148,22 +159,46 @@ def normalized_rrf(score: Column, lists: int) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score * (C.RRF_K + 1) / lists))
 
 
+#: Parts into which the rows of a query are dealt for ranking, by what they are ranked by.
+RANK_PARTS = 512
+
+
+def counted_rank(rows: DataFrame, name: str, part: Column, *order: Column | str) -> DataFrame:
+    """`rows` with their rank within their query; `part` (a whole number, large first) is the leading part of the order.
+
+    Rows are dealt by query and part, and numbered there; how many stand in the parts before comes from the counts of the
+    parts, a few rows for each query.  So no task has all rows of a query.
+    """
+    dealt = rows.withColumn("_part", part).repartition("query_id", "_part")
+    counts = dealt.groupBy("query_id", "_part").count()
+    before = F.sum("count").over(Window.partitionBy("query_id").orderBy(F.col("_part").desc())) - F.col("count")
+    own = F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))
+    numbered = dealt.withColumn("_own", own)
+    return numbered.join(counts.select("query_id", "_part", before.alias("_before")), ["query_id", "_part"]).withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).drop("_part", "_own", "_before")
+
+
 def hybrid_ranks(reviews: DataFrame, chunks: DataFrame, queries: list[Query], below_floor: bool = False, lexemes: str = "lexemes") -> DataFrame:
     """All candidates with both ranks fused and the floors applied, before they are reduced to reviews.
 
     `chunks` has a column of lexeme positions (functions.text.lexemes).  Word ranks run over all that match the query,
-    vector ranks over what reaches the lower floor (everything, if rows below the floor are wanted).
+    vector ranks over what reaches the lower floor (everything, if rows below the floor are wanted).  Without words in any query
+    nothing is looked up in the texts.
     """
     from ..functions.text import match_columns
 
     scored = candidates(reviews, chunks, queries)
-    texts = {q.query_id: (q.text or "", C.generic_words(q.category)) for q in queries}
-    matched = match_columns(scored, lexemes, texts)
-    words = Window.partitionBy("query_id", F.col("full_match")).orderBy(F.col("word_rank").desc(), newest_first(), "breadth", "id")
-    with_words = matched.withColumn("kw_rank", F.when(F.col("full_match"), F.row_number().over(words)))
+    near_part = F.floor((F.col("similarity") + 1) * (RANK_PARTS / 2)).cast("int")
+    by_words = [F.col("word_rank").desc(), newest_first(), "breadth", "id"]
+    if any((q.text or "").strip() for q in queries):
+        texts = {q.query_id: (q.text or "", C.generic_words(q.category)) for q in queries}
+        matched = match_columns(scored, lexemes, texts).drop(lexemes)
+        # Rows that match are numbered among themselves; the others share one part of their own, which needs no order.
+        word_part = F.when(F.col("full_match"), F.least(F.lit(RANK_PARTS), F.floor(F.col("word_rank") * 64)).cast("int")).otherwise(-1 - F.pmod(F.xxhash64("id"), F.lit(RANK_PARTS)).cast("int"))
+        with_words = counted_rank(matched, "kw_rank", word_part, *by_words).withColumn("kw_rank", F.when(F.col("full_match"), F.col("kw_rank")))
+    else:
+        with_words = scored.drop(lexemes).withColumns({"full_match": F.lit(False), "word_rank": F.lit(0.0), "lexical": F.lit(False), "kw_rank": F.lit(None).cast("int")})
     kept = with_words if below_floor else with_words.filter("similarity >= low_floor")
-    near = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), newest_first(), "breadth", "id")
-    ranked = kept.withColumn("rank", F.row_number().over(near))
+    ranked = counted_rank(kept, "rank", near_part, F.col("similarity").desc(), newest_first(), "breadth", "id")
     return ranked.withColumn("below_floor", ~((F.col("similarity") >= F.col("floor")) | (F.col("lexical") & (F.col("similarity") >= F.col("low_floor"))))).withColumn("rrf", rrf(F.col("rank"), F.col("kw_rank")))
 
 
@@ -195,6 +230,17 @@ def debug(reviews: DataFrame, chunks: DataFrame, queries: list[Query], lexemes:
     return _limited(above).select(*RESULT).unionByName(_limited(below).select(*RESULT))
 
 
+def with_reviews(found: DataFrame, reviews: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Results with what an answer shows: the excerpt, and the review's text, author, link, date and metadata.
+
+    Results are few, MAX_SEARCH_LIMIT a query, so they are broadcast to the tables.
+    """
+    shown = [c for c in ("author_name", "author_avatar_url", "url", "occurred_at", "metadata") if c in reviews.columns]
+    r = reviews.select(F.col("id").alias("review_id"), *shown, F.col("text").alias("review_text"))
+    c = chunks.select(F.col("id").alias("chunk_id"), F.col("text").alias("excerpt"))
+    return c.join(F.broadcast(r.join(F.broadcast(found), "review_id")), "chunk_id")
+
+
 def in_blocks(find: Callable[..., DataFrame], reviews: DataFrame, chunks: DataFrame, queries: list[Query], **more) -> DataFrame:
     """What `find` (vector_search, hybrid or debug) gives for any number of queries, in batches of MAX_BATCH."""
     blocks = [queries[k : k + MAX_BATCH] for k in range(0, len(queries), MAX_BATCH)] or [[]]
