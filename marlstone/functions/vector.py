@@ -51,12 +51,17 @@ def hashed_vector(text: str, dimensions: int = C.EMBEDDING_DIMENSIONS) -> list[f
     return (v / np.sqrt((v * v).sum())).tolist()
 
 
+def embedded(texts: pd.Series, dimensions: int = C.EMBEDDING_DIMENSIONS) -> list:
+    """The vectors of texts; those without words have none."""
+    return [hashed_vector(t, dimensions) if t and TOKEN.search(t.lower()) else None for t in texts]
+
+
 def hashed_embedding(dimensions: int = C.EMBEDDING_DIMENSIONS):
     """A vectorised function from texts to vectors; texts without words have none."""
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hashed_vector(t, dimensions) if t and TOKEN.search(t.lower()) else None)
+        return pd.Series(embedded(texts, dimensions), dtype=object)
 
     return embed
 

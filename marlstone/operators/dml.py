@@ -40,19 +40,30 @@ def classify(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = KEY
     return joined.withColumn("action", action).withColumn("reindex", (F.col("action") != "touch") | lost).drop("_old_text", "_old_rating", "_known")
 
 
+#: Parts into which the inserts of a project are dealt, by their ordinal, to be numbered.
+CAP_PARTS = 64
+
+
 def capped(classified: DataFrame, room: DataFrame, policy: str = "truncate", ordinal: str = "ordinal") -> DataFrame:
     """Inserts beyond the room of their project marked `over`: the first in input order stay, or with `reject` none does.
 
-    `room` has project_id and room; updates need none.  Inserts are numbered within their project.
+    `room` has project_id and room; updates need none.  Inserts are numbered within ranges of their project's ordinals, and
+    the counts of the ranges say how many come before, so a project of any size is no single task.
     """
-    rows = classified.join(F.broadcast(room) if room.isLocal() else room, "project_id", "left")
-    w = Window.partitionBy("project_id", F.col("action") == "insert").orderBy(ordinal)
-    n = F.when(F.col("action") == "insert", F.row_number().over(w))
-    over = n > F.col("room")
+    rows = classified.join(room, "project_id", "left")
+    insert = F.col("action") == "insert"
     if policy == "reject":
-        whole = Window.partitionBy("project_id")
-        over = F.max(F.coalesce(over, F.lit(False)).cast("int")).over(whole) == 1
-    return rows.withColumn("over", F.coalesce(over, F.lit(False))).drop("room")
+        full = classified.filter(insert).groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).join(room, "project_id").filter("n > room").select("project_id", F.lit(True).alias("_full"))
+        return rows.join(full, "project_id", "left").withColumn("over", F.coalesce("_full", F.lit(False))).drop("_full", "room")
+    bounds = classified.filter(insert).groupBy("project_id").agg(F.min(ordinal).alias("_first"), F.max(ordinal).alias("_last"))
+    width = (F.col("_last") - F.col("_first") + 1) / CAP_PARTS
+    dealt = rows.join(bounds, "project_id", "left").withColumn("_part", F.when(insert, F.floor((F.col(ordinal) - F.col("_first")) / width)).otherwise(F.pmod(F.xxhash64(ordinal), F.lit(CAP_PARTS)))).drop("_first", "_last")
+    counts = dealt.filter(insert).groupBy("project_id", "_part").count()
+    before = counts.select("project_id", "_part", (F.sum("count").over(Window.partitionBy("project_id").orderBy("_part")) - F.col("count")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("project_id", "_part", insert).orderBy(ordinal))
+    numbered = dealt.withColumn("_own", own).join(before, ["project_id", "_part"], "left")
+    over = insert & (F.col("_before") + F.col("_own") > F.col("room"))
+    return numbered.withColumn("over", F.coalesce(over, F.lit(False))).drop("room", "_part", "_own", "_before")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -77,9 +88,13 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = KEY)
     return joined.select(*out)
 
 
-def replace_children(existing: DataFrame, fresh: DataFrame, parent: str = "review_id") -> DataFrame:
-    """All children of the parents that `fresh` has are replaced by those in `fresh`."""
-    return existing.join(fresh.select(parent).distinct(), parent, "left_anti").unionByName(fresh, allowMissingColumns=True)
+def replace_children(existing: DataFrame, fresh: DataFrame, parent: str = "review_id", parents: DataFrame | None = None) -> DataFrame:
+    """All children of `parents` (those that `fresh` has, if not given) are replaced by those in `fresh`.
+
+    Give the parents where some may have no children any more, else these keep their old ones.
+    """
+    gone = (fresh if parents is None else parents).select(F.col(parent).cast(existing.schema[parent].dataType)).distinct()
+    return existing.join(gone, parent, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def bulk_set(existing: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:

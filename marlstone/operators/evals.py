@@ -7,8 +7,9 @@ acceptable).  Sweeps join the observations with a small fixed grid of floors and
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP_N = 3
@@ -24,24 +25,38 @@ def floor_steps(first: float, last: float, step: float) -> list[float]:
 
 
 def nearest_rank(values: Column) -> Column:
-    """n, p10, p50, p90, min, max of a column by nearest rank; nulls where there are no values."""
+    """n, p10, p50, p90, min, max of a column by nearest rank, for small groups; nulls where there are no values."""
     ordered = F.sort_array(F.collect_list(values))
     n = F.size(ordered)
     at = lambda p: F.get(ordered, F.greatest(F.lit(0), F.ceil(p * n).cast("int") - 1))
     return F.struct(n.alias("n"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.get(ordered, F.lit(0)).alias("min"), F.get(ordered, n - 1).alias("max"))
 
 
+def ranked_values(rows: DataFrame, value: str, keys: Sequence[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Of each group its size n, min, max, and the values at some ranks (from 1, given n), without a list of all values.
+
+    Equal values are counted first (map-side combined), so what is left to sort are a group's different values; a rank is in the
+    first value whose running count reaches it.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).count()
+    w = Window.partitionBy(*keys)
+    upto = F.sum("count").over(w.orderBy("_v"))
+    told = counted.withColumn("_upto", upto).withColumn("_n", F.sum("count").over(w))
+    found = told.groupBy(*keys).agg(F.max("_n").alias("n"), *[F.min(F.when(F.col("_upto") >= rank(F.col("_n")), F.col("_v"))).alias(name) for name, rank in ranks.items()], F.min("_v").alias("min"), F.max("_v").alias("max"))
+    return found
+
+
 def percentiles(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Exact nearest-rank percentiles of groups, by Spark's own counted aggregate (no list of all values)."""
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), disc(0.1).alias("p10"), disc(0.5).alias("p50"), disc(0.9).alias("p90"), F.min(value).alias("min"), F.max(value).alias("max"))
+    """Exact nearest-rank percentiles of groups; a group without values has n = 0 and nulls."""
+    at = lambda p: lambda n: F.greatest(F.lit(1), F.ceil(p * n))
+    found = ranked_values(rows, value, keys, {f"p{round(100 * p)}": at(p) for p in (0.1, 0.5, 0.9)})
+    return rows.select(*keys).distinct().join(found, list(keys), "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def bench_stats(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """Median and p95 as the element at floor(q * n) of the sorted values."""
-    ordered = F.sort_array(F.collect_list(value))
-    at = lambda q: F.get(ordered, F.least(F.size(ordered) - 1, F.floor(q * F.size(ordered)).cast("int")))
-    return rows.groupBy(*keys).agg(at(0.5).alias("median"), at(0.95).alias("p95"), F.max(value).alias("max"), F.count(value).alias("n"))
+    at = lambda q: lambda n: F.least(n, F.floor(q * n) + 1)
+    return ranked_values(rows, value, keys, {"median": at(0.5), "p95": at(0.95)}).select(*keys, "median", "p95", "max", "n")
 
 
 def judged(rows: DataFrame, queries: DataFrame) -> DataFrame:
@@ -107,3 +122,20 @@ def verdicts(rows: DataFrame, queries: DataFrame, floor: float) -> DataFrame:
     wrong = F.count_if(passes & ~F.array_contains(fine, F.col("key")))
     out = each.groupBy("query_id").agg(F.first(expect).alias("e"), F.sort_array(got).alias("hits"), wrong.alias("wrong"))
     return out.select("query_id", "hits", "wrong", F.sort_array(F.array_except("e", "hits")).alias("missed")).withColumn("clean", (F.size("missed") == 0) & (F.col("wrong") == 0))
+
+
+def reranker_curve(scored: DataFrame, queries: DataFrame, cuts: list[float]) -> DataFrame:
+    """As the floor curve, with a reranker's score (`rerank`) in place of the similarity; rows it has not scored never pass."""
+    rows = scored.select("query_id", "rank", "key", F.col("rerank").alias("similarity"), F.lit(False).alias("lexical"))
+    return floor_curve(rows, queries, cuts).withColumnRenamed("floor", "cut")
+
+
+def failures_first(told: DataFrame) -> DataFrame:
+    """Verdicts in the order in which they are read: what went wrong first, then by query."""
+    return told.orderBy("clean", "query_id")
+
+
+def write_back(runs: DataFrame, results: DataFrame, run_id: str, now_s: int) -> DataFrame:
+    """The saved runs with the rows of this one in place of what it had, stamped; other runs stay as they are."""
+    own = results.withColumns({"run_id": F.lit(run_id), "saved_s": F.lit(now_s).cast("bigint")})
+    return runs.filter(F.col("run_id") != run_id).unionByName(own, allowMissingColumns=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,21 +130,69 @@ def rate_limited(events: DataFrame, key: str, limit: int, period: float = C.RATE
 # ---- the index step -------------------------------------------------------------------------------------------
 
 
-def index_step(reviews: DataFrame, messages: DataFrame, dimensions: int = C.EMBEDDING_DIMENSIONS) -> tuple[DataFrame, DataFrame]:
+def embed_pending(chunks: DataFrame, embed, per_call: int = 50) -> DataFrame:
+    """Excerpts with vectors where they had none; those that have one are not embedded again.
+
+    `embed` is a vectorised function of texts; it gets the pending ones only, `per_call` at a time.
+    """
+    @F.pandas_udf("array<float>")
+    def in_calls(texts: pd.Series) -> pd.Series:
+        out, waiting = pd.Series([None] * len(texts), dtype=object), texts[texts.notna()]
+        for k in range(0, len(waiting), per_call):
+            part = waiting.iloc[k : k + per_call]
+            for i, v in zip(part.index, embed(part), strict=True):
+                out[i] = v
+        return out
+
+    vector = F.coalesce("embedding", in_calls(F.when(F.col("embedding").isNull(), F.col("text"))))
+    return chunks.withColumn("embedding", vector)
+
+
+def index_step(reviews: DataFrame, messages: DataFrame, dimensions: int = C.EMBEDDING_DIMENSIONS, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """For the reviews that messages name: their excerpts with vectors and lexemes, and their sentiment.
 
     Unknown, hidden and empty reviews are skipped.  The same messages give the same rows, so a batch can be repeated.
+    `known` are excerpts that are stored: those that are the same again keep their vectors, and only the rest are embedded.
     """
     from ..functions.text import chunked, lexemes, lexicon_sentiment
-    from ..functions.vector import hashed_embedding
+    from ..functions.vector import embedded
 
     named = messages.select(F.col("review_id").alias("id")).distinct()
     wanted = reviews.join(named, "id", "left_semi").filter(~F.col("hidden") & F.rlike("text", F.lit(r"\S")))
-    parts = chunked(wanted).withColumns({"embedding": hashed_embedding(dimensions)("text"), "lexemes": lexemes("text")})
+    parts = chunked(wanted)
+    if known is None:
+        parts = parts.withColumn("embedding", F.lit(None).cast("array<float>"))
+    else:
+        same = ["review_id", "kind", "start_offset"]
+        old = known.filter(F.col("embedding").isNotNull()).select(*[F.col(c).cast(parts.schema[c].dataType).alias(c) for c in same], F.col("text").alias("_text"), F.col("embedding").cast("array<float>").alias("_old")).dropDuplicates(same)
+        parts = parts.join(old, same, "left").withColumn("embedding", F.when(F.col("_text") == F.col("text"), F.col("_old"))).drop("_text", "_old")
+    parts = embed_pending(parts, lambda texts: embedded(texts, dimensions)).withColumn("lexemes", lexemes("text"))
     judged = wanted.select("id", F.when(F.col("rating").isNotNull(), F.when(F.col("rating") >= 4, "positive").when(F.col("rating") == 3, "neutral").otherwise("negative")).alias("r"), lexicon_sentiment("text")["sentiment"].alias("m"))
     return parts, judged.select("id", F.coalesce("r", "m").alias("sentiment"), F.when(F.col("r").isNotNull(), "rating").otherwise("model").alias("sentiment_source"))
 
 
+def buffered_flush(events: DataFrame, every_s: int = 5) -> DataFrame:
+    """Counts gathered by project and month and written every few seconds: one row for each flush.
+
+    Events of a flush that failed (`flushed` false) stay and are counted in the next one that succeeds; those still waiting at
+    the end are lost, and are in rows whose `flush` is null.
+    """
+    slot = F.floor(F.unix_seconds("ts") / every_s) + 1
+    ok = events.filter("flushed").select("project_id", slot.alias("flush")).distinct()
+    waiting = events.select("project_id", F.trunc("ts", "MM").alias("month"), slot.alias("slot"), "cache_hit").groupBy("project_id", "month", "slot").agg(F.count(F.lit(1)).alias("queries"), F.sum("cache_hit").alias("cache_hits"))
+    marked = waiting.select("project_id", "month", F.col("slot").alias("at"), "queries", "cache_hits", F.lit(None).cast("bigint").alias("flush")).unionByName(ok.select("project_id", F.lit(None).cast("date").alias("month"), F.col("flush").alias("at"), F.lit(None).cast("bigint").alias("queries"), F.lit(None).cast("bigint").alias("cache_hits"), "flush"))
+    # One row for each project and slot: the next flush at or after the slot takes its counts.
+    later = Window.partitionBy("project_id").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    taken = marked.withColumn("flush", F.min("flush").over(later)).filter("queries IS NOT NULL")
+    return taken.groupBy("project_id", "month", "flush").agg(F.sum("queries").alias("queries"), F.sum("cache_hits").alias("cache_hits"))
+
+
+def marker_state(marks: DataFrame, now_s: int, ttl_s: int = 3600) -> DataFrame:
+    """Whether a sweep is pending for each project: marked and neither cleared since nor older than its time to live."""
+    last = marks.groupBy("project_id").agg(F.max_by("kind", F.struct("at_s", F.col("kind") == "clear")).alias("kind"), F.max("at_s").alias("at_s"))
+    return last.select("project_id", ((F.col("kind") == "mark") & (F.col("at_s") + ttl_s > now_s)).alias("pending"))
+
+
 def suggested_query(texts: DataFrame, stop_words: list[str], least: int = 20, text_col: str = "text") -> DataFrame:
     """Two words that describe the texts: the one in most of them, and the one most often found with it; in their usual order.
 

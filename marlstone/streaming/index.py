@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,6 +13,7 @@ from .. import constants as C
 from .. import schema
 from ..functions import ship
 from ..operators import dml, jobs
+from ..sources import tables
 
 ship(__name__)
 
@@ -21,24 +22,38 @@ def messages(spark: SparkSession, path: str, files: int = 10) -> DataFrame:
     return spark.readStream.schema(schema.MESSAGE).option("maxFilesPerTrigger", files).json(path)
 
 
+#: Partitions of the excerpt table, by a hash of the review.
+PARTS = 64
+
+
+def part_of(review: Column) -> Column:
+    return F.pmod(F.xxhash64(review.cast("string")), F.lit(PARTS)).cast("int")
+
+
 def index_stream(queue: DataFrame, reviews, chunks_path: str, failed_path: str, checkpoint: str, dimensions: int = C.EMBEDDING_DIMENSIONS):
     """Start indexing: `reviews` gives the table as it is; excerpts of a batch replace what their reviews had.
 
-    Messages of no known type are put aside in `failed_path`, the second sink.
+    Only the partitions of the reviews named are read and replaced, and only excerpts that changed are embedded.  Reviews that
+    have become hidden or empty lose their excerpts.  Messages of no known type are put aside in `failed_path`, the second
+    sink.  What a broken-off replacement has left is put in order before the next batch; a table that can't be read ends the
+    stream.
     """
-    from ..sources.tables import swap
 
     def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
         known = F.col("type") == "review.index"
         batch.filter(~F.coalesce(known, F.lit(False))).withColumn("epoch", F.lit(epoch)).write.mode("append").json(failed_path)
-        named = batch.filter(known).select(F.col("reviewId").alias("review_id"))
-        fresh, _ = jobs.index_step(reviews(), named, dimensions)
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(chunks_path)
-        except Exception:  # no excerpts yet
-            old = fresh.limit(0)
-        swap(dml.replace_children(old, fresh), chunks_path)
+        named = batch.filter(known).select(F.col("reviewId").alias("review_id")).distinct()
+        tables.recover(spark, chunks_path)
+        # At most PARTS numbers.
+        parts = [r[0] for r in named.select(part_of(F.col("review_id")).alias("p")).distinct().collect()]
+        there = [p for p in parts if tables.exists(spark, f"{chunks_path}/part={p}")]
+        old = spark.read.option("basePath", chunks_path).parquet(*[f"{chunks_path}/part={p}" for p in there]) if there else None
+        fresh, _ = jobs.index_step(reviews(), named, dimensions, old)
+        fresh = fresh.withColumn("part", part_of(F.col("review_id")))
+        rows = fresh if old is None else dml.replace_children(old, fresh, parents=named)
+        if parts:
+            tables.swap_parts(rows, chunks_path, "part", parts)
 
     return queue.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,6 +4,7 @@ import pytest
 
 from marlstone import constants as C
 from marlstone.operators import dml, evals, jobs, search
+from marlstone.sources import tables
 from marlstone.streaming import index
 from pyspark.sql import functions as F
 
@@ -116,6 +117,95 @@ def test_index_stream_replaces_excerpts_and_puts_odd_messages_aside(spark, tmp_p
     assert {r.id: (r.sentiment, r.sentiment_source) for r in judged.collect()}[4] == ("positive", "model")
 
 
+def index_once(spark, tmp_path, reviews, name, *ids):
+    queue = tmp_path / "queue"
+    queue.mkdir(exist_ok=True)
+    (queue / name).write_text("\n".join(json.dumps({"type": "review.index", "reviewId": str(i)}) for i in ids))
+    index.index_stream(index.messages(spark, str(queue)), lambda: reviews, str(tmp_path / "chunks"), str(tmp_path / "failed"), str(tmp_path / "cp"), 16).awaitTermination()
+    return {r.review_id for r in spark.read.parquet(str(tmp_path / "chunks")).collect()}
+
+
+def test_index_stream_touches_only_what_is_named(spark, tmp_path):
+    schema = "id bigint, text string, rating int, hidden boolean"
+    reviews = spark.createDataFrame([(i, f"Review {i}. It was good.", 5, False) for i in range(1, 6)], schema)
+    assert index_once(spark, tmp_path, reviews, "a.json", 1, 2, 3, 4) == {1, 2, 3, 4}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "chunks").rglob("*.parquet")}
+    assert index_once(spark, tmp_path, reviews, "b.json", 5) == {1, 2, 3, 4, 5}
+    assert sum(p.exists() and p.stat().st_mtime_ns == t for p, t in before.items()) >= len(before) - 1
+    gone = spark.createDataFrame([(1, "Review 1. It was good.", 5, True), (2, "  ", 5, False), (3, "New words.", 5, False)], schema)
+    assert index_once(spark, tmp_path, gone, "c.json", 1, 2, 3) == {3, 4, 5}
+    # A damaged partition that the batch needs ends the stream and loses nothing.
+    part = spark.range(1).select(index.part_of(F.lit(4))).first()[0]
+    hurt = next((tmp_path / "chunks" / f"part={part}").glob("*.parquet"))
+    whole = hurt.read_bytes()
+    hurt.write_bytes(b"damaged")
+    for crc in hurt.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception):  # noqa: B017
+        index_once(spark, tmp_path, reviews, "d.json", 4)
+    hurt.write_bytes(whole)
+    assert {r.review_id for r in spark.read.parquet(str(tmp_path / "chunks")).collect()} == {3, 4, 5}
+
+
+@pytest.mark.parametrize("parts", [False, True])
+@pytest.mark.parametrize("renames", [0, 1])
+def test_a_replacement_that_breaks_off_is_finished(spark, tmp_path, monkeypatch, parts, renames):
+    path = str(tmp_path / "table")
+    old, new = (spark.createDataFrame([(i, v, i % 2) for i in range(4)], "id int, v string, part int") for v in ("old", "new"))
+    old.write.partitionBy("part").parquet(path) if parts else old.write.parquet(path)
+    real, done = tables._files, []
+
+    class Breaks:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            def call(*a):
+                if name == "rename":
+                    if len(done) == renames:
+                        raise OSError("gone")
+                    done.append(a)
+                return getattr(self.fs, name)(*a)
+
+            return call
+
+    monkeypatch.setattr(tables, "_files", lambda s, p: (lambda fs, at: (Breaks(fs), at))(*real(s, p)))
+    with pytest.raises(OSError):
+        tables.swap_parts(new, path, "part", [0, 1]) if parts else tables.swap(new, path)
+    monkeypatch.setattr(tables, "_files", real)
+    tables.recover(spark, path)
+    got = spark.read.parquet(path).collect()
+    assert len(got) == 4 and {r.v for r in got} <= {"old", "new"} and (renames == 0 or any(r.v == "new" for r in got))
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+    tables.recover(spark, path)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_only_pending_excerpts_are_embedded(spark):
+    chunks = spark.createDataFrame([(i, f"text {i}", [float(i)] if i % 3 else None) for i in range(200)], "id int, text string, embedding array<float>")
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        assert len(texts) <= 50
+        calls.add(len(texts))
+        return [[-1.0]] * len(texts)
+
+    got = {r.id: r.embedding for r in jobs.embed_pending(chunks.coalesce(1), embed).collect()}
+    assert all(got[i] == ([float(i)] if i % 3 else [-1.0]) for i in range(200)) and calls.value == 67
+
+
+def test_buffered_counts_wait_for_a_flush_that_succeeds(spark):
+    rows = [(1, 0, True), (1, 1, True), (1, 6, False), (1, 12, True), (1, 17, False), (2, 3, True)]
+    events = spark.createDataFrame(rows, "project_id int, s bigint, flushed boolean").select("project_id", F.timestamp_seconds("s").alias("ts"), "flushed", F.lit(1).alias("cache_hit"))
+    got = {(r.project_id, r.flush): r.queries for r in jobs.buffered_flush(events).collect()}
+    assert got == {(1, 1): 2, (1, 3): 2, (1, None): 1, (2, 1): 1}
+
+
+def test_sweep_markers_expire(spark):
+    marks = spark.createDataFrame([(1, "mark", 100), (2, "mark", 100), (2, "clear", 150), (3, "mark", 5000)], "project_id int, kind string, at_s bigint")
+    assert {r.project_id: r.pending for r in jobs.marker_state(marks, 5100).collect()} == {1: False, 2: False, 3: True}
+
+
 def test_limits_and_usage_as_streams(spark, tmp_path):
     source = str(tmp_path / "events")
     rows = [(i, i % 2, i % 3, 1_700_000_000 + i) for i in range(30)]
