@@ -13,16 +13,23 @@ one array each, so forward sums and draws are vector operations over all texts o
 
 Every draw is a hash of the seed, the row's key, the place and the turn, so a row's samples depend on nothing else.
 
+Draws look chances up in single precision, and where that could decide otherwise, in double; what is left of a unit is the
+difference to 1, and where that is small, the sum of what no emitted path takes.  So no segmentation is too rare to come.
+
 The inclusion score of a path with log-probability p is 1 - exp(-exp(p - t)), t being the noisy maximum of what was not
 emitted: the chance that a path with its probability gets above t.
 
 Cases: a null or empty text has one segmentation, the empty one; a text with fewer than k segmentations emits them all;
 characters outside the vocabulary become their bytes; a literal meta symbol (U+2581) decodes to a space, as in the library;
-rows that repeat a doc_id and text repeat their samples; an empty table gives no rows; other columns are not read.
+rows that repeat a doc_id and text repeat their samples; an empty table gives no rows; other columns are not read.  A batch
+needs some 256 bytes for each character of its different units; a text is never split over batches.
+
+`encode_documents` gives the library's own segmentation of each text, and `decode_documents` the text of ids.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -39,7 +46,8 @@ META = "▁"
 UNIT = re.compile(f"\n|{META}*[^{META}\n]+|{META}+")
 LONG_UNIT = 40  # characters from which forward sums are kept as logarithms
 SAMPLES = 2
-EXHAUSTED = 1e-12  # a region with less of its unit's mass is empty but for rounding
+CLOSE = 2.0**-20  # a draw so near to a bound in single precision is decided in double precision
+SMALL_REST = 1e-10  # what is left of a unit's mass below this is summed path by path, since a difference would be rounding
 BATCH_CHARS = 300_000  # so that the lattices of a batch stay near the processor
 
 
@@ -57,6 +65,17 @@ def keyed(key: np.ndarray, *parts: int) -> np.ndarray:
     return key
 
 
+def uniform_of(key: int, *parts: int) -> float:
+    """As `uniform`, of one key."""
+    full = 0xFFFFFFFFFFFFFFFF
+    for p in parts:
+        x = (key + (p * 0x9E3779B97F4A7C15 + 1)) & full
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        key = x ^ (x >> 31)
+    return ((key >> 11) + 0.5) * 2.0**-53
+
+
 def uniform(key: np.ndarray, *parts: int) -> np.ndarray:
     """Numbers in (0, 1) from keys and whole numbers."""
     x = keyed(key, *parts)
@@ -164,7 +183,15 @@ class Lattices:
             self._short(units, short, longest)
         for u in order[:first]:
             self._long(units[u], int(self.shift[u]))
-        # For draws single precision will do: a row is one cache line, and chances are resolved to 2**-24.
+        arcs = np.count_nonzero(self.chance, axis=1)
+        #: Units with one segmentation: every character stands alone.
+        self.single = np.ones(len(units), bool)
+        for t in range(1, longest + 1):
+            m = int(self.many[t])
+            self.single[short[:m]] &= arcs[self.off[t] : self.off[t] + m] == 1
+        for u in order[:first]:
+            self.single[u] = bool((arcs[self.shift[u] : self.shift[u] + self.length[u]] == 1).all())
+        # Draws look up in single precision, in which a row is one cache line.
         self.upto = self.chance.astype(np.float32) @ np.triu(np.ones((model.longest, model.longest), np.float32))
 
     def _short(self, units: list[str], short: np.ndarray, longest: int) -> None:
@@ -247,39 +274,68 @@ class Lattices:
             passed = self.upto[row] <= u.astype(np.float32)[:, None]
             n = np.bitwise_count(passed.view(np.uint64)).astype(np.int64).reshape(len(row), -1)
             n = np.minimum(sum(n[:, k] for k in range(n.shape[1])), self.model.longest - 1)
-            p = self.chance[row, n]
-            if (bad := p == 0).any():  # rounding at the end of the sums
-                n[bad] = self.chance[row[bad]].argmax(axis=1)
-                p = self.chance[row, n]
+            p, upper = self.chance[row, n], self.upto[row, n]
+            near = np.flatnonzero((np.abs(upper - u) < CLOSE) | (u - (upper - p) < CLOSE) | (p == 0))
+            if len(near):
+                exact = np.cumsum(self.chance[row[near]], axis=1)
+                n[near] = np.minimum((exact <= (u[near] * exact[:, -1])[:, None]).sum(axis=1), self.model.longest - 1)
+                p[near] = self.chance[row[near], n[near]]
             logp[live] += np.log(p)
             steps.append((live, row, n))
             left[live] -= n + 1
             live, step = live[left[live] > 0], step + 1
         return logp, steps
 
-    def draw_other(self, unit: int, key: np.ndarray, turn: int, excluded: list[tuple[tuple[int, ...], float]]) -> tuple[float, list[int]]:
-        """A path drawn among those not excluded (lengths from the end, chance): its log-probability and rows' pieces.
-
-        Going from the end, each arc is taken by the mass of the paths behind it less that of the excluded ones among them.
+    def _tree(self, unit: int, excluded: list[tuple[int, ...]]) -> list[list]:
+        """The excluded paths (lengths from the end) as nodes [row's chances, row, child by length, mass not excluded]."""
+        nodes, left = [[None, 0, {}, 0.0]], [int(self.length[unit])]
+        for path in excluded:
+            at = 0
+            for n in path:
+                child = nodes[at][2].get(n)
+                if child is None:
+                    child = nodes[at][2][n] = len(nodes)
+                    nodes.append([None, 0, {}, 0.0])
+                    left.append(left[at] - n)
+                at = child
+        inner = [k for k, rest in enumerate(left) if rest]
+        rows = self.row(np.full(len(inner), unit), np.array([left[k] for k in inner])).tolist()
+        for k, row in zip(inner, rows, strict=True):
+            nodes[k][0], nodes[k][1] = self.chance[row].tolist(), row
+        for node in reversed(nodes):  # children come after their parents
+            if node[0] is not None:
+                node[3] = sum(c for n, c in enumerate(node[0], 1) if n not in node[2]) + sum(node[0][n - 1] * nodes[child][3] for n, child in node[2].items())
+        return nodes
+
+    def rest(self, unit: int, excluded: list[tuple[int, ...]]) -> float:
+        """The mass of the unit's paths without the excluded ones, summed without differences."""
+        return self._tree(unit, excluded)[0][3]
+
+    def draw_other(self, unit: int, key: int, turn: int, excluded: list[tuple[int, ...]]) -> tuple[float, list[int]]:
+        """A path drawn among those not excluded: its log-probability and rows' pieces.
+
+        Going from the end, each arc is taken by the mass of the paths behind it that are not excluded.
         """
-        left, mass, logp, out, step = int(self.length[unit]), 1.0, 0.0, [], 0
+        nodes, at = self._tree(unit, excluded), 0
+        left, logp, out, step = int(self.length[unit]), 0.0, [], 0
         while left:
-            row = int(self.row(np.array([unit]), np.array([left]))[0])
-            here = mass * self.chance[row]
-            for lengths, p in excluded:
-                here[lengths[step] - 1] -= p
-            here = np.where(self.chance[row] > 0, np.maximum(here, 0.0), 0.0)
-            if not here.any():
-                here = self.chance[row]
-            upto = np.cumsum(here)
-            u = float(uniform(key, turn, (1 << 21) + step)[0]) * upto[-1]
-            n = min(int((upto <= u).sum()), int(np.flatnonzero(here)[-1]))
-            excluded = [x for x in excluded if x[0][step] == n + 1]
-            mass *= float(self.chance[row, n])
-            logp += float(np.log(self.chance[row, n]))
-            found = int(self.piece[row, n])
+            if at is not None:
+                chances, row, children, _ = nodes[at]
+                weights = [c * nodes[children[n]][3] if n in children else c for n, c in enumerate(chances, 1)]
+            else:
+                row, children = int(self.row(np.array([unit]), np.array([left]))[0]), {}
+                chances = weights = self.chance[row].tolist()
+            u, upto, last = uniform_of(key, turn, (1 << 21) + step) * sum(weights), 0.0, 0
+            for n, w in enumerate(weights, 1):
+                if w > 0:
+                    upto, last = upto + w, n
+                    if u < upto:
+                        break
+            at = children.get(last)
+            logp += math.log(chances[last - 1])
+            found = int(self.piece[row, last - 1])
             out.append(found if found >= 0 else -1 - row)
-            left, step = left - n - 1, step + 1
+            left, step = left - last, step + 1
         return logp, out[::-1]
 
     def lengths(self, ids: np.ndarray) -> tuple[int, ...]:
@@ -299,13 +355,6 @@ class Lattices:
         return out, many
 
 
-def log_rest(chance_taken: np.ndarray) -> np.ndarray:
-    """log(1 - p), and minus infinity where nothing but rounding is left."""
-    rest = 1.0 - chance_taken
-    with np.errstate(divide="ignore"):
-        return np.where(rest > EXHAUSTED, np.log(np.maximum(rest, 1e-300)), -np.inf)
-
-
 def gumbel_below(location, bound, u) -> np.ndarray:
     """A Gumbel variable at `location`, conditioned to be at most `bound`; minus infinity where there is no mass."""
     with np.errstate(over="ignore", invalid="ignore"):
@@ -352,7 +401,7 @@ def sample_batch(model: Model, keys: np.ndarray, texts: list[str], k: int) -> li
         at_departure = depart[doc[where]] == ordinal[where]
         for j in np.flatnonzero(at_departure).tolist():
             i = where[j]
-            logp[j], own = lattices.draw_other(int(unit[i]), unit_key[i : i + 1], turn, popped[doc[i]][3])
+            logp[j], own = lattices.draw_other(int(unit[i]), int(unit_key[i]), turn, popped[doc[i]][3])
             now["instead"][j] = np.array(own, np.int64)
         turns.append(now)
         # The rest of each popped region, by the unit at which a path departs.
@@ -363,7 +412,18 @@ def sample_batch(model: Model, keys: np.ndarray, texts: list[str], k: int) -> li
         own = np.concatenate(([0.0], np.cumsum(now["logp"])))
         first_of = np.searchsorted(doc[where], np.arange(len(texts)))
         upto = own[:-1] - own[first_of[doc[where]]] + prefix[doc[where]] if len(where) else np.empty(0)
-        location = upto + log_rest(taken + np.where(at_departure, spent[doc[where]], 0.0))
+        rest = 1.0 - (taken + np.where(at_departure, spent[doc[where]], 0.0))
+        rest[lattices.single[unit[where]]] = 0.0
+        known: dict[tuple, float] = {}  # what one path leaves of a unit depends on its chance alone
+        for j in np.flatnonzero((rest < SMALL_REST) & ~lattices.single[unit[where]]).tolist():
+            own_ids = now["instead"].get(j)
+            same = None if at_departure[j] else (unit[where[j]], logp[j])
+            if same not in known:
+                path = lattices.lengths(_slice(now, j, j + 1) if own_ids is None else own_ids)
+                known[same] = lattices.rest(int(unit[where[j]]), [*(popped[doc[where[j]]][3] if at_departure[j] else []), path])
+            rest[j] = known.pop(None) if same is None else known[same]
+        with np.errstate(divide="ignore"):
+            location = upto + np.log(rest)
         g = gumbel_below(location, bound[doc[where]], uniform(unit_key[where], turn, 1 << 20))
         edges = np.searchsorted(doc[where], np.arange(len(texts) + 1))
         for d in np.flatnonzero(active):
@@ -378,7 +438,7 @@ def sample_batch(model: Model, keys: np.ndarray, texts: list[str], k: int) -> li
                     same = p is not None and o == p[2]
                     own_ids = now["instead"].get(a + j)
                     path = lattices.lengths(_slice(now, a + j, a + j + 1) if own_ids is None else own_ids)
-                    regions[d].append((float(mine[j]), turn, o, [*(p[3] if same else []), (path, float(taken[a + j]))], float(taken[a + j]) + (p[4] if same else 0.0)))
+                    regions[d].append((float(mine[j]), turn, o, [*(p[3] if same else []), path], float(taken[a + j]) + (p[4] if same else 0.0)))
             regions[d].sort(key=lambda r: -r[0])
             del regions[d][k + 1 :]
         now["popped"], now["edges"] = [*popped], edges
@@ -474,6 +534,39 @@ def sample_segmentations(docs: DataFrame, model_path: str, samples: int = SAMPLE
     return keyed.mapInArrow(run, "doc_id bigint, sample int, n_pieces bigint, ids_crc32 bigint, log_prob double, inclusion double, decoded_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the ids that the library gives the whole text; a null text counts as empty and has none."""
+
+    def run(batches):
+        library = library_of_process(model_path)
+        for batch in batches:
+            ids = library.encode(batch.column(1).to_pylist(), num_threads=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("t")).mapInArrow(run, "doc_id bigint, ids array<int>")
+
+
+def decode_documents(encoded: DataFrame, model_path: str, alpha: float = 1.0) -> DataFrame:
+    """doc_id and the text of its `ids`, whichever segmentation they are; null ids give a null text."""
+
+    def run(batches):
+        model = Model.of_process(model_path, alpha)
+        for batch in batches:
+            texts = [None if ids is None else decode(model, ids) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids").mapInArrow(run, "doc_id bigint, text string")
+
+
+def library_of_process(path: str):
+    import sentencepiece
+
+    store = process_store("sentencepiece")
+    if path not in store:
+        store[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return store[path]
+
+
 def op6_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import vocabulary_path
 

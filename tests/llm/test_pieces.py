@@ -110,6 +110,39 @@ def test_long_units_and_texts(model, library):
         assert len({x[0].tobytes() for x in got}) == len(got) == (1 if text[0] == "🎉" else 2) and all(pieces.decode(model, x[0].tolist()) == text for x in got)
 
 
+def test_segmentations_however_rare_are_emitted(model, library):
+    """Thousands of samples of one text: all segmentations, down to chances that single precision and differences to 1 lose."""
+    text = "the of"
+    paths = all_paths(library, text)
+    assert min(paths.values()) < math.log(1e-9) and len(paths) < 200
+    got = pieces.sample_batch(model, pieces.row_keys([5], 1), [text], len(paths) + 5)[0]
+    assert {tuple(x[0].tolist()) for x in got} == set(paths) and len(got) == len(paths)
+
+
+def test_what_is_left_is_the_sum_of_the_other_paths(model, library):
+    unit = pieces.META + "anna"
+    lattices = pieces.Lattices(model, [unit, "\n"])
+    paths = sorted(all_paths(library, "anna").items(), key=lambda x: -x[1])
+    own = [lattices.lengths(np.array(ids)) for ids, _ in paths]
+    for k in range(len(paths) + 1):
+        assert lattices.rest(0, own[:k]) == pytest.approx(sum(math.exp(p) for _, p in paths[k:]), rel=1e-9, abs=0 if k == len(paths) else 1e-300)
+    assert lattices.single.tolist() == [False, True]
+
+
+def test_one_key_gives_the_draws_of_many():
+    keys = np.array([1, 2**63 + 5, 77], np.uint64)
+    assert pieces.uniform(keys, 3, 1 << 21).tolist() == [pieces.uniform_of(int(k), 3, 1 << 21) for k in keys]
+
+
+def test_documents_encode_and_decode_as_the_library_does(spark, library):
+    rows = [(1, None), (2, ""), (3, "a text of\nsome words"), (None, "no id"), (4, "日本🎉  zz " * 2000)]
+    frame = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id bigint, text string, ids string")
+    encoded = pieces.encode_documents(frame, PATH)
+    assert sorted(((r.doc_id, r.ids) for r in encoded.collect()), key=str) == sorted(((d, library.encode(t or "")) for d, t in rows), key=str)
+    assert sorted(((r.doc_id, r.text) for r in pieces.decode_documents(encoded, PATH).collect()), key=str) == sorted(((d, library.decode(library.encode(t or ""))) for d, t in rows), key=str)
+    assert pieces.encode_documents(frame.filter("false"), PATH).collect() == []
+
+
 def test_columns(spark):
     rows = [(1, None), (2, ""), (3, "a text of\nsome words"), (None, "no id"), (3, "a text of\nsome words")]
     frame = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id bigint, text string, sample string")
