@@ -507,7 +507,8 @@ def decode(model: Model, ids: list[int]) -> str:
 
 
 def sample_segmentations(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: float = 1.0, seed: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, sample (0.. by falling noisy log-probability), n_pieces, ids_crc32 (of unsigned 32-bit ids), log_prob, inclusion, decoded_crc32, and the ids."""
+    """doc_id, sample (0.. by falling noisy log-probability), n_pieces, ids_crc32 (of unsigned 32-bit ids), log_prob, inclusion, its logarithm (of use
+    where the score is too small for a number, as in long texts), decoded_crc32, and the ids."""
 
     def run(batches):
         model = Model.of_process(model_path, alpha)
@@ -522,16 +523,18 @@ def sample_segmentations(docs: DataFrame, model_path: str, samples: int = SAMPLE
                 rows = []
                 for d, found in zip(doc_ids[a:b], sample_batch(model, row_keys(doc_ids[a:b], seed), texts[a:b], samples), strict=True):
                     for s, (ids, logp, _, rest) in enumerate(found):
-                        inclusion = -np.expm1(-np.exp(min(700.0, logp - rest))) if rest > -np.inf else 1.0
+                        above = min(700.0, logp - rest) if rest > -np.inf else 700.0
+                        inclusion = -np.expm1(-np.exp(above))
+                        log_inclusion = above if above < -30 else float(np.log(inclusion))  # the score itself runs out of range
                         plain = decode_bytes(model, ids.tolist())
-                        rows.append((d, s, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), logp, float(inclusion), zlib.crc32(plain), *([ids] if with_ids else [])))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32())]
-                names = ["doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "inclusion", "decoded_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names[: 7 + with_ids])
+                        rows.append((d, s, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), logp, float(inclusion), log_inclusion, zlib.crc32(plain), *([ids] if with_ids else [])))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32())]
+                names = ["doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "inclusion", "log_inclusion", "decoded_crc32", "ids"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names[: 8 + with_ids])
                 a = b
 
     keyed = docs.select(F.col(id_col).cast("bigint").alias("d"), text_or_empty(text_col).alias("t"))
-    return keyed.mapInArrow(run, "doc_id bigint, sample int, n_pieces bigint, ids_crc32 bigint, log_prob double, inclusion double, decoded_crc32 bigint" + ", ids array<int>" * with_ids)
+    return keyed.mapInArrow(run, "doc_id bigint, sample int, n_pieces bigint, ids_crc32 bigint, log_prob double, inclusion double, log_inclusion double, decoded_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
