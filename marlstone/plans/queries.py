@@ -55,12 +55,12 @@ def search_recency_filtered(spark, d):
 
 
 VECTOR_SQL = f"""WITH {REVIEWS_SQL}, {CHUNKS_SQL},
-q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, vec_id % 3 AS project, 5 + vec_id AS lim FROM embeddings WHERE vec_id IN (0, 1, 2, 3)),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, vec_id % 3 AS project, 5 + vec_id // 100 % 4 AS lim FROM embeddings WHERE vec_id % 100 = 0),
 scored AS (
   SELECT q.query_id, lim, c.id, c.review_id, c.start_offset, r.source, r.rating, r.occurred_s, list_cosine_similarity(c.embedding, q.v) AS similarity,
          CASE c.kind WHEN 'sentence' THEN 0 WHEN 'window' THEN 1 ELSE 2 END AS breadth
   FROM chunks_v c JOIN reviews_v r ON r.id = c.review_id JOIN q ON q.project = r.project_id
-  WHERE c.embedding IS NOT NULL AND r.environment = 'live' AND {POLICY.format(2)}),
+  WHERE c.embedding IS NOT NULL AND r.environment = 'live' AND {POLICY.format(2)} {{more}}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, occurred_s DESC NULLS LAST, breadth, id) AS rank FROM scored {{floor}}),
 fused AS (SELECT *, 1.0::DOUBLE / (60 + rank)::DOUBLE AS rrf, similarity < 0.1 AS below_floor FROM ranked),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id, review_id, below_floor ORDER BY rrf DESC, similarity DESC, breadth, id) AS n FROM fused),
@@ -70,18 +70,64 @@ SELECT query_id, id AS chunk_id, review_id, start_offset, round(similarity, 6) A
 
 
 def _batch(spark, d, **more):
-    ids = [0, 1, 2, 3]
-    return [search.Query(i, i % 3, "live", 5 + i, 2, 0.1, vector=v, **more) for i, v in zip(ids, views.query_vectors(spark, d, ids), strict=True)]
+    """Every hundredth vector asks."""
+    return [search.Query(i, i % 3, "live", 5 + i // 100 % 4, 2, 0.1, vector=v, **more) for i, v in views.vectors_asked(spark, d)]
 
 
 def _rounded(df):
     return df.withColumns({"similarity": F.round("similarity", 6), "rrf": F.round("rrf", 9)})
 
 
-@query(VECTOR_SQL.replace("{floor}", "WHERE similarity >= 0.1"))
+def _vector_sql(floor: str = "", more: str = "") -> str:
+    return VECTOR_SQL.replace("{floor}", floor).replace("{more}", more)
+
+
+@query(_vector_sql("WHERE similarity >= 0.1", "AND r.place_name = 'place2' AND r.language = 'en'"))
+def search_vector_metadata(spark, d):
+    """Metadata that must all be there."""
+    asked = _batch(spark, d, metadata={"place": "place2", "lang": "en"})
+    out = search.in_blocks(search.vector_search, views.with_metadata(R(spark, d)), Ch(spark, d), asked)
+    return _rounded(out).select("query_id", "chunk_id", "review_id", "start_offset", "similarity", "rrf", F.lit(False).alias("below_floor"), "rating", "source")
+
+
+HYBRID_SQL = f"""WITH {REVIEWS_SQL}, {CHUNKS_SQL},
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, vec_id % 3 AS project, 5 + vec_id // 100 % 4 AS lim, vec_id // 100 % 7 AS word FROM embeddings WHERE vec_id % 100 = 0),
+scored AS (
+  SELECT q.query_id, lim, c.id, c.review_id, c.start_offset, r.source, r.rating, r.occurred_s, list_cosine_similarity(c.embedding, q.v) AS similarity,
+         c.label = q.word AS hit, CASE WHEN c.id % 2 = 0 THEN 0.2 ELSE 0.1 END AS word_rank, CASE c.kind WHEN 'sentence' THEN 0 WHEN 'window' THEN 1 ELSE 2 END AS breadth
+  FROM chunks_v c JOIN reviews_v r ON r.id = c.review_id JOIN q ON q.project = r.project_id
+  WHERE c.embedding IS NOT NULL AND r.environment = 'live' AND {POLICY.format(2)} {{more}}),
+words AS (SELECT *, CASE WHEN hit THEN row_number() OVER (PARTITION BY query_id, hit ORDER BY word_rank DESC, occurred_s DESC NULLS LAST, breadth, id) END AS kw_rank FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, occurred_s DESC NULLS LAST, breadth, id) AS rank FROM words {{low}}),
+fused AS (SELECT *, 1.0::DOUBLE / (60 + rank)::DOUBLE + coalesce(1.0::DOUBLE / (60 + kw_rank)::DOUBLE, 0) AS rrf, NOT (similarity >= 0.2 OR (hit AND similarity >= 0.07)) AS below_floor FROM ranked),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, review_id, below_floor ORDER BY rrf DESC, similarity DESC, breadth, id) AS n FROM fused),
+one AS (SELECT * FROM best b WHERE n = 1 AND (NOT below_floor OR ({{both}} AND NOT EXISTS (SELECT 1 FROM best a WHERE a.query_id = b.query_id AND a.review_id = b.review_id AND NOT a.below_floor)))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, below_floor ORDER BY rrf DESC, occurred_s DESC NULLS LAST, review_id) AS place FROM one)
+SELECT query_id, id AS chunk_id, review_id, start_offset, round(similarity, 6) AS similarity, round(rrf, 9) AS rrf, below_floor, hit AS lexical, rating, source FROM placed WHERE place <= lim"""
+
+
+def _words_asked(spark, d, **more):
+    return [search.Query(i, i % 3, "live", 5 + i // 100 % 4, 2, 0.2, vector=v, text=f"w{i // 100 % 7}", **more) for i, v in views.vectors_asked(spark, d)]
+
+
+@query(HYBRID_SQL.replace("{more}", "AND r.place_name IN ('place1')").replace("{low}", "WHERE similarity >= 0.07").replace("{both}", "false"))
+def search_hybrid_metadata(spark, d):
+    """Vector and word ranks fused under two floors, with metadata: each excerpt has one word, so SQL can tell the word ranks."""
+    found = search.in_blocks(search.hybrid, views.with_metadata(R(spark, d)), views.labelled_words(Ch(spark, d)), _words_asked(spark, d, metadata={"place": "place1"}))
+    return _rounded(found).drop("occurred_s")
+
+
+@query(HYBRID_SQL.replace("{more}", "").replace("{low}", "").replace("{both}", "true"))
+def search_debug_words(spark, d):
+    """As above without metadata, with what is below the floors."""
+    found = search.in_blocks(search.debug, R(spark, d), views.labelled_words(Ch(spark, d)), _words_asked(spark, d))
+    return _rounded(found).drop("occurred_s")
+
+
+@query(_vector_sql("WHERE similarity >= 0.1"))
 def search_vector_batch(spark, d):
     """A batch of vector searches: exact cosine, floor, ranks, best excerpt a review, top k."""
-    out = search.vector_search(R(spark, d), Ch(spark, d), _batch(spark, d))
+    out = search.in_blocks(search.vector_search, R(spark, d), Ch(spark, d), _batch(spark, d))
     return _rounded(out).select("query_id", "chunk_id", "review_id", "start_offset", "similarity", "rrf", F.lit(False).alias("below_floor"), "rating", "source")
 
 
@@ -92,11 +138,11 @@ def _with_words(spark, d):
     return chunks.join(docs.select("review_id", T.lexemes("text").alias("lexemes")), "review_id")
 
 
-@query(VECTOR_SQL.replace("{floor}", ""))
+@query(_vector_sql())
 def search_debug_batch(spark, d):
     """With what is below the floor: two-sided top k, anti-joined on reviews that are above it."""
     chunks = Ch(spark, d).withColumn("lexemes", F.lit(None).cast("map<string,array<int>>"))
-    out = _rounded(search.debug(R(spark, d), chunks, _batch(spark, d)))
+    out = _rounded(search.in_blocks(search.debug, R(spark, d), chunks, _batch(spark, d)))
     return out.select("query_id", "chunk_id", "review_id", "start_offset", "similarity", "rrf", "below_floor", "rating", "source")
 
 
@@ -241,9 +287,9 @@ def mark_indexed(spark, d):
 
 @query(f"""WITH {CHUNKS_SQL} SELECT id, kind, CASE WHEN id % 19 = 0 AND id % 2 = 0 THEN id * 2 WHEN id % 19 <> 0 THEN len(embedding) END AS size FROM chunks_v""")
 def bulk_embedding_write(spark, d):
-    """Pending vectors set from parallel arrays of ids and values."""
+    """Pending vectors set from parallel arrays of ids and values, each of a thousand ids at most."""
     c = Ch(spark, d).select("id", "kind", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("bigint").alias("size"))
-    packed = c.filter("size IS NULL AND id % 2 = 0").groupBy((F.col("id") % 10).alias("batch")).agg(F.collect_list("id").alias("ids"), F.collect_list(F.col("id") * 2).alias("sizes"))
+    packed = c.filter("size IS NULL AND id % 2 = 0").groupBy(F.floor(F.col("id") / 1000).alias("batch")).agg(F.collect_list("id").alias("ids"), F.collect_list(F.col("id") * 2).alias("sizes"))
     values = packed.select(F.explode(F.arrays_zip("ids", "sizes")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.sizes").alias("size"))
     return dml.bulk_set(c, values, "id", "size").select("id", "kind", "size")
 
@@ -338,12 +384,25 @@ def fill_category_if_null(spark, d):
 # ---- joins and jobs -------------------------------------------------------------------------------------------
 
 
-@query("""SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE sha256(c_custkey::VARCHAR) = sha256('42') OR c_acctbal > 9000""")
+@query("""WITH asked AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'secret' ELSE 'publishable' END AS kind FROM customer WHERE c_custkey % 5 <> 0),
+kept AS (SELECT o_custkey AS k, CASE WHEN o_custkey % 4 = 0 THEN 'secret' ELSE 'publishable' END AS kind, o_orderkey AS project FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0)
+SELECT asked.k AS asked, project AS project_id, kind, s_suppkey AS account_id, CASE WHEN s_suppkey % 2 = 0 THEN 'paid' ELSE 'free' END AS plan, 1 + project % 5 AS min_rating
+FROM asked JOIN kept USING (k, kind) JOIN supplier ON s_suppkey = 1 + project % (SELECT count(*) FROM supplier) WHERE s_suppkey % 9 <> 0""")
 def key_lookup(spark, d):
-    """Hashed key to key, project and account: a chain of inner joins whose small sides Spark broadcasts by their size."""
-    c, n, r = (views.table(spark, d, t) for t in ("customer", "nation", "region"))
-    found = c.filter((F.sha2(F.col("c_custkey").cast("string"), 256) == F.sha2(F.lit("42"), 256)) | (F.col("c_acctbal") > 9000))
-    return found.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
+    """Hashed key to key, project and account: revoked keys, other kinds and deleted accounts are not found."""
+    orders, customer, supplier = (views.table(spark, d, t) for t in ("orders", "customer", "supplier"))
+    secret = lambda k: F.concat(F.lit("ml_"), k.cast("string"))
+    kind = lambda k, m: F.when(k % m == 0, "secret").otherwise("publishable")
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    keys = orders.filter(o % 3 == 0).select(F.sha2(secret(k), 256).alias("key_hash"), kind(k, 4).alias("kind"), F.lit("live").alias("environment"), o.alias("project_id"), F.when(o % 7 == 0, F.lit(1)).alias("revoked_at"))
+    n = supplier.count()
+    projects = orders.select(o.alias("id"), (1 + o % n).alias("account_id"), (1 + o % 5).alias("min_rating"), F.lit(0.66).alias("similarity_floor"), F.lit("dental").alias("category"))
+    s = F.col("s_suppkey")
+    accounts = supplier.select(s.alias("id"), F.when(s % 9 == 0, F.lit(1)).alias("deleted_at"), F.when(s % 2 == 0, "paid").otherwise("free").alias("plan"))
+    c = F.col("c_custkey")
+    asked = customer.filter(c % 5 != 0).select(secret(c).alias("key"), kind(c, 2).alias("kind"), F.lit("live").alias("environment"))
+    names = customer.select(F.sha2(secret(c), 256).alias("key_hash"), c.alias("asked"))
+    return access.key_lookup(keys, projects, accounts, asked).join(names, "key_hash").select("asked", "project_id", "kind", "account_id", "plan", "min_rating")
 
 
 LATEST_SQL = """latest AS (SELECT project_id, environment, artifact, id, status, coalesce(finished_s, started_s) AS ran_s FROM runs_v QUALIFY row_number() OVER (PARTITION BY project_id, environment, artifact ORDER BY started_s DESC, id DESC) = 1)"""
@@ -505,13 +564,13 @@ def index_documents(spark, d):
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+'), lambda x: regexp_replace(regexp_replace(x, '^''+|''+$', '', 'g'), '''s$', '')), lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^[0-9]+$'))) AS word FROM documents)
-SELECT word, count(DISTINCT doc_id) AS df, count(*) AS tf FROM w GROUP BY word HAVING count(DISTINCT doc_id) >= 20""")
+SELECT word, count(DISTINCT doc_id) AS df, count(*) AS tf FROM w GROUP BY word""")
 def word_frequencies(spark, d):
     """Term and document frequency of content words (no stop list), counted per document first."""
     docs = views.table(spark, d, "documents")
     words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}']+)"), F.lit(1)), lambda w: F.regexp_replace(F.regexp_replace(w, "^'+|'+$", ""), "'s$", ""))
     each = docs.select("doc_id", F.explode(words).alias("word")).filter((F.length("word") >= 3) & ~F.rlike("word", F.lit("^[0-9]+$"))).groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf")).filter("df >= 20")
+    return each.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
 
 
 @query()
@@ -588,12 +647,12 @@ def bench_statistics(spark, d):
 # ---- sources --------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id AS row, 'r' || doc_id AS external_id, CASE WHEN doc_id % 11 <> 0 THEN 1 + doc_id % 5 END::SMALLINT AS rating, CASE WHEN doc_id % 7 = 0 THEN 'Anonymous' ELSE 'Ann ' || doc_id END AS author_name, CASE WHEN doc_id % 3 = 0 THEN 'google' ELSE 'custom' END AS source, doc_id % 7 = 0 AS warned FROM documents WHERE trim(text) <> '' AND doc_id % 13 <> 0""")
+@query("""SELECT doc_id AS row, 'r' || doc_id AS external_id, CASE WHEN doc_id % 11 <> 0 THEN 1 + doc_id % 5 END::SMALLINT AS rating, CASE WHEN doc_id % 7 = 0 THEN 'Anonymous' ELSE 'Ann ' || doc_id END AS author_name, CASE WHEN doc_id % 3 = 0 THEN 'google' ELSE 'custom' END AS source, doc_id % 7 = 0 AS warned FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) BETWEEN 1 AND 20000 AND doc_id % 13 <> 0""")
 def normalize_rows(spark, d):
     """Uploaded cells through the column mapping into common reviews; rows without a date are errors and drop."""
     headers = ["Review ID", "Reviewer", "Stars", "Posted", "Comment", "Site"]
     i = F.col("doc_id")
-    cells = F.array(F.concat(F.lit("r"), i), F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("Ann "), i)), F.when(i % 11 == 0, "").otherwise(F.concat((1 + i % 5).cast("string"), F.lit(" stars"))), F.when(i % 13 == 0, "soon").otherwise("2024-02-01"), F.substring("text", 1, 1000), F.when(i % 3 == 0, "Google Maps").otherwise("Blog"))
+    cells = F.array(F.concat(F.lit("r"), i), F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("Ann "), i)), F.when(i % 11 == 0, "").otherwise(F.concat((1 + i % 5).cast("string"), F.lit(" stars"))), F.when(i % 13 == 0, "soon").otherwise("2024-02-01"), F.col("text"), F.when(i % 3 == 0, "Google Maps").otherwise("Blog"))
     rows = views.table(spark, d, "documents").select(i.alias("row"), cells.alias("cells"))
     m = mapping.Mapping("generic", 0.0, {"external_id": "Review ID", "author_name": "Reviewer", "rating": "Stars", "occurred_at": "Posted", "text": "Comment", "source": "Site"})
     return mapping.normalize(rows, headers, m).filter("ok").select("row", "review.external_id", "review.rating", "review.author_name", "review.source", (F.size("warnings") > 0).alias("warned"))
@@ -626,3 +685,6 @@ def rejected_rows(spark, d):
     """Rejected keys to the last row of the upload that has them."""
     rows = R(spark, d).select("source", F.col("place_name").alias("external_id"), F.col("id").alias("row"))
     return access.rejected_rows(rows, rows.filter("row % 41 = 0").select("source", "external_id").distinct())
+
+
+from . import more  # noqa: E402, F401  registers its queries too

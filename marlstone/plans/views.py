@@ -29,17 +29,27 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("vec_id")
+    """The embeddings as excerpts, dealt over all documents in the order of ids."""
+    v, n = F.col("vec_id"), max(1, table(spark, sf_dir, "documents").count())
     return table(spark, sf_dir, "embeddings").select(
-        v.alias("id"), (v % 200).alias("review_id"), F.when(v % 3 == 0, "full").when(v % 3 == 1, "window").otherwise("sentence").alias("kind"),
+        v.alias("id"), (v % n).alias("review_id"), F.when(v % 3 == 0, "full").when(v % 3 == 1, "window").otherwise("sentence").alias("kind"),
         (v % 5 * 10).alias("start_offset"), F.when(v % 19 != 0, F.col("embedding").cast("array<double>")).alias("embedding"), "label",
     )
 
 
 def spread_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As `chunks`, with the excerpts dealt over all documents in the order of ids."""
-    n = max(1, table(spark, sf_dir, "documents").count())
-    return chunks(spark, sf_dir).withColumn("review_id", F.col("id") % n)
+    return chunks(spark, sf_dir)
+
+
+def with_metadata(reviews: DataFrame) -> DataFrame:
+    """Reviews with their place and language as metadata."""
+    return reviews.withColumn("metadata", F.create_map(F.lit("place"), F.col("place_name"), F.lit("lang"), F.col("language")))
+
+
+def labelled_words(chunks: DataFrame) -> DataFrame:
+    """Excerpts with the lexeme positions of a text that says their label's word once, or twice if the id is even."""
+    word = F.concat(F.lit("w"), F.col("label").cast("string"))
+    return chunks.withColumn("lexemes", F.create_map(word, F.when(F.col("id") % 2 == 0, F.array(F.lit(1), F.lit(9))).otherwise(F.array(F.lit(1)))))
 
 
 def vectors_asked(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
@@ -76,7 +86,7 @@ REVIEWS_SQL = f"""reviews_v AS (
          CASE WHEN d.doc_id % 9 <> 0 THEN {EPOCH} + d.doc_id * 60 END AS indexed_s, d.doc_id % 8 AS index_attempts, {EPOCH} + d.doc_id * 30 AS updated_s
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 CHUNKS_SQL = """chunks_v AS (
-  SELECT vec_id AS id, vec_id % 200 AS review_id, CASE vec_id % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'window' ELSE 'sentence' END AS kind,
+  SELECT vec_id AS id, vec_id % (SELECT count(*) FROM documents) AS review_id, CASE vec_id % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'window' ELSE 'sentence' END AS kind,
          vec_id % 5 * 10 AS start_offset, CASE WHEN vec_id % 19 <> 0 THEN embedding::DOUBLE[] END AS embedding, label
   FROM embeddings)"""
 USAGE_SQL = """usage_v AS (
