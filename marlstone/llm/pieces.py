@@ -107,13 +107,20 @@ class Model:
                 self.length[i] = len(piece)
                 log_weight[i] = -alpha * np.log(2 + min(-sp.get_score(i), sp.get_piece_size()))
         self.weight = np.exp(log_weight)
+        #: The bytes of all pieces one after the other, and where each has its own.
+        self.plain_size = np.array([len(p) for p in self.plain], np.int32)
+        self.plain_at = (np.cumsum(self.plain_size) - self.plain_size).astype(np.int32)
+        self.plain_all = np.frombuffer(b"".join(self.plain), np.uint8)
         self.longest = -(-max(by_length) // 8) * 8  # padded, so that a row of flags is whole words
         self.known = frozenset(p for p, _ in by_length[1])
         hashes, ids = [], []
+        #: Whether some piece begins so and goes on, by the leading bits of the hash.
+        self.goes_on = np.zeros(1 << 20, bool)
         for n, pieces in by_length.items():
             codes = np.frombuffer("".join(p for p, _ in pieces).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.uint64)
             h = np.zeros(len(pieces), np.uint64)
             for j in range(n):
+                self.goes_on[(h >> np.uint64(44)).astype(np.int64)] = True
                 h = self.roll(h, codes[:, j])
             hashes.append(h)
             ids += [i for _, i in pieces]
@@ -122,6 +129,9 @@ class Model:
         slots = (self.hashes >> np.uint64(44)).astype(np.int64)
         self.slot = np.full(1 << 20, -1, np.int32)
         self.slot[slots] = np.arange(len(slots))
+        #: Which leading bits any piece has: small enough for the nearest cache, it settles most look-ups.
+        self.some = np.zeros(1 << 18, bool)
+        self.some[(self.hashes >> np.uint64(46)).astype(np.int64)] = True
         over = np.flatnonzero(self.slot[slots] != np.arange(len(slots)))
         over = over[np.argsort(self.hashes[over])]
         self.over_hash, self.over_id = self.hashes[over], self.of_hash[over]
@@ -132,9 +142,10 @@ class Model:
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes belong to pieces, and to which."""
-        k = self.slot[(h >> np.uint64(44)).astype(np.int64)]
-        maybe = np.flatnonzero(k >= 0)
-        k = k[maybe]
+        maybe = np.flatnonzero(self.some[(h >> np.uint64(46)).astype(np.int64)])
+        k = self.slot[(h[maybe] >> np.uint64(44)).astype(np.int64)]
+        there = k >= 0
+        maybe, k = maybe[there], k[there]
         same = self.hashes[k] == h[maybe]
         hit, ids = maybe[same], self.of_hash[k[same]]
         if len(self.over_hash):
@@ -205,11 +216,17 @@ class Lattices:
         for a in range(longest):
             m = int(many[a + 1])
             here = mass[off[a] : off[a] + m] if a else np.ones(m)
-            h = np.zeros(m, np.uint64)
+            h, alive = np.zeros(m, np.uint64), None  # alive: the units in which a piece may still go on
             for n in range(1, min(width, longest - a) + 1):
                 m, end = int(many[a + n]), int(off[a + n])
-                h = model.roll(h[:m], code[a + n - 1])
-                hit, ids = model.look_up(h)
+                if alive is None:
+                    h = model.roll(h[:m], code[a + n - 1])
+                    hit, ids = model.look_up(h)
+                else:
+                    alive = alive[: np.searchsorted(alive, m)]
+                    h = model.roll(h[: len(alive)], code[a + n - 1][alive])
+                    hit, ids = model.look_up(h)
+                    hit = alive[hit]
                 joint = here[hit] * model.weight[ids]
                 if n == 1 and len(hit) < m:
                     alone = np.ones(m, bool)
@@ -222,6 +239,11 @@ class Lattices:
                     mass[at] += joint
                     self.chance[at, n - 1] = joint
                     self.piece[at, n - 1] = ids
+                if n >= 2:
+                    going = np.flatnonzero(model.goes_on[(h >> np.uint64(44)).astype(np.int64)])
+                    alive, h = going if alive is None else alive[going], h[going]
+                    if not len(alive):
+                        break
         self.chance[: len(mass)] /= mass[:, None]
         self._alone(np.concatenate(code), 0)
 
@@ -266,7 +288,7 @@ class Lattices:
     def draw(self, unit: np.ndarray, key: np.ndarray, turn: int) -> tuple[np.ndarray, list]:
         """For each given unit: the log-probability of a drawn path, and its pieces by steps from the end."""
         left, logp = self.length[unit].copy(), np.zeros(len(unit))
-        live, steps = np.arange(len(unit)), []
+        live, steps = np.argsort(self.shift[unit], kind="stable"), []  # equal units side by side, so their rows are fetched once
         key, step = keyed(key, turn), 0
         while len(live):
             row = self.row(unit[live], left[live])
@@ -497,9 +519,13 @@ def row_keys(ids: list, seed: int) -> np.ndarray:
     return mix(mix(given + np.uint64(0x9E3779B97F4A7C15)) + np.uint64(seed))
 
 
-def decode_bytes(model: Model, ids: list[int]) -> bytes:
-    """The text of a list of ids in UTF-8: pieces and bytes joined, without the space put before the first word."""
-    return b"".join(map(model.plain.__getitem__, ids))[1:]
+def decode_bytes(model: Model, ids) -> bytes:
+    """The text of ids in UTF-8: pieces and bytes joined, without the space put before the first word."""
+    ids = np.asarray(ids, np.int64)
+    sizes = model.plain_size[ids]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = np.arange(int(ends[-1]) if len(ids) else 0) + np.repeat(model.plain_at[ids] - (ends - sizes), sizes)
+    return model.plain_all[at].tobytes()[1:]
 
 
 def decode(model: Model, ids: list[int]) -> str:
@@ -526,7 +552,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, samples: int = SAMPLE
                         above = min(700.0, logp - rest) if rest > -np.inf else 700.0
                         inclusion = -np.expm1(-np.exp(above))
                         log_inclusion = above if above < -30 else float(np.log(inclusion))  # the score itself runs out of range
-                        plain = decode_bytes(model, ids.tolist())
+                        plain = decode_bytes(model, ids)
                         rows.append((d, s, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), logp, float(inclusion), log_inclusion, zlib.crc32(plain), *([ids] if with_ids else [])))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32())]
                 names = ["doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "inclusion", "log_inclusion", "decoded_crc32", "ids"]
