@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalar as S
+from ..operators import search
 
 Q_MAX, DEFAULT_LIMIT = 500, 5
 
@@ -118,6 +119,26 @@ def parse_params(params: dict[str, str]) -> Request:
     return parse_request({**body, "filters": filters})
 
 
+def to_query(request: Request, query_id: int, project: dict, vector: list[float] | None = None) -> search.Query:
+    """The search that a request asks for, under its project's policy (project_id, environment, min_rating, similarity_floor,
+    category), which it can tighten and never loosen.  A request with words needs their vector; one without is the newest reviews."""
+    since = int(request.since.timestamp()) if request.since is not None else None
+    return search.Query(
+        query_id, project["project_id"], project.get("environment", "live"), request.limit, search.effective_min_rating(project["min_rating"], request.min_rating),
+        project.get("similarity_floor", C.SIMILARITY_FLOOR), vector if request.q else None, request.q if vector is not None else None, project.get("category"), list(request.sources), since, dict(request.metadata),
+    )
+
+
+def search_and_answer(request: Request, project: dict, reviews: DataFrame, chunks: DataFrame, vector: list[float] | None = None) -> DataFrame:
+    """From a request to its JSON answer: the search, the fallback to the newest reviews where it is asked for, and the reviews' columns."""
+    q = to_query(request, 0, project, vector)
+    newest = lambda: search.recency(reviews, chunks, q).withColumn("similarity", F.lit(None).cast("double"))
+    found = newest() if q.vector is None else search.hybrid(reviews, chunks, [q])
+    rows, verdict = with_fallback(request, found, newest)
+    order = [*([F.col("rrf").desc()] if "rrf" in rows.columns else []), search.newest_first(), "review_id"]
+    return answer(search.with_reviews(rows, reviews, chunks).orderBy(*order), request, verdict)
+
+
 # ---- answers --------------------------------------------------------------------------------------------------
 
 

@@ -64,3 +64,18 @@ def test_runs_batches_and_marks(spark):
     assert api.annotate(rows.filter("chunk_id = 1"), marks).first().lexical
     with pytest.raises(Exception, match="no mark for 2"):
         api.annotate(rows, marks).collect()
+
+
+def test_a_request_is_searched_and_answered(spark):
+    schema = "id bigint, project_id bigint, environment string, rating int, sentiment string, hidden boolean, source string, occurred_s bigint, occurred_at timestamp, metadata map<string,string>, author_name string, author_avatar_url string, url string, text string"
+    when = datetime(2026, 1, 5, tzinfo=UTC)
+    reviews = spark.createDataFrame([(i, 1, "live", 5, None, False, "google", 1000 - i, when, {"place": "north" if i % 2 else "south"}, f"Ann {i}", None, "https://x.y", f"Text {i} roof") for i in range(6)], schema)
+    chunks = spark.createDataFrame([(10 + i, i, "full", 0, f"Text {i} roof", [1.0, i / 10], {"roof": [3]}) for i in range(6)], "id bigint, review_id bigint, kind string, start_offset int, text string, embedding array<double>, lexemes map<string,array<int>>")
+    project = {"project_id": 1, "min_rating": 4, "similarity_floor": 0.66}
+    ask = lambda body, vector=None: [json.loads(r.json) for r in api.search_and_answer(api.parse_request(body), project, reviews, chunks, vector).collect()]
+    got = ask({"q": "roof", "limit": 2, "filters": {"metadata.place": "north"}}, [1.0, 0.0])
+    assert [x["review"]["id"] for x in got] == [1, 3] and got[0]["matched"] and got[0]["excerpt"] == "Text 1 roof" and got[0]["review"]["author_name"] == "Ann 1" and got[0]["review"]["metadata"] == {"place": "north"}
+    assert [x["review"]["id"] for x in ask({"limit": 3})] == [0, 1, 2]
+    none = {"q": "door", "filters": {"metadata.place": "west"}}
+    assert ask(none, [1.0, 0.0]) == [] and [x["matched"] for x in ask({**none, "fallback": "recent", "filters": {}}, [0.0, -1.0])][:1] == [False]
+    assert api.to_query(api.parse_request({"filters": {"min_rating": 2}}), 1, project).min_rating == 4
