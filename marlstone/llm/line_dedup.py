@@ -1,6 +1,7 @@
 """Line deduplication by content-defined chunks of lines.
 
-Each line is hashed, and a rolling hash over two neighbouring line hashes is taken at every line.  A chunk begins where
+Each line is hashed, and at every line a hash is taken of the window of its own and the line before's hash (MD5 of both: a
+rolling hash with a window of two, in SQL functions).  A chunk begins where
 that hash is lower than at the line before and at the line after.  That depends on four lines only, so lines put in or
 taken out shift the boundaries next to them and no others; and two such places are never next to each other, so all
 chunks have two lines or more, save perhaps a text's first.

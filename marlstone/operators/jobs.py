@@ -106,25 +106,35 @@ def pace_fold(times: list[float], spacing: float, most: int, period: float = C.R
 
 
 def rate_limited(events: DataFrame, key: str, limit: int, period: float = C.RATE_PERIOD_SECONDS, ident: str = "event_id") -> DataFrame:
-    """key, event id, allowed.  A fold in time order needs a key's events one after the other; they are sorted by Spark
-    and streamed through, and only the timestamps of one period are held."""
+    """key, event id, allowed.
 
+    A key's events fall into stretches between which nothing happens for a period, so no stretch matters to the next.  Stretches of
+    `limit` events or fewer pass without being looked at.  Only the bursts that are left are folded in time order, each by
+    itself; they are sorted by Spark and streamed through, and only the timestamps of one period are held.
+    """
     import pyarrow as pa
 
     def fold(batches):
         last, window = None, []
         for batch in batches:
-            keys, idents, times = (batch.column(i).to_pylist() for i in range(3))
+            keys, stretches, idents, times = (batch.column(i).to_pylist() for i in range(4))
             allowed = []
-            for k, t in zip(keys, times, strict=True):
-                if k != last:
-                    last, window = k, []
+            for k, s, t in zip(keys, stretches, times, strict=True):
+                if (k, s) != last:
+                    last, window = (k, s), []
                 ok, window = limit_fold([t], limit, period, window)
                 allowed += ok
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(idents), pa.array(allowed, pa.bool_())], ["k", "ident", "allowed"])
-
-    rows = events.select(F.col(key).cast("bigint").alias("k"), F.col(ident).cast("bigint").alias("ident"), (F.unix_micros("ts") / 1e6).alias("t")).repartition("k").sortWithinPartitions("k", "t", "ident")
-    return rows.mapInArrow(fold, "k bigint, ident bigint, allowed boolean").select(F.col("k").alias(key), F.col("ident").alias(ident), "allowed")
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(idents, pa.int64()), pa.array(allowed, pa.bool_())], ["k", "ident", "allowed"])
+
+    w = Window.partitionBy("k").orderBy("t", "ident")
+    rows = events.select(F.col(key).cast("bigint").alias("k"), F.col(ident).cast("bigint").alias("ident"), (F.unix_micros("ts") / 1e6).alias("t"))
+    begins = F.coalesce((F.col("t") - F.lag("t").over(w) >= period).cast("int"), F.lit(1))
+    parted = rows.withColumn("begins", begins).withColumn("stretch", F.sum("begins").over(w)).drop("begins")
+    counted = parted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k", "stretch")))
+    quiet = counted.filter(F.col("n") <= limit).select("k", "ident", F.lit(True).alias("allowed"))
+    bursts = counted.filter(F.col("n") > limit).select("k", "stretch", "ident", "t").repartition("k", "stretch").sortWithinPartitions("k", "stretch", "t", "ident")
+    told = quiet.union(bursts.mapInArrow(fold, "k bigint, ident bigint, allowed boolean"))
+    return told.select(F.col("k").alias(key), F.col("ident").alias(ident), "allowed")
 
 
 # ---- the index step -------------------------------------------------------------------------------------------

