@@ -30,7 +30,7 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words of these characters alone are split here: their classes are settled, and no lower case of theirs is longer than one.
 SETTLED = re.compile("[!-~\u00a1-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]+")
 #: Bytes of text that are encoded at once, unless one text is longer.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
