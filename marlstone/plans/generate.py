@@ -35,6 +35,26 @@ def chunks(generated: DataFrame) -> DataFrame:
     return generated.select(F.col("id").alias("review_id"), F.posexplode(both).alias("n", "c")).select((F.col("review_id") * 2 + F.col("n")).alias("id"), "review_id", "c.kind", "c.text", F.lit(0).alias("start_offset"))
 
 
+DEMO_LIVE, DEMO_TEST = 80, 10
+
+
+def demo(spark: SparkSession, anchor_s: int) -> tuple[DataFrame, DataFrame]:
+    """Reviews of a demonstration project, dated back from an anchor, and their whole texts as excerpts with hashed vectors.
+
+    80 live ones and 10 for tests; every eighth has no rating and, of these, every other one a sentiment of its own.
+    """
+    from ..functions.vector import hashed_embedding
+
+    i = F.col("id")
+    rows = spark.range(DEMO_LIVE + DEMO_TEST).select(
+        "id", F.when(i < DEMO_LIVE, "live").otherwise("test").alias("environment"), F.when(i % 4 == 0, "yelp").otherwise("google").alias("source"), F.concat(F.lit("demo/"), i).alias("external_id"),
+        F.when(i % 8 != 7, 1 + (i * 3) % 5).cast("int").alias("rating"), F.when(i % 16 == 7, "positive").alias("sentiment"), F.concat_ws(" ", topic(i), topic(i * 5 + 2)).alias("text"),
+        (F.lit(anchor_s) - i * 86_400).alias("occurred_s"), F.concat(F.lit("place "), i % 3).alias("location"),
+    )
+    parts = rows.select(i.alias("review_id"), F.lit("full").alias("kind"), "text", F.lit(0).alias("start_offset"), hashed_embedding(64)("text").alias("embedding"))
+    return rows, parts
+
+
 def replay(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A saved evaluation run (JSON lines of queries with their rows in rank order) as observed rows and queries."""
     schema = "id string, q string, kind string, tags array<string>, expect array<string>, acceptable array<string>, rows array<struct<key:string,similarity:double,lexical:boolean,rerank:double>>"

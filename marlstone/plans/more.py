@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import access, dml, evals, imports, jobs
-from . import api, views
+from . import api, generate, views
 from .queries import OBSERVED_SQL, POINT_SQL, R, _asked, _observed, query
 from .views import REVIEWS_SQL, RUNS_SQL, USAGE_SQL
 
@@ -264,3 +264,18 @@ def sweep_markers(spark, d):
     e = views.table(spark, d, "events")
     marks = e.select(F.col("user_id").alias("project_id"), F.when(F.col("event_type") == "purchase", "clear").otherwise("mark").alias("kind"), F.col("event_id").alias("at_s"))
     return jobs.marker_state(marks, e.agg(F.max("event_id")).first()[0] + 1000)
+
+
+@query("""SELECT environment, count(*) AS n, count(*) FILTER (WHERE i % 8 = 7) AS unrated, count(*) FILTER (WHERE i % 4 = 0) AS yelp, min(1700000000 - i * 86400) AS oldest_s, count(*) AS embedded FROM (SELECT i, CASE WHEN i < 80 THEN 'live' ELSE 'test' END AS environment FROM range(90) t(i)) GROUP BY environment""")
+def demo_seed(spark, d):
+    """The demonstration project: reviews with their excerpts and vectors."""
+    rows, parts = generate.demo(spark, 1_700_000_000)
+    told = rows.join(parts.filter("size(embedding) = 64").select(F.col("review_id").alias("id")), "id", "left_semi")
+    return told.groupBy("environment").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rating").isNull()).alias("unrated"), F.count_if(F.col("source") == "yelp").alias("yelp"), F.min("occurred_s").alias("oldest_s"), F.count(F.lit(1)).alias("embedded"))
+
+
+@query(f"""WITH {REVIEWS_SQL} SELECT id FROM reviews_v WHERE place_name = 'place3' ORDER BY id % 5 DESC, id % 7 DESC, external_id LIMIT 40""")
+def connector_page(spark, d):
+    """A location's reviews as a connector returns them: newest update first."""
+    r = R(spark, d).filter("place_name = 'place3'").select("id", (F.col("id") % 5).alias("update_ms"), (F.col("id") % 7).alias("create_ms"), F.col("external_id").alias("name"))
+    return imports.newest_update_first(r).limit(40).select("id")
