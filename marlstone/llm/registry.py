@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, pieces, pii, quality, secrets, sharding, simhash, token_files
+from . import exact_dedup, lexicon, line_dedup, packing, pieces, pii, quality, secrets, sharding, simhash, token_files
 
 QUERIES = {
     "op1_pii_deobfuscation": pii.op1_pii_deobfuscation,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_token_files": token_files.op10_token_files,
+    "op12_lexicon_bpe": lexicon.op12_lexicon_bpe,
 }
 
 ORACLES = {

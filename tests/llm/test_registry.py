@@ -124,3 +124,13 @@ def test_token_files(spark, tables):
     assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
     assert [r.doc_id for r in got if r.doc_id is not None] == sorted(d for d, _ in tables[1] if d is not None)
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+
+
+def test_lexicon(spark, tables):
+    model = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    got = rows_of(spark, tables, "op12_lexicon_bpe", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    want = []
+    for d, t in tables[1]:
+        ids = model.encode(t or "", add_special_tokens=False).ids
+        want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
