@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lexicon, line_dedup, packing, pieces, pii, quality, secrets, sharding, simhash, token_files
+from . import alignment, exact_dedup, lexicon, line_dedup, packing, pieces, pii, prefix_trie, quality, secrets, sharding, simhash, token_files
 
 QUERIES = {
     "op1_pii_deobfuscation": pii.op1_pii_deobfuscation,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_token_files": token_files.op10_token_files,
+    "op11_cross_tokenizer_alignment": alignment.op11_cross_tokenizer_alignment,
     "op12_lexicon_bpe": lexicon.op12_lexicon_bpe,
+    "op13_conversation_prefix_trie": prefix_trie.op13_conversation_prefix_trie,
 }
 
 ORACLES = {

@@ -13,8 +13,12 @@ from tokenizers import Tokenizer
 from marlstone.llm.registry import ORACLES, QUERIES
 from marlstone.llm.tokens import vocabulary_path
 
+from .test_alignment import COLUMNS as alignment_columns
+from .test_alignment import Slow
 from .test_dedup import slow_components
 from .test_native_ops import slow_counts
+from .test_prefix_trie import COLUMNS as trie_columns
+from .test_prefix_trie import slow_trie
 from .test_spans import slow_pii, slow_secrets
 from .test_tokens import check_packing, crc
 
@@ -134,3 +138,14 @@ def test_lexicon(spark, tables):
         ids = model.encode(t or "", add_special_tokens=False).ids
         want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_alignment(spark, tables):
+    got = rows_of(spark, tables, "op11_cross_tokenizer_alignment", "doc_id", *alignment_columns)
+    assert sorted(map(tuple, got), key=str) == sorted(Slow().rows(tables[1]), key=str)
+
+
+def test_prefix_trie(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = QUERIES["op13_conversation_prefix_trie"](spark, DATA).select(*trie_columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(slow_trie(rows), key=str)
