@@ -35,11 +35,13 @@ from .tokens import vocabulary_path
 ship(__name__)
 
 #: How many words the lexicon has, and bytes of the longest one.
-LEXICON_WORDS, WORD_BYTES = 1 << 18, 64
+LEXICON_WORDS, WORD_BYTES = 1 << 16, 64
 #: Longer words are merged by the library, whose queue suits them better.
 LONG_WORD = 1024
 #: Characters that are split into words at once, and distinct words that a task counts before it hands them on.
-SLICE, HELD_WORDS = 6 << 20, 1 << 19
+SLICE, HELD_WORDS = 2 << 20, 1 << 18
+#: Ids that are decoded at once, unless one row has more.
+DECODED = 1 << 20
 #: What stands for a space between units, and before a text's first unit; both are characters that no plain text has.
 CUT, FIRST = "\x1f", "\x1e"
 #: White space in RE2, and all that libraries take for it.
@@ -225,7 +227,7 @@ class LexiconEncoder:
     def __init__(self, vocabulary: str, lexicon: np.ndarray | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         with open(vocabulary, encoding="utf-8") as f:
             told = json.load(f)
@@ -237,9 +239,6 @@ class LexiconEncoder:
         self.whole = Tokenizer.from_file(vocabulary)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.of_words = Tokenizer.from_str(self.whole.to_str())
-        self.of_words.encode_special_tokens = True
-        self.of_words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.size = self.whole.get_vocab_size()
         self.find = regex.compile(WORDS).findall
@@ -261,6 +260,16 @@ class LexiconEncoder:
         self.slots = slots_of(self.pair)
         self.lexicon = None if lexicon is None else Lexicon(lexicon)
 
+    @functools.cached_property
+    def of_words(self):
+        """The library without its own way to tell words."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        model = Tokenizer.from_str(self.whole.to_str())
+        model.encode_special_tokens = True
+        model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return model
+
     @classmethod
     def of_process(cls, vocabulary: str, file: str | None = None) -> LexiconEncoder:
         """The encoder of this worker process; the lexicon is mapped into memory, not read."""
@@ -495,18 +504,17 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
             model = Tokenizer.from_file(vocabulary)
             kept[vocabulary] = pa.array([token_bytes(model.id_to_token(i) or "") for i in range(model.get_vocab_size())], pa.large_binary())
         column = column.fill_null([])
-        starts = column.offsets.to_numpy()
-        tokens = kept[vocabulary].take(column.values.slice(starts[0], starts[-1] - starts[0]))
-        ends = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1)[starts - starts[0]]
-        raw = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(np.ascontiguousarray(ends)), tokens.buffers()[2]])
-        # In parts: one array of strings holds at most 2 GB.
-        cuts = [0, *(np.flatnonzero(np.diff(ends // (64 << 20))) + 1).tolist(), len(column)]
-        for a, b in itertools.pairwise(sorted(set(cuts))):
-            part = raw.slice(a, b - a)
+        offsets = column.offsets.to_numpy()
+        steps = np.flatnonzero(np.diff((offsets - offsets[0]) // DECODED)) + 1
+        for a, b in itertools.pairwise(sorted({0, *steps.tolist(), len(column)})):
+            starts = offsets[a : b + 1]
+            tokens = kept[vocabulary].take(column.values.slice(starts[0], starts[-1] - starts[0]))
+            ends = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1)[starts - starts[0]]
+            raw = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(np.ascontiguousarray(ends)), tokens.buffers()[2]])
             try:
-                yield b - a, part.cast(pa.large_string()).cast(pa.string())
+                yield b - a, raw.cast(pa.large_string()).cast(pa.string())
             except pa.ArrowInvalid:
-                yield b - a, pa.array([x.decode("utf-8", "replace") for x in part.to_pylist()], pa.string())
+                yield b - a, pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
     return _wider(encoded, ids_col, "decoded", T.StringType(), rows_of)
 
