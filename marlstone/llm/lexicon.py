@@ -466,64 +466,79 @@ def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS,
     return name
 
 
-def _wider(frame: DataFrame, used: str, name: str, kind: T.DataType, rows_of) -> DataFrame:
-    """`frame` and one more column, which `rows_of` makes from the column `used` of each batch: (rows, values) until all are done."""
-    rest = [c for c in frame.columns if c.lower() != name]
+def _wider(frame: DataFrame, used: str, added: dict[str, T.DataType], rows_of) -> DataFrame:
+    """`frame` and more columns, which `rows_of` makes from the column `used` of each batch: (rows, arrays) until all are done."""
+    rest = [c for c in frame.columns if c.lower() not in added]
     kept = frame.select(*("`{}`".format(c.replace("`", "``")) for c in rest), F.col(used))
-    schema = T.StructType([*kept.schema.fields[:-1], T.StructField(name, kind)])
-    names = [*rest, name]
+    schema = T.StructType([*kept.schema.fields[:-1], *(T.StructField(n, t) for n, t in added.items())])
+    names = [*rest, *added]
 
     def widen(batches):
         for batch in batches:
             at = 0
-            for n, values in rows_of(batch.column(batch.num_columns - 1)):
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, n) for i in range(len(rest))), values], names)
+            for n, arrays in rows_of(batch.column(batch.num_columns - 1)):
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, n) for i in range(len(rest))), *arrays], names)
                 at += n
 
-    return kept.toDF(*(f"c{i}" for i in range(len(schema)))).mapInArrow(widen, schema)  # names with dots don't pass
+    return kept.toDF(*(f"c{i}" for i in range(len(rest) + 1))).mapInArrow(widen, schema)  # names with dots don't pass
 
 
-def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, text_col: str = "text") -> DataFrame:
-    """`docs` with ids (array<int>) of each text; `lexicon` is what `build_lexicon` has returned."""
+def texts_of(column: pa.Array, vocabulary: str):
+    """(rows, their texts) until all lists of ids are done."""
+    kept = process_store("token-bytes")
+    if vocabulary not in kept:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(vocabulary)
+        kept[vocabulary] = pa.array([token_bytes(model.id_to_token(i) or "") for i in range(model.get_vocab_size())], pa.large_binary())
+    column = column.fill_null([])
+    offsets = column.offsets.to_numpy()
+    steps = np.flatnonzero(np.diff((offsets - offsets[0]) // DECODED)) + 1
+    for a, b in itertools.pairwise(sorted({0, *steps.tolist(), len(column)})):
+        starts = offsets[a : b + 1]
+        tokens = kept[vocabulary].take(column.values.slice(starts[0], starts[-1] - starts[0]))
+        ends = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1)[starts - starts[0]]
+        raw = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(np.ascontiguousarray(ends)), tokens.buffers()[2]])
+        try:
+            yield b - a, raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            yield b - a, pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
+IDS, DECODED_TEXT = {"ids": T.ArrayType(T.IntegerType())}, {"decoded": T.StringType()}
+
+
+def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, text_col: str = "text", back: bool = False) -> DataFrame:
+    """`docs` with ids (array<int>) of each text; `lexicon` is what `build_lexicon` has returned.  `back` adds what `decode` would, in the same pass."""
 
     def rows_of(column):
         for n, ids, many in LexiconEncoder.of_process(vocabulary, lexicon).encode([t or "" for t in column.to_pylist()]):
-            yield n, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(ids, pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(ids, pa.int32()))
+            if not back:
+                yield n, [lists]
+                continue
+            at = 0
+            for k, texts in texts_of(lists, vocabulary):
+                yield k, [lists.slice(at, k), texts]
+                at += k
 
-    return _wider(docs, text_col, "ids", T.ArrayType(T.IntegerType()), rows_of)
+    return _wider(docs, text_col, IDS | (DECODED_TEXT if back else {}), rows_of)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     """`encoded` with decoded: the text of its ids, special tokens included; bytes that are no UTF-8 become U+FFFD. Null ids give an empty text."""
 
     def rows_of(column):
-        kept = process_store("token-bytes")
-        if vocabulary not in kept:
-            from tokenizers import Tokenizer
-
-            model = Tokenizer.from_file(vocabulary)
-            kept[vocabulary] = pa.array([token_bytes(model.id_to_token(i) or "") for i in range(model.get_vocab_size())], pa.large_binary())
-        column = column.fill_null([])
-        offsets = column.offsets.to_numpy()
-        steps = np.flatnonzero(np.diff((offsets - offsets[0]) // DECODED)) + 1
-        for a, b in itertools.pairwise(sorted({0, *steps.tolist(), len(column)})):
-            starts = offsets[a : b + 1]
-            tokens = kept[vocabulary].take(column.values.slice(starts[0], starts[-1] - starts[0]))
-            ends = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1)[starts - starts[0]]
-            raw = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(np.ascontiguousarray(ends)), tokens.buffers()[2]])
-            try:
-                yield b - a, raw.cast(pa.large_string()).cast(pa.string())
-            except pa.ArrowInvalid:
-                yield b - a, pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
-
-    return _wider(encoded, ids_col, "decoded", T.StringType(), rows_of)
+        for n, texts in texts_of(column, vocabulary):
+            yield n, [texts]
+
+    return _wider(encoded, ids_col, DECODED_TEXT, rows_of)
 
 
 def op12_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by a lexicon of their own frequent words, and decoded again."""
     docs, vocabulary = spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path("byte_bpe_50k.json")
-    ids = encode(docs.select("doc_id", "text"), vocabulary, build_lexicon(docs, vocabulary)).drop("text")
-    back = decode(ids, vocabulary)
+    back = encode(docs.select("doc_id", "text"), vocabulary, build_lexicon(docs, vocabulary), back=True)
     return back.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

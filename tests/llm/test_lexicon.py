@@ -88,6 +88,8 @@ def test_encode_and_decode_tables(spark, library, texts):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, decoded string, x double").withColumnRenamed("x", "a.b")
     book = lexicon.build_lexicon(docs, VOCABULARY, words=50)
     got = lexicon.decode(lexicon.encode(docs, VOCABULARY, book), VOCABULARY).collect()
+    at_once = lexicon.encode(docs, VOCABULARY, book, back=True).drop("text").collect()
+    assert sorted(str((r.doc_id, r.ids, r.decoded)) for r in at_once) == sorted(str((r.doc_id, r.ids, r.decoded)) for r in got)
     want = sorted((str(d), library.encode(t or "", add_special_tokens=False).ids, library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False), str(x)) for d, t, _, x in rows)
     assert sorted((str(r.doc_id), r.ids, r.decoded, str(r["a.b"])) for r in got) == want
     empty = docs.limit(0)
