@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,12 +26,12 @@ PART = re.compile(r"[^\W_]+")
 # ---- lexemes --------------------------------------------------------------------------------------------------
 
 
-def tokens(text: str) -> Iterator[tuple[str, int]]:
-    """Words with their positions from 1; a hyphenated word counts as itself and then as each of its parts."""
+def tokens(text: str, compounds: bool = True) -> Iterator[tuple[str, int]]:
+    """Words with their positions from 1; a hyphenated word counts as itself (`compounds`) and then as each of its parts."""
     at = 0
     for m in WORD.finditer(text.lower()):
         parts = PART.findall(m[0])
-        for w in [m[0], *parts] if len(parts) > 1 else parts:
+        for w in [m[0], *parts] if compounds and len(parts) > 1 else parts:
             at += 1
             yield w, at
 
@@ -41,11 +41,11 @@ def lexeme(word: str) -> str | None:
     return None if word in C.ENGLISH_STOP_WORDS else S.stem(word)
 
 
-def vector_of(text: str, stems: dict[str, str | None] | None = None) -> dict[str, list[int]]:
+def vector_of(text: str, stems: dict[str, str | None] | None = None, lexeme: Callable[[str], str | None] = lexeme, compounds: bool = True) -> dict[str, list[int]]:
     """Each lexeme with its positions; stop words leave gaps.  Texts that share `stems` stem each word once."""
     stems = {} if stems is None else stems
     out: dict[str, list[int]] = {}
-    for word, at in tokens(text or ""):
+    for word, at in tokens(text or "", compounds):
         if word not in stems:
             stems[word] = lexeme(word)
         lex = stems[word]
@@ -67,13 +67,13 @@ Phrase = tuple[tuple[str, int], ...]
 Alternatives = list[list[tuple[bool, Phrase]]]
 
 
-def _phrase(text: str) -> Phrase:
-    found = [(lex, at) for word, at in tokens(text) if (lex := lexeme(word))]
+def _phrase(text: str, lexeme: Callable[[str], str | None], compounds: bool) -> Phrase:
+    found = [(lex, at) for word, at in tokens(text, compounds) if (lex := lexeme(word))]
     first = found[0][1] if found else 0
     return tuple((lex, at - first) for lex, at in found)
 
 
-def parse_query(text: str) -> Alternatives:
+def parse_query(text: str, lexeme: Callable[[str], str | None] = lexeme, compounds: bool = True) -> Alternatives:
     """Words are all wanted; "quoted words" stand together; `or` separates alternatives; a leading minus excludes."""
     alternatives: Alternatives = [[]]
     for m in re.finditer(r'(-?)"([^"]*)"?|([^\s"]+)', text):
@@ -83,7 +83,7 @@ def parse_query(text: str) -> Alternatives:
             if alternatives[-1]:
                 alternatives.append([])
             continue
-        phrase = _phrase(quoted if quoted is not None else word.lstrip("-"))
+        phrase = _phrase(quoted if quoted is not None else word.lstrip("-"), lexeme, compounds)
         if phrase:
             alternatives[-1].append((bool(minus), phrase))
     return [a for a in alternatives if a]
@@ -121,7 +121,7 @@ def cover_rank(vector: dict[str, list[int]], query: Alternatives) -> float:
                     noise = (at - places[start][0]) - (k - start)
                     total += 0.1 / (1 + max(noise, 0))
                     last_start = start
-    return total
+    return round(total, 9)  # equal densities are equal, whatever order they were summed in
 
 
 def lexical(vector: dict[str, list[int]], query_text: str, rule: str = "half-specific", generic: list[str] = ()) -> bool:

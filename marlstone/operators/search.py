@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.vector import dot
+from ..storage import written
+from .postings import Asked, Parsed, judge, parse
 
 #: Queries in one batch; a batch is broadcast.
 MAX_BATCH = 1_000
@@ -103,25 +105,38 @@ def batch_frame(like: DataFrame, queries: list[Query]) -> DataFrame:
     return like.sparkSession.createDataFrame(rows, f"query_id bigint, q_project {kind}, q_environment string, q_limit int, q_min_rating int, floor double, low_floor double, q_vector array<double>, q_norm double, q_text string, q_category string, q_sources array<string>, q_since bigint, q_metadata map<string,string>")
 
 
-def candidates(reviews: DataFrame, chunks: DataFrame, queries: list[Query]) -> DataFrame:
-    """Embedded excerpts of publishable reviews with the queries of their tenant and their similarity.
+def _tenants_of(batch: DataFrame):
+    """The batch's tenants for a broadcast, and the condition that a table's row is of one."""
+    tenants = F.broadcast(batch.select("q_project", "q_environment").distinct())
+    return tenants, lambda t: (t["project_id"] == tenants["q_project"]) & (t["environment"] == tenants["q_environment"])
+
 
-    Reviews are reduced to the batch's tenants, and so are excerpts that say whose they are, before any vector moves.
+def _excerpts(reviews: DataFrame, chunks: DataFrame, batch: DataFrame) -> DataFrame:
+    """Excerpts of the batch's tenants with what a query can ask of their reviews.
+
+    Reviews are reduced to the tenants, and so are excerpts that say whose they are, before any vector moves.
     """
-    batch = batch_frame(reviews, queries)
-    tenants = F.broadcast(batch.select("q_project", "q_environment").distinct())
-    of_batch = lambda t: (t["project_id"] == tenants["q_project"]) & (t["environment"] == tenants["q_environment"])
+    tenants, of_batch = _tenants_of(batch)
     metadata = F.col("metadata") if "metadata" in reviews.columns else F.lit(None).cast("map<string,string>").alias("metadata")
     mine = reviews.filter(~F.col("hidden"))
     r = mine.join(tenants, of_batch(mine), "left_semi").select(F.col("id").alias("review_id"), "project_id", "environment", "rating", "sentiment", "hidden", "source", "occurred_s", metadata)
-    c = chunks.filter(F.col("embedding").isNotNull())
     if "project_id" in chunks.columns and "environment" in chunks.columns:
-        c = c.join(tenants, of_batch(c), "left_semi").drop("project_id", "environment")
-    c = c.join(r, "review_id").withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
+        chunks = chunks.join(tenants, of_batch(chunks), "left_semi").drop("project_id", "environment")
+    return chunks.join(r, "review_id").withColumn("breadth", breadth(F.col("kind")))
+
+
+def _allowed() -> Column:
+    """Whether an excerpt is of a query's tenant, publishable, and passes its filters."""
     on = (F.col("project_id") == F.col("q_project")) & (F.col("environment") == F.col("q_environment"))
     has_all = (F.size("q_metadata") == 0) | F.coalesce(F.forall(F.map_entries("q_metadata"), lambda e: F.coalesce(F.try_element_at("metadata", e["key"]) == e["value"], F.lit(False))), F.lit(False))
-    allowed = publishable(F.col("q_min_rating")) & ((F.size("q_sources") == 0) | F.array_contains("q_sources", F.col("source"))) & (F.col("q_since").isNull() | (F.col("occurred_s") >= F.col("q_since"))) & has_all
-    joined = c.join(F.broadcast(batch), on & allowed).withColumn("breadth", breadth(F.col("kind")))
+    return on & publishable(F.col("q_min_rating")) & ((F.size("q_sources") == 0) | F.array_contains("q_sources", F.col("source"))) & (F.col("q_since").isNull() | (F.col("occurred_s") >= F.col("q_since"))) & has_all
+
+
+def candidates(reviews: DataFrame, chunks: DataFrame, queries: list[Query]) -> DataFrame:
+    """Embedded excerpts of publishable reviews with the queries of their tenant and their similarity."""
+    batch = batch_frame(reviews, queries)
+    c = _excerpts(reviews, chunks.filter(F.col("embedding").isNotNull()), batch).withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
+    joined = c.join(F.broadcast(batch), _allowed())
     # Lengths are taken once for each vector, before the join; only the product is left for each pair.
     length = F.col("norm") * F.col("q_norm")
     cosine = F.when(length == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("q_vector")) / length)
@@ -159,46 +174,73 @@ def normalized_rrf(score: Column, lists: int) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score * (C.RRF_K + 1) / lists))
 
 
-#: Parts into which the rows of a query are dealt for ranking, by what they are ranked by.
-RANK_PARTS = 512
-
-
-def counted_rank(rows: DataFrame, name: str, part: Column, *order: Column | str) -> DataFrame:
-    """`rows` with their rank within their query; `part` (a whole number, large first) is the leading part of the order.
+def counted_rank(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """`rows` with their rank within their query.
 
-    Rows are dealt by query and part, and numbered there; how many stand in the parts before comes from the counts of the
-    parts, a few rows for each query.  So no task has all rows of a query.
+    Rows are dealt by ranges of the whole order, whose bounds are sampled, so that no value, however many rows share it,
+    meets in one task; they are written once, numbered within their ranges, and the counts of the ranges say what stands before.
     """
-    dealt = rows.withColumn("_part", part).repartition("query_id", "_part")
+    dealt = written(rows.repartitionByRange("query_id", *order).withColumn("_part", F.spark_partition_id()), name)
     counts = dealt.groupBy("query_id", "_part").count()
-    before = F.sum("count").over(Window.partitionBy("query_id").orderBy(F.col("_part").desc())) - F.col("count")
-    own = F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))
-    numbered = dealt.withColumn("_own", own)
+    before = F.sum("count").over(Window.partitionBy("query_id").orderBy("_part")) - F.col("count")
+    numbered = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order)))
     return numbered.join(counts.select("query_id", "_part", before.alias("_before")), ["query_id", "_part"]).withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).drop("_part", "_own", "_before")
 
 
-def hybrid_ranks(reviews: DataFrame, chunks: DataFrame, queries: list[Query], below_floor: bool = False, lexemes: str = "lexemes") -> DataFrame:
+#: What is carried through the ranks: keys, what they are ranked by, and what a result shows of its review.
+RANKED = ["query_id", "id", "review_id", "start_offset", "breadth", "occurred_s", "rating", "source", "similarity", "floor", "low_floor", "q_limit"]
+
+
+def _word_hits(reviews: DataFrame, chunks: DataFrame, queries: list[Query], judged: DataFrame, lacking: list[int]) -> DataFrame:
+    """query_id, id, word_rank, occurred_s, breadth of all excerpts, embedded or not, whose words match in full.
+
+    `lacking` are queries that match what has none of their words; their excerpts are all of the tenant but those that don't match.
+    """
+    batch = batch_frame(reviews, queries)
+    kept = [c for c in ("id", "review_id", "kind", "project_id", "environment") if c in chunks.columns]
+    excerpts = _excerpts(reviews, chunks.select(*kept), batch)
+    full = judged.filter("full_match").withColumnRenamed("query_id", "j_query").join(excerpts, "id")
+    hits = full.join(F.broadcast(batch), (F.col("j_query") == F.col("query_id")) & _allowed())
+    out = hits.select("query_id", "id", "word_rank", "occurred_s", "breadth")
+    if lacking:
+        all_of = excerpts.join(F.broadcast(batch.filter(F.col("query_id").isin(lacking))), _allowed())
+        none = all_of.join(judged.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        out = out.unionByName(none.select("query_id", "id", F.lit(0.0).alias("word_rank"), "occurred_s", "breadth"))
+    return out
+
+
+def hybrid_ranks(reviews: DataFrame, chunks: DataFrame, queries: list[Query], below_floor: bool = False, lexemes: str = "lexemes", postings: DataFrame | None = None, words: list[Parsed] | None = None, rule: str = "half-specific") -> DataFrame:
     """All candidates with both ranks fused and the floors applied, before they are reduced to reviews.
 
-    `chunks` has a column of lexeme positions (functions.text.lexemes).  Word ranks run over all that match the query,
-    vector ranks over what reaches the lower floor (everything, if rows below the floor are wanted).  Without words in any query
-    nothing is looked up in the texts.
+    Words are looked up in `postings` (operators.postings; `words` are the queries parsed as the index needs it), or else in
+    a column of lexeme positions of `chunks` (functions.text.lexemes).  Word ranks run over all that match the query, with
+    postings over excerpts that have no vector yet too; vector ranks over what reaches the lower floor (everything, if rows below the
+    floor are wanted).  Without words in any query nothing is looked up in the texts.
     """
     from ..functions.text import match_columns
 
     scored = candidates(reviews, chunks, queries)
-    near_part = F.floor((F.col("similarity") + 1) * (RANK_PARTS / 2)).cast("int")
+    asked = any((q.text or "").strip() for q in queries)
+    slim = written(scored.select(*RANKED, *([lexemes] if asked and postings is None else [])), "scored")
     by_words = [F.col("word_rank").desc(), newest_first(), "breadth", "id"]
-    if any((q.text or "").strip() for q in queries):
+    flags = {"full_match": F.lit(False), "lexical": F.lit(False), "kw_rank": F.lit(None).cast("int")}
+    if not asked:
+        told = slim.drop(lexemes).withColumns(flags)
+    elif postings is None:
         texts = {q.query_id: (q.text or "", C.generic_words(q.category)) for q in queries}
-        matched = match_columns(scored, lexemes, texts).drop(lexemes)
-        # Rows that match are numbered among themselves; the others share one part of their own, which needs no order.
-        word_part = F.when(F.col("full_match"), F.least(F.lit(RANK_PARTS), F.floor(F.col("word_rank") * 64)).cast("int")).otherwise(-1 - F.pmod(F.xxhash64("id"), F.lit(RANK_PARTS)).cast("int"))
-        with_words = counted_rank(matched, "kw_rank", word_part, *by_words).withColumn("kw_rank", F.when(F.col("full_match"), F.col("kw_rank")))
+        judged = written(match_columns(slim, lexemes, texts, rule).drop(lexemes), "judged")
+        kw = counted_rank(judged.filter("full_match").select("query_id", "id", "word_rank", "occurred_s", "breadth"), "kw_rank", *by_words)
+        told = judged.join(kw.select("query_id", "id", "kw_rank"), ["query_id", "id"], "left").drop("word_rank")
     else:
-        with_words = scored.drop(lexemes).withColumns({"full_match": F.lit(False), "word_rank": F.lit(0.0), "lexical": F.lit(False), "kw_rank": F.lit(None).cast("int")})
-    kept = with_words if below_floor else with_words.filter("similarity >= low_floor")
-    ranked = counted_rank(kept, "rank", near_part, F.col("similarity").desc(), newest_first(), "breadth", "id")
+        words = words if words is not None else parse([Asked(q.query_id, q.project_id, q.environment, q.text or "", C.generic_words(q.category)) for q in queries])
+        judged = written(judge(postings, words, rule), "judged")
+        lacking = [p.asked.query_id for p in words if p.matches_nothing]
+        kw = counted_rank(_word_hits(reviews, chunks, queries, judged, lacking), "kw_rank", *by_words)
+        told = slim.join(judged.select("query_id", "id", "full_match", "lexical"), ["query_id", "id"], "left").join(kw.select("query_id", "id", "kw_rank"), ["query_id", "id"], "left")
+        alone = F.col("query_id").isin(lacking) if lacking else F.lit(False)  # of the batch, so bounded
+        told = told.withColumns({c: F.coalesce(c, alone) for c in ("full_match", "lexical")})
+    kept = told if below_floor else told.filter("similarity >= low_floor")
+    ranked = counted_rank(kept, "rank", F.col("similarity").desc(), newest_first(), "breadth", "id")
     return ranked.withColumn("below_floor", ~((F.col("similarity") >= F.col("floor")) | (F.col("lexical") & (F.col("similarity") >= F.col("low_floor"))))).withColumn("rrf", rrf(F.col("rank"), F.col("kw_rank")))
 
 
@@ -216,15 +258,15 @@ def _limited(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).filter((F.col("place") <= C.MAX_SEARCH_LIMIT) & (F.col("place") <= F.col("q_limit")))
 
 
-def hybrid(reviews: DataFrame, chunks: DataFrame, queries: list[Query], lexemes: str = "lexemes") -> DataFrame:
-    """Vector and word ranks fused, under the two floors, one excerpt a review."""
-    best = best_of_reviews(hybrid_ranks(reviews, chunks, queries, lexemes=lexemes).filter("NOT below_floor"))
+def hybrid(reviews: DataFrame, chunks: DataFrame, queries: list[Query], **words) -> DataFrame:
+    """Vector and word ranks fused, under the two floors, one excerpt a review; `words` as in `hybrid_ranks`."""
+    best = best_of_reviews(hybrid_ranks(reviews, chunks, queries, **words).filter("NOT below_floor"))
     return _limited(best).select(*RESULT)
 
 
-def debug(reviews: DataFrame, chunks: DataFrame, queries: list[Query], lexemes: str = "lexemes") -> DataFrame:
+def debug(reviews: DataFrame, chunks: DataFrame, queries: list[Query], **words) -> DataFrame:
     """As `hybrid`, and as many reviews again of which every excerpt is below the floor."""
-    best = best_of_reviews(hybrid_ranks(reviews, chunks, queries, below_floor=True, lexemes=lexemes))
+    best = best_of_reviews(hybrid_ranks(reviews, chunks, queries, below_floor=True, **words))
     above = best.filter("NOT below_floor")
     below = best.filter("below_floor").join(above.select("query_id", "review_id"), ["query_id", "review_id"], "left_anti")
     return _limited(above).select(*RESULT).unionByName(_limited(below).select(*RESULT))
@@ -233,12 +275,12 @@ def debug(reviews: DataFrame, chunks: DataFrame, queries: list[Query], lexemes:
 def with_reviews(found: DataFrame, reviews: DataFrame, chunks: DataFrame) -> DataFrame:
     """Results with what an answer shows: the excerpt, and the review's text, author, link, date and metadata.
 
-    Results are few, MAX_SEARCH_LIMIT a query, so they are broadcast to the tables.
+    Texts come last, by the keys of the results; Spark chooses the joins by their sizes.
     """
     shown = [c for c in ("author_name", "author_avatar_url", "url", "occurred_at", "metadata") if c in reviews.columns]
     r = reviews.select(F.col("id").alias("review_id"), *shown, F.col("text").alias("review_text"))
     c = chunks.select(F.col("id").alias("chunk_id"), F.col("text").alias("excerpt"))
-    return c.join(F.broadcast(r.join(F.broadcast(found), "review_id")), "chunk_id")
+    return c.join(r.join(found, "review_id"), "chunk_id")
 
 
 def in_blocks(find: Callable[..., DataFrame], reviews: DataFrame, chunks: DataFrame, queries: list[Query], **more) -> DataFrame:

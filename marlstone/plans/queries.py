@@ -703,4 +703,4 @@ def rejected_rows(spark, d):
     return access.rejected_rows(rows, rows.filter("row % 41 = 0").select("source", "external_id").distinct())
 
 
-from . import more  # noqa: E402, F401  registers its queries too
+from . import indexed, more  # noqa: E402, F401  they register their queries too
