@@ -51,22 +51,26 @@ GLYPHS, FILLED = "★☆⭐✩✭✮✯*", "★⭐✭*"
 def parse_rating(cell: Column) -> Column:
     """1..5 from stars, words, "a/b", "a out of b", "n stars" or a number up to 10; else null.
 
-    The cell is taken apart once: its numbers, and its form, in which a # stands for each number.
+    The cell is taken apart once: its numbers, and its form, in which a # stands for each number and every other mark stays.
     """
-    number = r"[0-9]+(?:[.,][0-9]+)?"
     low = F.lower(trimmed(cell))
-    parts = F.struct(F.transform(F.regexp_extract_all(low, F.lit(number), F.lit(0)), lambda x: F.translate(x, ",", ".").try_cast("double")).alias("n"), F.regexp_replace(F.regexp_replace(low, number, "#"), r"[\s_-]", "").alias("form"), low.alias("v"))
+    number = r"[0-9]+(?:[.,][0-9]+)?"
+    parts = F.struct(F.regexp_extract_all(low, F.lit(number), F.lit(0)).alias("n"), F.regexp_replace(low, number, "#").alias("form"), low.alias("v"))
+    gap = f"{SPACE}*"
 
     def value(x: Column) -> Column:
-        form, first, second = x["form"], F.get(x["n"], F.lit(0)), F.get(x["n"], F.lit(1))
+        form, second = x["form"], F.get(x["n"], F.lit(1))
+        first = F.translate(F.get(x["n"], F.lit(0)), ",", ".").try_cast("double")
+        whole = F.substring_index(second, ",", 1).try_cast("double")  # below the line a comma ends the number
         without = lambda c, chars: F.translate(c, chars, "")
-        shared = F.startswith(form, F.lit("#/#")) | F.startswith(form, F.lit("#outof#")) | F.startswith(form, F.lit("#of#"))
-        word = lookup(F.regexp_replace(form, "stars?$", ""), {"one": 1.0, "two": 2.0, "three": 3.0, "four": 4.0, "five": 5.0})
+        names = {"one": 1.0, "two": 2.0, "three": 3.0, "four": 4.0, "five": 5.0} | {str(i): float(i) for i in range(1, 6)}
+        word = lookup(F.regexp_replace(x["v"], f"(?:{SPACE}|[_-])*stars?$", ""), names)
         scaled = F.when((first > 5) & (first <= 10), first / 2).otherwise(first)
+        single = F.rlike(form, F.lit(f"^(?:rated{gap})?#(?:{gap}(?:stars?|★))?$")) | (F.rlike(form, F.lit(f"^rated{gap}#{gap}/#$")) & (second == "5"))
         return (
             F.when((form != "") & (without(form, GLYPHS) == ""), (F.length(x["v"]) - F.length(without(x["v"], FILLED))).cast("double"))
-            .when(shared, half_up(F.try_divide(first, second) * 5).cast("double"))
-            .when(form.isin("#", "#star", "#stars", "#★", "rated#", "rated#star", "rated#stars", "rated#★"), half_up(scaled).cast("double"))
+            .when(F.rlike(form, F.lit(f"^#{gap}(?:/|out of|of){gap}#")), half_up(F.try_divide(first, whole) * 5).cast("double"))
+            .when(single, half_up(scaled).cast("double"))
             .otherwise(word)
         )
 

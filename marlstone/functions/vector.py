@@ -27,6 +27,48 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
+# ---- half precision -------------------------------------------------------------------------------------------
+
+
+def half_bits(x: Column) -> Column:
+    """The binary16 nearest to a number (ties to the even one), as its 16 bits in a short; too large ones are infinite, null stays null.
+
+    The exponent is the power of two at or below the size; within it, and below 2^-14, numbers lie a fixed step apart, and
+    counting steps gives the bits: a carry from the last of them into the exponent is the next number anyway.
+    """
+    size = F.abs(x.cast("double"))
+    near = F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size).otherwise(1.0)))
+    # The logarithm may be off by a rounding beside a power of two.
+    exact = near + (size >= F.pow(F.lit(2.0), near + 1)).cast("int") - (size < F.pow(F.lit(2.0), near)).cast("int")
+    exponent = F.greatest(exact, F.lit(-14))
+    steps = F.rint(size * F.pow(F.lit(2.0), 10 - exponent)).cast("bigint")
+    finite = F.when(size < F.pow(F.lit(2.0), F.lit(-14)), steps).otherwise((exponent + 15) * 1024 + steps - 1024)
+    bits = F.when(F.isnan(x), 0x7E00).when(size >= 65520.0, 0x7C00).otherwise(finite)
+    negative = (x < 0) | (x.cast("string") == "-0.0")
+    return F.when(negative & ~F.isnan(x), bits - 0x8000).otherwise(bits).cast("smallint")
+
+
+def half_value(bits: Column) -> Column:
+    """The number that 16 bits stand for."""
+    low = F.pmod(bits.cast("int"), F.lit(0x8000))
+    exponent, part = F.floor(low / 1024).cast("int"), low % 1024
+    size = F.when(exponent == 31, F.when(part == 0, float("inf")).otherwise(float("nan"))).when(exponent == 0, part * 2.0**-24).otherwise((1024 + part) * F.pow(F.lit(2.0), exponent - 25))
+    return F.when(bits < 0, -size).otherwise(size)
+
+
+def to_half(vector: Column) -> Column:
+    """A vector stored as shorts, half of its size in single precision."""
+    return F.transform(vector, half_bits)
+
+
+def from_half(vector: Column) -> Column:
+    """Its numbers as doubles, for products."""
+    return F.transform(vector, half_value)
+
+
+# ---- stand-in embeddings --------------------------------------------------------------------------------------
+
+
 def fnv1a(text: str) -> int:
     """32-bit FNV-1a over UTF-16 code units."""
     h = 0x811C9DC5

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import vector as V
+from ..operators import search
 from ..operators.outbox import Outbox, sweep_and_send
+from ..operators.pacing import paced, penalised
 from ..operators.resumable import COUNTS, ResumableImport
-from ..sources import polling
+from ..sources import polling, variants
 from ..sources.snapshots import SnapshotTable
 from ..storage import fresh_path
 from ..streaming import delivery
 from . import views
-from .queries import EPOCH, R, query
+from .queries import EPOCH, R, _rounded, _vector_sql, query
 from .views import REVIEWS_SQL
 
 # ---- messages -------------------------------------------------------------------------------------------------
@@ -105,3 +109,68 @@ def import_ledger(spark, d):
 def imported_rows(spark, d):
     """What that import has stored."""
     return _resumed(spark, d)[0].current()
+
+
+# ---- limits in time -------------------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id % 50 AS k, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id % 50 ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+s AS (SELECT k, event_id, n, t AS start_ms, [t] AS slots FROM e WHERE n = 1
+  UNION ALL SELECT e.k, e.event_id, e.n, x.start, list_append(s.slots[-4:], x.start) FROM s JOIN e ON e.k = s.k AND e.n = s.n + 1,
+    LATERAL (SELECT greatest(e.t, s.slots[-1] + 400000, CASE WHEN len(s.slots) >= 5 THEN s.slots[-5] + 3600000 ELSE 0 END) AS start) x)
+SELECT k, event_id, n, start_ms FROM s""")
+def paced_requests(spark, d):
+    """When each request may go: so long after the one before, and so many in a period."""
+    e = views.table(spark, d, "events").select((F.col("user_id") % 50).alias("k"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return paced(e, "k", 400_000, 5, 3_600_000).select("k", "event_id", F.col("n").cast("bigint").alias("n"), "start_ms")
+
+
+@query("""WITH e AS (SELECT user_id % 50 AS k, event_id, ts, (event_type IN ('error', 'view'))::BIGINT AS bad, floor(epoch(ts) / 86400) AS p FROM events)
+SELECT k, event_id, sum(bad) OVER (PARTITION BY k, p ORDER BY ts, event_id) - bad >= 3 AS blocked FROM e""")
+def penalty_box(spark, d):
+    """Who is shut out until a period ends, after three failures in it."""
+    e = views.table(spark, d, "events").select((F.col("user_id") % 50).alias("k"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").isin("error", "view").alias("failed"))
+    return penalised(e, "k", 3, 86_400)
+
+
+# ---- half precision -------------------------------------------------------------------------------------------
+
+#: binary16 by the same steps in SQL: the power of two at or below, the step within it, the nearest even count of steps.
+HALF_SQL = """CASE WHEN abs(x) >= 65520 THEN sign(x) * 'inf'::DOUBLE WHEN x = 0 THEN 0.0 ELSE
+  round_even(x / power(2.0, greatest(floor(log2(abs(x))), -14) - 10), 0) * power(2.0, greatest(floor(log2(abs(x))), -14) - 10) END"""
+HALVED = f"list_transform(embedding::DOUBLE[], lambda x: {HALF_SQL})"
+
+
+@query(f"SELECT vec_id, round(list_sum({HALVED}), 9) AS total, list_count(list_filter(list_zip(embedding::DOUBLE[], {HALVED}), lambda p: p[1] <> p[2])) AS changed, array_to_string(list_transform({HALVED}, lambda x: (x * 16777216)::BIGINT), ',') AS numbers FROM embeddings")
+def half_precision(spark, d):
+    """Vectors rounded to half precision and stored as shorts: their numbers (in steps of 2^-24), and how many changed."""
+    v = views.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")).withColumn("half", V.to_half(F.col("x"))).withColumn("y", V.from_half(F.col("half")))
+    changed = F.size(F.filter(F.zip_with("x", "y", lambda a, b: a != b), lambda p: p)).cast("bigint")
+    total = F.aggregate("y", F.lit(0.0), lambda s, x: s + x)
+    return v.select("vec_id", F.round(total, 9).alias("total"), changed.alias("changed"), F.array_join(F.transform("y", lambda x: (x * 16777216).cast("bigint").cast("string")), ",").alias("numbers"))
+
+
+@query(_vector_sql("WHERE similarity >= 0.1").replace("embedding::DOUBLE[] AS v", f"{HALVED} AS v").replace("THEN embedding::DOUBLE[] END", f"THEN {HALVED} END"))
+def search_half_batch(spark, d):
+    """The batch of vector searches over vectors in half precision: similarities and ranks are those of the rounded numbers."""
+    halve = lambda c: V.from_half(V.to_half(c))
+    chunks = views.chunks(spark, d).withColumn("half", V.to_half(F.col("embedding"))).withColumn("embedding", V.from_half(F.col("half"))).drop("half")
+    rows = views.table(spark, d, "embeddings").filter("vec_id % 100 = 0").select("vec_id", halve(F.col("embedding").cast("array<double>")).alias("v")).collect()
+    asked = [search.Query(r.vec_id, r.vec_id % 3, "live", 5 + r.vec_id // 100 % 4, 2, 0.1, vector=list(r.v)) for r in sorted(rows)]
+    out = search.in_blocks(search.vector_search, R(spark, d), chunks, asked)
+    return _rounded(out).select("query_id", "chunk_id", "review_id", "start_offset", "similarity", "rrf", F.lit(False).alias("below_floor"), "rating", "source")
+
+
+# ---- nested JSON ----------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT event_id AS row, props->>'k' AS k, user_id, event_type, value FROM events)
+SELECT row, unnest(['type', 'by.user', 'by.tags', 'by.more.k', 'by.more.none', 'ok']) AS name,
+  unnest([event_type, user_id::VARCHAR, '["a",' || k || ']', k, '', CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END]) AS value, unnest([1, 2, 3, 4, 5, 6]) AS number FROM e""")
+def flattened_json(spark, d):
+    """Nested records as cells with dotted names, numbered in the order in which names first appear."""
+    e = views.table(spark, d, "events")
+    text = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "by": {"user": '), F.col("user_id").cast("string"), F.lit(', "tags": ["a", '), F.get_json_object("props", "$.k"), F.lit('], "more": {"k": '), F.get_json_object("props", "$.k"), F.lit(', "none": null}}, "empty": {}, "ok": '), F.when(F.col("user_id") % 2 == 0, "true").otherwise("false"), F.lit("}"))
+    table = variants.cells(e.select(F.col("event_id").alias("row"), text.alias("json")))
+    order = variants.headers(table).select("name", F.row_number().over(Window.orderBy("first")).cast("bigint").alias("number"))  # a row for each name
+    return table.join(order, "name").select("row", "name", "value", "number")
