@@ -27,3 +27,10 @@ def arrow(schema: str):
         return call
 
     return wrap
+
+
+# What Python functions of any module look up in these travels too.
+ship("marlstone.functions")
+from .. import constants  # noqa: E402
+
+ship(constants.__name__)

@@ -38,38 +38,55 @@ def _take_place(spark: SparkSession, beside: str, path: str, old: str) -> None:
         raise OSError(f"{beside} could not take the place of {path}")
 
 
+#: What a replacement is of, as the names of what it puts beside the table say: all of it, or some of its partitions.
+WHOLE, SOME = "whole", "parts"
+
+
 def recover(spark: SparkSession, path: str) -> None:
     """Finish or undo replacements that were broken off; call it before a table is read or changed.
 
-    What is missing at its place is taken from the new rows, which were complete before anything was moved, or else from the old.
+    What is missing at its place is taken from the new rows, which were complete before anything was moved, or else from the
+    old.  A table replaced as a whole that stands at its place is done, whatever the old one had.
     """
     fs, at = _files(spark, path)
     name = at(path).getName()
-    beside = [s.getPath() for s in fs.globStatus(at(at(path).getParent(), f"{name}.*-*")) or []]
-    new, old = ({p.getName().rpartition("-")[2]: p for p in beside if p.getName().startswith(f"{name}.{kind}-")} for kind in ("new", "old"))
+    beside = [s.getPath() for s in fs.globStatus(at(at(path).getParent(), f"{name}.*-*-*")) or []]
+    new, old = ({tuple(p.getName().split("-")[-2:]): p for p in beside if p.getName().startswith(f"{name}.{kind}-")} for kind in ("new", "old"))
     for tag in {*new, *old}:
         moved = old.get(tag)
-        if moved is not None:
-            parts = [s.getPath().getName() for s in fs.listStatus(moved) if "=" in s.getPath().getName()]
-            if fs.exists(at(path)) and parts:
-                for part in parts:
-                    if not fs.exists(at(path, part)):
-                        ready = at(new[tag], part) if tag in new else None
-                        fs.rename(ready if ready is not None and fs.exists(ready) else at(moved, part), at(path, part))
-            elif not fs.exists(at(path)):
-                fs.rename(new[tag] if tag in new else moved, at(path))
+        if moved is not None and tag[0] == SOME:
+            for part in [s.getPath().getName() for s in fs.listStatus(moved) if "=" in s.getPath().getName()]:
+                if not fs.exists(at(path, part)):
+                    ready = at(new[tag], part) if tag in new else None
+                    fs.rename(ready if ready is not None and fs.exists(ready) else at(moved, part), at(path, part))
+        elif moved is not None and not fs.exists(at(path)):
+            fs.rename(new[tag] if tag in new else moved, at(path))
         for p in (new.get(tag), moved):
             if p is not None and fs.exists(p):
                 fs.delete(p, True)
 
 
+def parted_by(spark: SparkSession, path: str) -> list[str]:
+    """The columns that a stored table's folders are parted by."""
+    fs, at = _files(spark, path)
+    columns, folder = [], at(path)
+    while fs.exists(folder):
+        below = [s.getPath() for s in fs.listStatus(folder) if s.isDirectory() and "=" in s.getPath().getName()]
+        if not below:
+            break
+        columns.append(below[0].getName().split("=", 1)[0])
+        folder = below[0]
+    return columns
+
+
 def swap(rows: DataFrame, path: str) -> None:
-    """Replace the table at `path` by rows that may be computed from it: write beside it, then rename.
+    """Replace the table at `path` by rows that may be computed from it: write beside it, parted as it is, then rename.
 
     If it breaks off between the renames, `recover` puts the new rows in place."""
-    spark, tag = rows.sparkSession, uuid.uuid4().hex[:8]
+    spark, tag = rows.sparkSession, f"{WHOLE}-{uuid.uuid4().hex[:8]}"
     beside, old = f"{path}.new-{tag}", f"{path}.old-{tag}"
-    rows.write.parquet(beside)
+    columns = [c for c in parted_by(spark, path) if c in rows.columns]
+    (rows.write.partitionBy(*columns) if columns else rows.write).parquet(beside)
     _take_place(spark, beside, path, old)
     fs, at = _files(spark, path)
     fs.delete(at(old), True)
@@ -77,7 +94,7 @@ def swap(rows: DataFrame, path: str) -> None:
 
 def swap_parts(rows: DataFrame, path: str, column: str, values: list) -> None:
     """Replace the partitions `column` = one of `values` by what `rows` has for them, nothing perhaps; others are not touched."""
-    spark, tag = rows.sparkSession, uuid.uuid4().hex[:8]
+    spark, tag = rows.sparkSession, f"{SOME}-{uuid.uuid4().hex[:8]}"
     beside, old = f"{path}.new-{tag}", f"{path}.old-{tag}"
     rows.write.partitionBy(column).parquet(beside)
     fs, at = _files(spark, path)

@@ -148,3 +148,40 @@ def test_tables(spark, tmp_path):
     again = spark.read.parquet(str(tmp_path / "s"))
     tables.swap(again.filter("project_id = 1"), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 1 and tables.healthy(spark)
+
+
+@pytest.mark.parametrize("stop", range(5))
+def test_a_parted_table_swapped_as_a_whole_has_only_the_new_rows(spark, tmp_path, monkeypatch, stop):
+    """Stopped before each step of a replacement whose new rows lack a partition of the old."""
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(p, "live", v) for p in (1, 2) for v in "abc"], "project_id int, environment string, v string")
+    tables.store(rows, path)
+    real, left = tables._files, [stop]
+
+    class Breaks:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            def call(*a):
+                if name in ("rename", "delete", "mkdirs"):
+                    if not left[0]:
+                        raise OSError("gone")
+                    left[0] -= 1
+                return getattr(self.fs, name)(*a)
+
+            return call
+
+    monkeypatch.setattr(tables, "_files", lambda s, p: (lambda fs, at: (Breaks(fs), at))(*real(s, p)))
+    new = spark.read.parquet(path).filter("project_id = 1")
+    try:
+        tables.swap(new, path)
+        broken = False
+    except OSError:
+        broken = True
+    monkeypatch.setattr(tables, "_files", real)
+    tables.recover(spark, path)
+    got = spark.read.parquet(path)
+    assert got.count() == (6 if broken and stop == 0 else 3 if not broken or stop > 1 else got.count())
+    assert got.count() in (3, 6) and tables.parted_by(spark, path) == ["project_id", "environment"]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
