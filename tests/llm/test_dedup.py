@@ -244,3 +244,31 @@ def test_the_forest_spans_what_is_near():
     fps[20:] = fps[:20] ^ np.uint64(5)
     links = similar.nearest_forest(fps, 8)
     assert sorted((min(a, b), max(a, b)) for a, b in links) == [(i, i + 20) for i in range(20)]
+
+
+@pytest.mark.parametrize("seed, long_list", [(1, 4096), (2, 4096), (3, 4)])
+def test_no_link_is_lost_in_groups_at_the_threshold(spark, monkeypatch, seed, long_list):
+    """Sixty groups of eight copies with 2 to 6 of 300 words changed: many pairs are just above or below 0.8."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for k in range(8):
+            words = list(base)
+            for at in rng.choice(300, int(rng.integers(2, 7)), replace=False):
+                words[at] = f"e{rng.integers(10**6)}"
+            rows.append((g * 10 + k, " ".join(words)))
+    monkeypatch.setattr(similar.nominated, "__defaults__", (long_list,))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, rows), 5, similarity=0.8).collect()}
+    assert got == dict(slow_similar(rows, 5, 0.8))
+
+
+def test_likeliest_partners_are_of_other_components_and_parts():
+    sketches = np.zeros((5, 48), np.uint8)
+    sketches[3, :10] = 1
+    sketches[4] = 9
+    roots, sides = np.array([0, 0, 1, 2, 3]), np.array([0, 0, 0, 1, 1])
+    assert similar.likeliest(sketches, roots, sides, False, 9) == ([(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)], False)
+    assert similar.likeliest(sketches, roots, sides, True, 9) == ([(0, 3), (1, 3), (2, 3)], False)
+    pairs, more = similar.likeliest(sketches, roots, sides, False, 1)
+    assert (0, 2) in pairs and (1, 2) in pairs and more

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -63,3 +64,18 @@ def test_stages_keep_the_columns_and_handle_odd_rows(spark, given):
             if count == 6 and "near" in name:
                 assert n == 2  # the one text with its variant (26 of 27 shingles in common), and the empty ones
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "SimHash near-dedup", "PII", "best-fit packing"]
+
+
+def test_stages_with_columns_of_any_name(spark, given):
+    """Columns that the stages could use inside stay as they are."""
+    where, _ = given
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    names = ["_id", "_hash", "hash", "text_hash", "node", "d", "t", "n", "root", "key", "kept", "_place", "part", "line"]
+    wide = docs.limit(12).union(docs.limit(2)).select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, where)
+        if name != "best-fit packing":
+            assert out.columns == wide.columns, name
+            assert all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in out.collect()), name
+        else:
+            assert out.count() > 0
