@@ -20,9 +20,19 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id and text_hash are among `wanted`; a null doc_id matches a null one."""
-    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
+    """The rows of `docs` whose doc_id and text_hash are among `wanted`; a null doc_id matches a null one.
+
+    Columns are named through their tables, so whatever else `docs` has can't clash."""
+    wanted = wanted.select("doc_id", "text_hash")
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (F.xxhash64(docs["text"]) == wanted["text_hash"]), "left_semi")
+
+
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A name like `name` that no column of `docs` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: What makes texts near copies: the Jaccard similarity of their sets of five-word shingles.
@@ -30,13 +40,19 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the rules with risk-controlled cutoffs."""
+    """Documents that pass the base rule and the rules with risk-controlled cutoffs.
+
+    A null or empty text fails the base rule; of rows that repeat a doc_id each is judged by its own text, and repeated rows
+    all stay or all go; an empty table gives an empty one; further columns, whatever their names, are kept."""
     told = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _rows_of(docs, told.filter("kept"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the multi-line chunks that an earlier one has."""
+    """All documents, without the multi-line chunks that an earlier one has.
+
+    Null texts stay null; of equal chunks the one with the least doc_id and place stays, a null doc_id last; an empty table gives an
+    empty one; further columns are kept."""
     return _with_length(line_dedup.deduplicated(docs))
 
 
@@ -49,16 +65,22 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if told.filter("n > 1").isEmpty():
         return kept
     # Columns that can be compared suffice: the rows agree in doc_id and text.
-    return kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    name = _fresh(kept, "hash")
+    return kept.withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the name of its kind."""
+    """All documents, with personal data replaced by the name of its kind.
+
+    Null texts stay null, repeated rows stay, an empty table gives an empty one, further columns are kept."""
     return _with_length(pii.mask_pii(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the packed sequences."""
+    """Where each piece of each document lies in the packed sequences.
+
+    A null text is packed as an empty one, which has its end id; repeated rows are packed each; an empty table gives an
+    empty one; further columns are left behind."""
     return packing.pack_documents(docs, vocabulary_path())
 
 
