@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -99,16 +100,49 @@ DIGIT_NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "fo
 #: Characters of the words of a local part, and the length of the longest dot between them.
 WORD_CHARS = LOCAL_CHARS - {"."}
 LONGEST_DOT = len(" ( punto ) ") + 1
-#: Parameter: names of digits count when so many stand together, with figures between them or not; else they are words.
-LEAST_SPELLED = 4
-#: The top-level names before which a bare "at" with bare dots makes an address.
-TOP_NAMES = frozenset("com org net edu gov mil int info biz name pro io dev app co me tv ai xyz online site tech store blog cloud email de uk fr es it nl eu ch at be us ca au jp cn in br mx ru pl se no fi dk cz pt ie nz za ar cl".split())
-#: Words before "at" that tell where something is, so what follows is a place and no address.
-PLACE_WORDS = frozenset(
-    """look looking looked looks see seen meet meeting met visit find found available hosted is are was were be been being it us me you him her them
-    here there online website site page pages more out up only now live lives work works working worked stay arrive arrived start end read download
-    buy contact reach stop shop sign log login or and not that this these those also even all""".split()
-)
+#: Parameter: names of digits count when so many stand together, with figures or dots between them or not, or when names and
+#: figures together have the digits of the shortest phone number; else they are words.
+LEAST_SPELLED, LEAST_DIGITS = 4, 9
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """What tells an address from a place where a bare "at" and bare dots stand ("jan at firma.hu", "look at github.com").
+
+    Points are added up, and `least` of them make an address: one for a top-level name that is known or has two letters,
+    as all of countries have; two for a word of writing among the three before; none for a host that begins with www.  Two
+    are taken off for a word of place before "at", three for a pronoun that something stands before ("write to us at").
+    All are parameters; the words are English.
+    """
+
+    top_names: frozenset[str] = frozenset("com org net edu gov mil int info biz name pro dev app xyz online site tech store blog cloud email agency company digital group media network".split())
+    writing: frozenset[str] = frozenset("mail email e-mail mailto write wrote writing ask asking contact message ping send sent reply cc bcc address from to forward".split())
+    places: frozenset[str] = frozenset(
+        """look looking looked looks see seen meet meeting met visit find found available hosted is are was were be been being here there online
+        website site page pages more out up only now live lives work works working worked stay arrive arrived start end read download buy contact
+        reach stop shop sign log login or and not that this these those also even all""".split()
+    )
+    pronouns: frozenset[str] = frozenset("me us you him her them it".split())
+    least: int = 1
+
+    def is_address(self, before: str, local: str, host: str, spaced: bool) -> bool:
+        """`before` is what stands before the local part; `spaced` whether spaces stand around "at"."""
+        if host.lower().startswith("www."):
+            return False
+        top, word = host.rpartition(".")[2].lower(), re.split("[^A-Za-z]", local.lower())[-1]
+        words = re.findall(r"[a-z-]+", before[-80:].lower())[-3:]
+        first = not before.strip() or before.rstrip(" \t")[-1:] in ":;,.!?\n\r("
+        points = int(top in self.top_names or (len(top) == 2 and top.isalpha()))
+        if spaced and not first and self.writing & set(words):
+            points += 2
+        if word in self.pronouns and not first:
+            points -= 3
+        elif word in self.places and not (first and word == "contact"):
+            points -= 2
+        return points >= self.least
+
+
+EVIDENCE = Evidence()
 
 
 def glyphs() -> dict[int, str]:
@@ -137,9 +171,9 @@ def tools() -> dict:
         store["glyph"] = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(firsts, lasts, strict=True)) + "]")
         name = "(?:" + "|".join(sorted(DIGIT_NAMES, key=len, reverse=True)) + ")"
         store["name"] = re.compile(rf"(?<![A-Za-z]){name}(?![A-Za-z])", re.I | re.A)
-        atom = rf"(?:{name}(?![A-Za-z])|[0-9]++|plus(?![A-Za-z]))"
+        atom = rf"(?:{name}(?![A-Za-z])|[0-9]++|(?:plus|dot)(?![A-Za-z]))"
         store["spelled"] = re.compile(rf"(?<![A-Za-z]){atom}(?:[ ,.-]{{1,2}}{atom})++", re.I | re.A)
-        store["atom"] = re.compile(rf"{name}|[0-9]|plus|[ ,.-]++", re.I | re.A)
+        store["atom"] = re.compile(rf"{name}|[0-9]|plus|dot|[ ,.-]++", re.I | re.A)
         dot = r"(?: ?[\[({<] ?(?:dot|punto|punkt|point) ?[\])}>] ?|[ _-]dot[ _-]| ?[\[({<] ?\. ?[\])}>] ?)"
         at = r"(?: ?[\[({<] ?(?:at|@|arroba|ät) ?[\])}>] ?|[ _-]at[ _-]| @ )"
         host = r"(?:(?![_-]dot[_-])[A-Za-z0-9-])++"
@@ -190,17 +224,23 @@ def spelled_digits(copy: Copy, least_spelled: int = LEAST_SPELLED) -> None:
     t, changes = tools(), []
     for m in t["spelled"].finditer(copy.text):
         atoms = [(x.start(), x.end(), x[0]) for x in t["atom"].finditer(m[0])]
-        if sum(a[2].lower() in DIGIT_NAMES for a in atoms) < least_spelled:
+        names = sum(a[2].lower() in DIGIT_NAMES for a in atoms)
+        if names < least_spelled and not (names and names + sum(a[2].isdigit() for a in atoms) >= LEAST_DIGITS):
             continue
         for k, (a, b, what) in enumerate(atoms):
             a, b, low = a + m.start(), b + m.start(), what.lower()
+            inside = 0 < k < len(atoms) - 1
             if low in DIGIT_NAMES:
                 changes.append((a, b, DIGIT_NAMES[low]))
             elif low == "plus":
                 changes.append((a, b, "+"))
-            elif not what[0].isdigit() and (0 < k < len(atoms) - 1):
+            elif low == "dot":
+                if inside:
+                    changes.append((a, b, "."))
+            elif not what[0].isdigit() and inside:
                 joins = all(atoms[j][2].lower() in DIGIT_NAMES or atoms[j][2].lower() == "plus" for j in (k - 1, k + 1))
-                if joins and "." not in what:
+                by_dot = any(atoms[j][2].lower() == "dot" and 0 < j < len(atoms) - 1 for j in (k - 1, k + 1))
+                if (joins or by_dot) and "." not in what:
                     changes.append((a, b, ""))
     copy.rewrite(changes)
 
@@ -224,15 +264,15 @@ def local_start(text: str, floor: int, at: int) -> int:
 BARE_AT = frozenset(p + "at" + q for p in " _-" for q in " _-")
 
 
-def is_place(local: str, host: str) -> bool:
-    """Whether words around a bare "at" tell a place: no disguised dot, and no known top-level name, or www, or a word such as "look"."""
+def counts(text: str, start: int, at: tuple[int, int], host: str, evidence: Evidence) -> bool:
+    """Whether a bare "at" makes an address: with a disguised dot beside it always, else by the evidence."""
+    local = text[start : at[0]]
     if tools()["dot"].search(local) or tools()["dot"].search(host):
-        return False
-    word = re.split("[^A-Za-z]", local.lower())[-1]
-    return host.rpartition(".")[2].lower() not in TOP_NAMES or host.lower().startswith("www.") or word in PLACE_WORDS
+        return True
+    return evidence.is_address(text[max(0, start - 80) : start], local, host, text[at[0] : at[1]].lower() == " at ")
 
 
-def addresses(copy: Copy) -> None:
+def addresses(copy: Copy, evidence: Evidence = EVIDENCE) -> None:
     """At and dot disguises of e-mail addresses, and dot disguises of ip addresses.
 
     Each at sign is taken by itself, with one look to either side, as in `emails`; nothing else in the text matters.
@@ -246,7 +286,7 @@ def addresses(copy: Copy) -> None:
         dead = found.end() if found else b
         start = local_start(copy.text, floor, a) if found and found["more"] else a
         floor = b
-        if start == a or (m[0].lower() in BARE_AT and is_place(copy.text[start:a], found[0])):
+        if start == a or (m[0].lower() in BARE_AT and not counts(copy.text, start, (a, b), found[0], evidence)):
             continue
         floor = dead
         changes += [(start + d.start(), start + d.end(), ".") for d in t["dot"].finditer(copy.text[start:a])]
@@ -257,7 +297,7 @@ def addresses(copy: Copy) -> None:
     copy.rewrite([(m.start() + d.start(), m.start() + d.end(), ".") for m in t["dotted"].finditer(copy.text) for d in t["dot"].finditer(m[0])])
 
 
-def disguised(text: str, base: list[Span], least_spelled: int = LEAST_SPELLED) -> list[Span]:
+def disguised(text: str, base: list[Span], least_spelled: int = LEAST_SPELLED, evidence: Evidence = EVIDENCE) -> list[Span]:
     """Spans that show only after normalisation, mapped back to the source."""
     t = tools()
     glyph = not text.isascii() and t["glyph"].search(text)
@@ -270,7 +310,7 @@ def disguised(text: str, base: list[Span], least_spelled: int = LEAST_SPELLED) -
         homoglyphs(copy)
     spelled_digits(copy, least_spelled)
     if hint or t["hint"].search(copy.text):
-        addresses(copy)
+        addresses(copy, evidence)
     if not copy.rewritten:
         return []
     found = []
@@ -281,10 +321,10 @@ def disguised(text: str, base: list[Span], least_spelled: int = LEAST_SPELLED) -
     return outside(found, base)
 
 
-def all_spans(text: str, least_spelled: int = LEAST_SPELLED) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, least_spelled: int = LEAST_SPELLED, evidence: Evidence = EVIDENCE) -> tuple[list[Span], list[Span]]:
     """Base spans, and base and disguised spans together; both by kind as listed, then start."""
     base = plain(text)
-    more = disguised(text, base, least_spelled)
+    more = disguised(text, base, least_spelled, evidence)
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(base + more, key=lambda s: (order[s[0]], s[1])) if more else base
 
@@ -292,7 +332,7 @@ def all_spans(text: str, least_spelled: int = LEAST_SPELLED) -> tuple[list[Span]
 # ---- documents ------------------------------------------------------------------------------------------------
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_spelled: int = LEAST_SPELLED) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_spelled: int = LEAST_SPELLED, evidence: Evidence = EVIDENCE) -> DataFrame:
     """doc_id, counts of the base spans by kind, base_sha256, spans, and counts of the disguised spans."""
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_disguised"]
 
@@ -301,7 +341,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             ids, texts = batches_of(["d", "t"], batch)
             rows = []
             for d, text in zip(ids, texts, strict=True):
-                base, every = all_spans(text, least_spelled)
+                base, every = all_spans(text, least_spelled, evidence)
                 rows.append((d, *(sum(s[0] == k for s in base) for k in KINDS), digest(base), written(every), len(every) - len(base)))
             kinds = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names)
@@ -310,9 +350,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     return keyed.mapInArrow(run, ", ".join(f"{n} {'string' if n in ('base_sha256', 'spans') else 'bigint'}" for n in names))
 
 
-def masked(text: str, least_spelled: int = LEAST_SPELLED) -> str:
+def masked(text: str, least_spelled: int = LEAST_SPELLED, evidence: Evidence = EVIDENCE) -> str:
     """The text with every span replaced by the name of its kind; spans that overlap are replaced as one."""
-    spans = sorted(all_spans(text, least_spelled)[1], key=lambda s: (s[1], -s[2]))
+    spans = sorted(all_spans(text, least_spelled, evidence)[1], key=lambda s: (s[1], -s[2]))
     out, at = [], 0
     for kind, a, b in spans:
         if a >= at:
@@ -321,13 +361,13 @@ def masked(text: str, least_spelled: int = LEAST_SPELLED) -> str:
     return "".join([*out, text[at:]])
 
 
-def mask_pii(docs: DataFrame, text_col: str = "text", least_spelled: int = LEAST_SPELLED) -> DataFrame:
+def mask_pii(docs: DataFrame, text_col: str = "text", least_spelled: int = LEAST_SPELLED, evidence: Evidence = EVIDENCE) -> DataFrame:
     """All columns and rows of `docs`, with personal data in the text column replaced; a null text stays null."""
 
     def run(batches):
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
-            texts = [t if t is None else masked(t, least_spelled) for t in batch.column(k).to_pylist()]
+            texts = [t if t is None else masked(t, least_spelled, evidence) for t in batch.column(k).to_pylist()]
             yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
 
     return docs.mapInArrow(run, docs.schema)
