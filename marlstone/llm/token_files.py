@@ -157,12 +157,32 @@ def _plain_uri(uri: str) -> str:
     return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
+#: What pyarrow calls the stores that Hadoop knows by other names.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def shared_uri(spark: SparkSession, folder: str) -> str:
+    """The folder as both sides name it: a path without a scheme is where Spark's default file system has it, so driver, tasks
+    and Spark's own readers mean the same place.  A store that pyarrow can't open is refused before anything is written."""
+    from pyarrow import fs
+
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = _plain_uri(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString())
+    scheme, rest = uri.split(":", 1)
+    uri = f"{SCHEMES.get(scheme, scheme)}:{rest}"
+    try:
+        fs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ImportError) as e:
+        raise ValueError(f"token files can't be written to {folder}: pyarrow has no file system for {scheme}") from e
+    return uri
+
+
 MANIFEST = "file string, part bigint, docs bigint, ids bigint, bytes bigint"
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, level: int = 3, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write all documents in ascending doc_id; returns the manifest, a row for each file: file, part, docs, ids, bytes."""
-    folder = _plain_uri(folder)
+    folder = shared_uri(docs.sparkSession, folder)
 
     def write(batches):
         from pyspark import TaskContext
@@ -218,7 +238,7 @@ def sweep_trials(spark: SparkSession, folder: str) -> None:
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of unsigned 32-bit ids), read from the files."""
-    folder, spark = _plain_uri(folder), manifest.sparkSession
+    folder, spark = shared_uri(manifest.sparkSession, folder), manifest.sparkSession
 
     def read(batches):
         for batch in batches:

@@ -142,3 +142,17 @@ def test_crossover_keeps_every_piece():
 
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(docs(spark, []), vocabulary_path()).collect() == []
+
+
+def test_token_files_lie_where_spark_means(spark, tmp_path):
+    """A path without a scheme is the default file system's; a store that can't be opened is refused."""
+    assert token_files.shared_uri(spark, str(tmp_path)) == f"file://{tmp_path}"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    old = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://elsewhere")
+    conf.set("fs.viewfs.mounttable.elsewhere.link./x", f"file://{tmp_path}")
+    try:
+        with pytest.raises(ValueError, match="viewfs"):
+            token_files.write_token_files(docs(spark, [(1, "a")]), "/x", vocabulary_path())
+    finally:
+        conf.set("fs.defaultFS", old)
