@@ -1,8 +1,8 @@
 """Words by a stored index: postings of lexemes with their positions, searched by joins and array functions in the JVM.
 
 A posting is (lexeme, tenant, excerpt, positions).  The table lies in folders by a hash of the lexeme and is sorted by
-lexeme within its files, so a batch of queries reads the folders and row groups of its own words.  It is written by ranges
-of (folder, lexeme, excerpt): a word that is in every excerpt is dealt over many tasks and files.
+lexeme within its files, so a batch of queries reads the folders and row groups of its own words.  Each folder is written by
+several tasks, by a hash of the excerpt: a word that is in every excerpt is dealt over them.
 
 A batch of queries (bounded, search.MAX_BATCH) is broadcast to its postings; those of an excerpt and a query meet in one row, a
 map from the query's lexemes to their positions, on which phrases, negation, alternatives and cover density are array
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Folders of a stored index.
-BUCKETS = 64
+#: Folders of a stored index, and tasks (and files) that write one.
+BUCKETS, SPLITS = 64, 4
 TENANT = ("project_id", "environment")
 #: Runs of letters and figures; the plain words of a text, for languages without stems.
 PLAIN = r"([\p{L}\p{N}]+)"
@@ -58,10 +58,11 @@ def _bucket(lexeme: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
 
-def store_postings(postings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+def store_postings(postings: DataFrame, path: str, buckets: int = BUCKETS, splits: int = SPLITS) -> None:
     """Write the index; `read_postings` must be given the same number of folders."""
     rows = postings.withColumn("bucket", _bucket(F.col("lexeme"), buckets))
-    rows.repartitionByRange("bucket", "lexeme", "id").sortWithinPartitions("bucket", "lexeme").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(splits)))
+    dealt.sortWithinPartitions("bucket", "lexeme").write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str, lexemes: list[str], buckets: int = BUCKETS) -> DataFrame:
@@ -179,13 +180,19 @@ def judge(postings: DataFrame, parsed: list[Parsed], rule: str = "half-specific"
     Rules: all (the query as it is), any, half of its lexemes, or half of those that are not generic.
     """
     wanted = {"all": lambda p: [], "any": lambda p: p.content, "half": lambda p: p.content, "half-specific": lambda p: p.specific}[rule]
-    queries = _frame(postings.sparkSession, parsed, wanted)
+    # Queries of a tenant with the same words are judged once; the lists are of one batch.
+    first: dict[tuple, Parsed] = {}
+    same = [(p.asked.query_id, first.setdefault((p.asked.project_id, p.asked.environment, p.asked.text, tuple(p.asked.generic)), p).asked.query_id) for p in parsed]
+    queries = _frame(postings.sparkSession, list(first.values()), wanted)
     told = vectors(postings, queries).join(F.broadcast(queries.select("query_id", "alternatives", "specific")), "query_id")
     full = matches(F.col("vector"), F.col("alternatives"))
     present = F.size(F.filter("specific", lambda x: F.map_contains_key(F.col("vector"), x)))
     partial = (F.size("specific") > 0) & ((present > 0) if rule == "any" else (2 * present >= F.size("specific")))
     told = told.withColumn("full_match", full).withColumn("lexical", F.col("full_match") | partial)
-    return told.select("query_id", "id", "full_match", F.when(F.col("full_match"), cover_rank(F.col("vector"), F.col("alternatives"))).otherwise(0.0).alias("word_rank"), "lexical")
+    # Through a generator, below which no filter moves that would judge again.
+    judged = told.select(F.col("query_id").alias("judged"), "id", "lexical", F.explode(F.array(F.struct("full_match", F.when(F.col("full_match"), cover_rank(F.col("vector"), F.col("alternatives"))).otherwise(0.0).alias("word_rank")))).alias("j"))
+    ids = postings.sparkSession.createDataFrame(same, "query_id bigint, judged bigint")
+    return judged.join(F.broadcast(ids), "judged").select("query_id", "id", "j.full_match", "j.word_rank", "lexical")
 
 
 def partial_matches(postings: DataFrame, query_lexemes: DataFrame, generic: DataFrame | None = None, share: float = 0.5, least: int = 1) -> DataFrame:

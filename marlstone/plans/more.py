@@ -65,15 +65,6 @@ def api_keys(spark, d):
     return views.table(spark, d, "orders").select(i.alias("id"), S.key_parts(key).alias("k")).select("id", "k.kind", "k.environment")
 
 
-@query("""SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN rtrim(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 40)) ELSE 'plain ' || doc_id END AS original FROM documents WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 60 AND NOT contains(text, '(')""")
-def original_comments(spark, d):
-    """The reviewer's own words of a comment that comes with a translation."""
-    i, flat = F.col("doc_id"), F.trim(F.regexp_replace("text", r"\s+", " "))
-    docs = views.table(spark, d, "documents").filter((F.length(flat) > 60) & ~F.contains("text", F.lit("(")))
-    comment = F.when(i % 3 == 0, F.concat(F.lit("(Translated by Google) Something\n\n(Original)\n"), F.substring(flat, 1, 40))).otherwise(F.concat(F.lit(" plain "), i.cast("string"), F.lit(" ")))
-    return docs.select(i.alias("id"), S.original_comment(comment).alias("original"))
-
-
 @query("""SELECT event_id AS id, len(list_filter(['sweep', CASE WHEN minute(t) = 0 AND hour(t) % 6 = 0 THEN 'google_poll' END, CASE WHEN hour(t) = 3 AND minute(t) = 30 THEN 'places_refresh' END, CASE WHEN hour(t) = 4 AND minute(t) = 15 THEN 'account_purge' END], lambda x: x IS NOT NULL)) AS jobs,
 CASE WHEN event_id % 4000 * 1000 < 60000 THEN 2000 WHEN event_id % 4000 * 1000 < 300000 THEN 10000 WHEN event_id % 4000 * 1000 < 1800000 THEN 30000 END AS delay FROM (SELECT event_id, to_timestamp(epoch(date_trunc('second', ts))::BIGINT // 300 * 300) AT TIME ZONE 'UTC' AS t FROM events)""")
 def schedules(spark, d):

@@ -703,4 +703,4 @@ def rejected_rows(spark, d):
     return access.rejected_rows(rows, rows.filter("row % 41 = 0").select("source", "external_id").distinct())
 
 
-from . import flows, indexed, more  # noqa: E402, F401  they register their queries too
+from . import flows, indexed, more, uploads  # noqa: E402, F401  they register their queries too
