@@ -68,18 +68,28 @@ def judged(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return q.join(rows, "query_id", "left").select("query_id", side.alias("side"), F.when(F.col("kind") == "positive", F.size("expect")).otherwise(0).alias("wanted"), "rank", "key", "similarity", "lexical", F.coalesce(is_hit, F.lit(False)).alias("hit"), F.coalesce(is_ok & ~is_hit, F.lit(False)).alias("ok"))
 
 
-def points(rows: DataFrame, queries: DataFrame, grid: DataFrame, *keys: str) -> DataFrame:
-    """Pooled precision and recall, answered and clean queries, and the rate of negatives hit, for each row of the grid.
+def points(rows: DataFrame, queries: DataFrame, settings: list[tuple[float, float]], *keys: str) -> DataFrame:
+    """Pooled precision and recall, answered and clean queries, and the rate of negatives hit, for each of the `settings`.
 
-    The grid has `high` and `low`: a row passes at `high`, or at `low` if its words match.  It is a list of settings, not data.
+    A setting is (high, low), named by `keys`: a row passes at `high`, or at `low` if its words match.  So what a row passes
+    is told by how many of its tier's thresholds it reaches: observed rows are counted once by query, tier and that
+    number, with the first TOP_N of each, and only these counts, as many a query as there are thresholds, meet the settings.
     """
-    each = judged(rows, queries).join(F.broadcast(grid), F.lit(True))
-    passes = F.coalesce((F.col("similarity") >= F.col("high")) | (F.coalesce("lexical", F.lit(False)) & (F.col("similarity") >= F.col("low"))), F.lit(False))
-    top = F.sort_array(F.collect_list(F.when(passes, F.struct("rank", (F.col("hit") | F.col("ok")).alias("fine"), "hit"))))
-    head = F.slice(top, 1, TOP_N)
-    per = each.groupBy(*keys, "query_id", "side").agg(
-        F.first("wanted").alias("wanted"), F.count_if(passes & F.col("hit")).alias("tp"), F.count_if(passes & ~F.col("hit") & ~F.col("ok")).alias("fp"), F.count_if(passes).alias("n"),
-        ((F.size(top) > 0) & F.forall(head, lambda x: x["fine"]) & F.exists(head, lambda x: x["hit"])).alias("clean"),
+    highs, lows = sorted({h for h, _ in settings}), sorted({min(h, low) for h, low in settings})
+    reached = lambda bounds: F.size(F.filter(F.array(*map(F.lit, bounds)), lambda t: t <= F.col("similarity")))
+    words = F.coalesce("lexical", F.lit(False))
+    each = judged(rows, queries).select("query_id", "side", "wanted", "rank", "hit", "ok", words.alias("words"), F.when(F.col("similarity").isNull(), 0).when(words, reached(lows)).otherwise(reached(highs)).alias("at"))
+    bins = each.groupBy("query_id", "side", "wanted", "words", "at").agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit") & ~F.col("ok")).alias("fp"), F.count(F.lit(1)).alias("n"))
+    first = F.row_number().over(Window.partitionBy("query_id", "words", "at").orderBy("rank", F.col("hit") | F.col("ok"), "hit"))
+    tops = each.withColumn("place", first).filter(F.col("place") <= TOP_N).groupBy("query_id", "words", "at").agg(F.collect_list(F.struct("rank", (F.col("hit") | F.col("ok")).alias("fine"), "hit")).alias("top"))
+    grid = rows.sparkSession.createDataFrame([(h, low, highs.index(h) + 1, lows.index(min(h, low)) + 1) for h, low in settings], "high double, low double, high_at int, low_at int")
+    met = bins.join(tops, ["query_id", "words", "at"], "left").join(F.broadcast(grid), F.lit(True))
+    passes = F.col("at") >= F.when(F.col("words"), F.col("low_at")).otherwise(F.col("high_at"))
+    counted = lambda c: F.coalesce(F.sum(F.when(passes, F.col(c))), F.lit(0))
+    head = F.slice(F.sort_array(F.flatten(F.collect_list(F.when(passes, F.col("top"))))), 1, TOP_N)
+    per = met.groupBy(*keys, "query_id", "side").agg(
+        F.first("wanted").alias("wanted"), counted("tp").alias("tp"), counted("fp").alias("fp"), counted("n").alias("n"),
+        ((F.size(head) > 0) & F.forall(head, lambda x: x["fine"]) & F.exists(head, lambda x: x["hit"])).alias("clean"),
     )
     pos, neg = F.col("side") == "positive", F.col("side") == "negative"
     out = per.groupBy(*keys).agg(
@@ -93,8 +103,7 @@ def points(rows: DataFrame, queries: DataFrame, grid: DataFrame, *keys: str) ->
 
 
 def floor_curve(rows: DataFrame, queries: DataFrame, floors: list[float]) -> DataFrame:
-    grid = rows.sparkSession.createDataFrame([(f, f) for f in floors], "high double, low double")
-    return points(rows, queries, grid, "high").withColumnRenamed("high", "floor")
+    return points(rows, queries, [(float(f), float(f)) for f in floors], "high").withColumnRenamed("high", "floor")
 
 
 def recommendation(curve: DataFrame, min_recall: float = MIN_RECALL, max_negative_rate: float = MAX_NEGATIVE_RATE) -> DataFrame:
@@ -106,8 +115,8 @@ def recommendation(curve: DataFrame, min_recall: float = MIN_RECALL, max_negativ
 
 def two_tier(rows: DataFrame, queries: DataFrame, highs: list[float], lows: list[float], max_negative_rate: float = MAX_NEGATIVE_RATE) -> DataFrame:
     """All pairs low <= high that keep negatives quiet, the best first (`place`)."""
-    grid = rows.sparkSession.createDataFrame([(h, low) for h in highs for low in lows if low <= h], "high double, low double")
-    found = points(rows, queries, grid, "high", "low").filter(F.col("negative_rate") <= max_negative_rate)
+    settings = [(float(h), float(low)) for h in highs for low in lows if low <= h]
+    found = points(rows, queries, settings, "high", "low").filter(F.col("negative_rate") <= max_negative_rate)
     return found.orderBy(F.col("answered_rate").desc(), "negative_rate", F.coalesce("precision", F.lit(0.0)).desc(), F.col("low").desc(), "high")
 
 
