@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import text as T
 from ..sources import files, mapping
+from ..sources.artifacts import ArtifactStore
 from ..storage import fresh_path
 from . import views
 from .queries import EPOCH, query
@@ -170,3 +171,21 @@ def original_comments(spark, d):
     i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
     comment = F.when(i % 3 == 0, F.concat(F.lit("(Translated by Google) Something\n\n(Original)\n"), text)).otherwise(text)
     return views.table(spark, d, "documents").select(i.alias("id"), S.original_comment(comment).alias("original"))
+
+
+# ---- artifacts ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT s_suppkey % 7 AS project, s_suppkey, length(s_name) AS bytes FROM supplier)
+SELECT project, count(*) AS objects, sum(bytes)::BIGINT AS bytes FROM o WHERE NOT (project = 3) AND NOT (project = 5 AND s_suppkey % 2 = 0) GROUP BY project""")
+def artifacts_left(spark, d):
+    """Objects of imports by project, after one project's were deleted and one kind of another's."""
+    store = ArtifactStore(spark, fresh_path(spark, "artifacts"))
+    i = F.col("s_suppkey")
+    kind = F.when(i % 2 == 0, "errors").otherwise("plan")
+    key = F.concat((i % 7).cast("string"), F.lit("/"), kind, F.lit("/"), i.cast("string"), F.lit(".csv"))
+    store.put(views.table(spark, d, "supplier").select(key.alias("key"), F.encode("s_name", "UTF-8").alias("content")))
+    store.delete("3/")
+    store.delete("5/errors/")
+    project = F.substring_index("key", "/", 1).cast("bigint")
+    return store.listed().groupBy(project.alias("project")).agg(F.count(F.lit(1)).alias("objects"), F.sum("bytes").alias("bytes"))

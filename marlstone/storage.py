@@ -52,3 +52,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: What pyarrow calls the stores that Hadoop knows by other names.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def uri_of(spark: SparkSession, path: str) -> str:
+    """A path as tasks can open it with pyarrow: without a scheme it is where Spark's default file system has it."""
+    from pyarrow import fs
+
+    files, at = files_of(spark, path)
+    scheme, rest = files.makeQualified(at(path)).toString().split(":", 1)
+    uri = f"{SCHEMES.get(scheme, scheme)}:{rest if rest.startswith('//') else '//' + rest}"
+    try:
+        fs.FileSystem.from_uri(uri)
+    except Exception as e:
+        raise ValueError(f"pyarrow has no file system for {path}") from e
+    return uri
