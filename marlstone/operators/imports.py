@@ -77,3 +77,41 @@ def select_locations(found: DataFrame, wanted: DataFrame, titles: DataFrame) ->
     """Locations found (id, verified): enabled where verified and wanted, with their listing names where known."""
     picked = wanted.select("id", F.lit(True).alias("_w")).distinct()
     return found.join(picked, "id", "left").join(titles.select("id", "title"), "id", "left").select("id", (F.col("verified") & F.coalesce("_w", F.lit(False))).alias("enabled"), "title")
+
+
+def set_origins(projects: DataFrame, wanted: DataFrame, most: int = 20) -> DataFrame:
+    """Projects with the origins that `wanted` (id, account_id, origins) gives them, where the account is theirs; others stay as they are.
+
+    Origins are put into their usual form, each once, in the order given; what is no web address drops out, and a list over `most` is
+    refused as a whole (`refused`)."""
+    from ..functions.scalar import origin
+
+    new = F.array_distinct(F.filter(F.transform("origins", lambda o: origin(o)), lambda o: o.isNotNull()))
+    asked = wanted.select("id", "account_id", new.alias("_new"))
+    told = projects.join(asked, ["id", "account_id"], "left")
+    refused = F.coalesce(F.size("_new") > most, F.lit(False))
+    return told.withColumn("allowed_origins", F.when(F.col("_new").isNotNull() & ~refused, F.col("_new")).otherwise(F.col("allowed_origins"))).withColumn("refused", refused).drop("_new")
+
+
+def delete_projects(projects: DataFrame, wanted: DataFrame, **children: DataFrame) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """What stays of projects and of tables with a project_id when projects (id, account_id) are deleted, and for each deleted
+    one how many rows of each table went with it.  One that belongs to another account, or isn't there, is left alone."""
+    gone = projects.join(wanted.select("id", "account_id"), ["id", "account_id"], "left_semi").select("id")
+    kept = {n: t.join(gone, t["project_id"] == gone["id"], "left_anti") for n, t in children.items()}
+    counts = gone
+    for n, t in children.items():
+        counts = counts.join(t.groupBy(F.col("project_id").alias("id")).agg(F.count(F.lit(1)).alias(n)), "id", "left").withColumn(n, F.coalesce(n, F.lit(0)))
+    return projects.join(gone, "id", "left_anti"), kept, counts
+
+
+def usage_of_projects(projects: DataFrame, usage: DataFrame, month) -> DataFrame:
+    """Every project of `projects` with its queries and cache hits of a month, none where it had none."""
+    own = usage.filter(F.col("month") == month).groupBy(F.col("project_id").alias("id")).agg(F.sum("queries").alias("queries"), F.sum("cache_hits").alias("cache_hits"))
+    zero = F.lit(0).cast("bigint")
+    return projects.join(own, "id", "left").withColumns({c: F.coalesce(c, zero) for c in ("queries", "cache_hits")})
+
+
+def newest(rows: DataFrame, owner: str, made: str, ident: str, most: int) -> DataFrame:
+    """The newest rows of each owner, `place` from 1: newest first, then by id.  The cut is made before rows of one owner meet."""
+    w = Window.partitionBy(owner).orderBy(F.col(made).desc_nulls_last(), ident)
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)

@@ -108,7 +108,7 @@ def pace_fold(times: list[float], spacing: float, most: int, period: float = C.R
 def rate_limited(events: DataFrame, key: str, limit: int, period: float = C.RATE_PERIOD_SECONDS, ident: str = "event_id") -> DataFrame:
     """key, event id, allowed.
 
-    A key's events fall into stretches between which nothing happens for a period, so no stretch matters to the next.  Stretches of
+    A key's events fall into stretches between which a whole period is empty, so no stretch matters to the next.  Stretches of
     `limit` events or fewer pass without being looked at.  Only the bursts that are left are folded in time order, each by
     itself; they are sorted by Spark and streamed through, and only the timestamps of one period are held.
     """
@@ -126,11 +126,14 @@ def rate_limited(events: DataFrame, key: str, limit: int, period: float = C.RATE
                 allowed += ok
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(idents, pa.int64()), pa.array(allowed, pa.bool_())], ["k", "ident", "allowed"])
 
-    w = Window.partitionBy("k").orderBy("t", "ident")
-    rows = events.select(F.col(key).cast("bigint").alias("k"), F.col(ident).cast("bigint").alias("ident"), (F.unix_micros("ts") / 1e6).alias("t"))
-    begins = F.coalesce((F.col("t") - F.lag("t").over(w) >= period).cast("int"), F.lit(1))
-    parted = rows.withColumn("begins", begins).withColumn("stretch", F.sum("begins").over(w)).drop("begins")
-    counted = parted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k", "stretch")))
+    rows = events.select(F.col(key).cast("bigint").alias("k"), F.col(ident).cast("bigint").alias("ident"), (F.unix_micros("ts") / 1e6).alias("t")).withColumn("p", F.floor(F.col("t") / period))
+    # A period in which nothing happens lies between two stretches; periods, not events, are put in order.
+    w = Window.partitionBy("k").orderBy("p")
+    periods = rows.groupBy("k", "p").agg(F.count(F.lit(1)).alias("own"))
+    begins = F.coalesce((F.col("p") - F.lag("p").over(w) > 1).cast("int"), F.lit(1))
+    periods = periods.withColumn("begins", begins).withColumn("stretch", F.sum("begins").over(w))
+    periods = periods.withColumn("n", F.sum("own").over(Window.partitionBy("k", "stretch"))).select("k", "p", "stretch", "n")
+    counted = rows.join(periods, ["k", "p"])
     quiet = counted.filter(F.col("n") <= limit).select("k", "ident", F.lit(True).alias("allowed"))
     bursts = counted.filter(F.col("n") > limit).select("k", "stretch", "ident", "t").repartition("k", "stretch").sortWithinPartitions("k", "stretch", "t", "ident")
     told = quiet.union(bursts.mapInArrow(fold, "k bigint, ident bigint, allowed boolean"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators import search
+from ..operators import imports, search
 from ..operators.outbox import Outbox, sweep_and_send
 from ..operators.pacing import paced, penalised
 from ..operators.resumable import COUNTS, ResumableImport
@@ -174,3 +174,45 @@ def flattened_json(spark, d):
     table = variants.cells(e.select(F.col("event_id").alias("row"), text.alias("json")))
     order = variants.headers(table).select("name", F.row_number().over(Window.orderBy("first")).cast("bigint").alias("number"))  # a row for each name
     return table.join(order, "name").select("row", "name", "value", "number")
+
+
+# ---- projects -------------------------------------------------------------------------------------------------
+
+
+def _projects(spark, d):
+    return views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("account_id"), F.array(F.lit("https://old.example")).alias("allowed_origins"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 6 <> 0 THEN 'https://a' || c_custkey || '.example,http://b.example:8080' ELSE 'https://old.example' END AS origins, c_custkey % 3 = 0 AND c_custkey % 6 <> 0 AND false AS refused FROM customer""")
+def project_origins(spark, d):
+    """Origins set for every third project, of which every second names another account and is left alone."""
+    i = F.col("id")
+    given = F.array(F.concat(F.lit(" HTTPS://A"), i.cast("string"), F.lit(".example:443/")), F.lit("no address"), F.lit("http://b.example:8080"), F.concat(F.lit("https://a"), i.cast("string"), F.lit(".example")))
+    wanted = _projects(spark, d).filter(i % 3 == 0).select("id", F.when(i % 6 == 0, -1).otherwise(F.col("account_id")).alias("account_id"), given.alias("origins"))
+    return imports.set_origins(_projects(spark, d), wanted).select("id", F.array_join("allowed_origins", ",").alias("origins"), "refused")
+
+
+@query("""WITH gone AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 8 <> 0)
+SELECT id, (SELECT count(*) FROM orders WHERE o_custkey = id) AS reviews, (SELECT count(*) FROM events WHERE user_id = id) AS usage, (SELECT count(*) FROM customer) - (SELECT count(*) FROM gone) AS projects_left, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT id FROM gone)) AS reviews_left FROM gone""")
+def projects_deleted(spark, d):
+    """Projects deleted with all that is theirs; those of another account stay."""
+    i = F.col("id")
+    wanted = _projects(spark, d).filter(i % 4 == 0).select("id", F.when(i % 8 == 0, -1).otherwise(F.col("account_id")).alias("account_id"))
+    children = {"reviews": views.table(spark, d, "orders").select(F.col("o_custkey").alias("project_id")), "usage": views.table(spark, d, "events").select(F.col("user_id").alias("project_id"))}
+    left, kept, counts = imports.delete_projects(_projects(spark, d), wanted, **children)
+    totals = left.agg(F.count(F.lit(1)).alias("projects_left")).join(F.broadcast(kept["reviews"].agg(F.count(F.lit(1)).alias("reviews_left"))), F.lit(True))  # one row each
+    return counts.join(F.broadcast(totals), F.lit(True))
+
+
+@query("""SELECT c_custkey AS id, count(event_id) AS queries, coalesce(sum((event_type = 'view')::BIGINT), 0)::BIGINT AS cache_hits FROM customer LEFT JOIN events ON user_id = c_custkey AND date_trunc('month', ts) = DATE '2024-01-01' GROUP BY c_custkey""")
+def usage_of_all_projects(spark, d):
+    """Every project's usage of a month, those without any included."""
+    u = views.table(spark, d, "events").select(F.col("user_id").alias("project_id"), F.trunc("ts", "MM").alias("month"), F.lit(1).alias("queries"), (F.col("event_type") == "view").cast("bigint").alias("cache_hits"))
+    return imports.usage_of_projects(_projects(spark, d).select("id"), u, F.lit("2024-01-01").cast("date"))
+
+
+@query("""SELECT o_custkey AS owner, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS place FROM orders QUALIFY place <= 3""")
+def newest_of_each(spark, d):
+    """The three newest runs of each project."""
+    o = views.table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("id"), "o_orderdate")
+    return imports.newest(o, "owner", "o_orderdate", "id", 3).select("owner", "id", F.col("place").cast("bigint").alias("place"))
