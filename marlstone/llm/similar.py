@@ -11,10 +11,10 @@ whole texts:
 
 A list of texts that share a key is never expanded into pairs.  First it becomes a minimum spanning forest by the distance of
 fingerprints (`nearest_forest`), whose links are verified.  Links that fail leave texts apart that another pair could join, so
-rounds follow: each text of a list offers its likeliest partners in other components, one at first and four times as many
+rounds follow: each text of a list offers its likeliest partners in other components, one at first and sixteen times as many
 each round, until no text has a partner left that was not tried.  Partners are told by sketches, a byte of each minimum:
-two texts at 0.8 agree in 38 of 48 bytes on average, and those that agree in fewer than LEAST_ALIKE, which happens to
-one such pair in a million, are not tried.  Lists whose texts are all in one component are done.
+two texts at 0.8 agree in 38 of 48 bytes on average, and those that agree in fewer than LEAST_ALIKE, which happens to some
+five such pairs in 100,000, are not tried.  Lists whose texts are all in one component are done.
 
 A list longer than LONG_LIST is dealt into parts, and rounds compare each part with each: no pair of a list is left out,
 however long it is, and no task holds more than two parts.
@@ -39,9 +39,9 @@ BANDS, MINIMA = 12, 4
 #: Links of the first forests differ in so many bits at most; what they leave out the rounds find.
 FAR = 24
 LONG_LIST = 4096
-LEAST_ALIKE = 24
+LEAST_ALIKE = 27
 #: How many times as many partners each round offers as the one before.
-MORE = 4
+MORE = 16
 
 
 def multipliers(n: int = BANDS * MINIMA) -> np.ndarray:
@@ -169,20 +169,27 @@ def offers(posted: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     return lists.select("i", "j", "members").mapInArrow(made, "a binary, b binary, more boolean")
 
 
+def further_joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """`roots` (node, root) after some links more: components of the few roots that these join, not of all links again."""
+    own = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(roots, "node", "left_anti")
+    every = roots.unionByName(own.select("node", F.col("node").alias("root")))
+    ends = links.join(every.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(every.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    moved = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return materialise(every.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+
+
 def joined_in_rounds(first: DataFrame, posted: DataFrame, verify) -> DataFrame:
     """node, root from the links of `first` and of all rounds that `verify` upholds."""
-    tried = new = materialise(first, "nominated-links")
-    good, most = materialise(verify(new), "links"), 1
+    tried, most = first, 1
+    roots = components(materialise(verify(tried), "links"))
     while True:
-        roots = components(good)
         told = materialise(offers(posted, roots, most), "offers")
         new = materialise(told.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "nominated-links")
-        if new.isEmpty():
-            if told.filter("more").isEmpty():
-                return roots
-        else:
-            good = good.unionByName(materialise(verify(new), "links"))
+        if not new.isEmpty():
+            roots = further_joined(roots, materialise(verify(new), "links"))
             tried = tried.unionByName(new)
+        elif told.filter("more").isEmpty():
+            return roots
         most *= MORE
 
 
@@ -192,18 +199,25 @@ def alike(text_a: str, text_b: str, size: int, similarity: float) -> bool:
     return not (len(a) or len(b)) or both >= similarity * (len(a) + len(b) - both)
 
 
-def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def texts_of(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """n, t: the texts of some nodes (column node), each once."""
+    # Texts are fetched by their least doc_id as well, so the copies of one text are dealt to many tasks and drop out there.
+    ends = members.distinct().join(nodes, "node").select(F.col("node").alias("end"), F.coalesce("least", F.lit(0)).alias("at"))
+    text = text_or_empty(text_col)
+    known = docs.select(F.unhex(F.md5(text)).alias("n"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("d"), text.alias("t"))
+    return materialise(known.join(ends, (known.n == ends.end) & (known.d == ends["at"]), "left_semi").groupBy("n").agg(F.min("t").alias("t")), "texts", "zstd")
+
+
+def verified(edges: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The links whose texts are as similar as that."""
 
     def told(batches):
         for batch in batches:
             yield batch.filter(pa.array([alike(x, y, size, similarity) for x, y in zip(*batches_of(["ta", "tb"], batch), strict=True)], pa.bool_())).select(["a", "b"])
 
-    # Texts are fetched by their least doc_id as well, so the copies of one text are dealt to many tasks and drop out there.
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(nodes, "node").select(F.col("node").alias("end"), F.coalesce("least", F.lit(0)).alias("at"))
-    text = text_or_empty(text_col)
-    known = docs.select(F.unhex(F.md5(text)).alias("n"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("d"), text.alias("t"))
-    known = materialise(known.join(ends, (known.n == ends.end) & (known.d == ends["at"]), "left_semi").groupBy("n").agg(F.min("t").alias("t")), "texts", "zstd")
+    # Only the texts that these links ask for move.
+    ends = edges.select(F.col("a").alias("n")).union(edges.select("b")).distinct()
+    known = materialise(texts.join(ends, "n", "left_semi"), "texts-asked", "zstd")
     first = edges.join(known.select(F.col("n").alias("a"), F.col("t").alias("ta")), "a")
     return first.join(known.select(F.col("n").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(told, "a binary, b binary")
 
@@ -220,7 +234,10 @@ def similar_texts(docs: DataFrame, size: int, similarity: float, id_col: str = "
     posted = nominated(nodes)
     edges = by_bytes.union(same).union(_forests_of(posted))
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = joined_in_rounds(edges, posted, lambda new: verified(new, nodes, docs, size, similarity, id_col, text_col))
+    edges = materialise(edges, "nominated-links")
+    members = posted.select("node").union(edges.select("a")).union(edges.select("b"))
+    texts = texts_of(members, nodes, docs, id_col, text_col)
+    roots = joined_in_rounds(edges, posted, lambda new: verified(new, texts, size, similarity))
     named = materialise(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = named.join(least, "root").select("node", "root", "component_id")
