@@ -25,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_folder, process_store, ship, text_or_empty
+from .common import materialise, new_folder, process_store, ship, text_or_empty
 from .tokens import vocabulary_path
 
 ship(__name__)
@@ -445,7 +445,11 @@ def count_words(docs: DataFrame, vocabulary: str, text_col: str = "text", longes
 def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS, text_col: str = "text") -> str:
     """Compile the most frequent words; returns the name under which every executor has the file."""
     spark = docs.sparkSession
-    top = count_words(docs, vocabulary, text_col).orderBy(F.desc("n"), "word").limit(words)
+    counts = materialise(count_words(docs, vocabulary, text_col), "word-counts", "zstd")
+    # The least count that so many words reach; a row for each count, and then only the words chosen, come together.
+    levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("above", F.sum("words").over(Window.orderBy(F.desc("n"))))
+    least = levels.filter(F.col("above") <= words).agg(F.min("n")).first()[0]
+    top = counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
     chosen = sorted(r.word.encode() for r in top.select("word").collect())  # at most `words` of WORD_BYTES each
     encoder = LexiconEncoder(vocabulary)
     data, lengths = np.frombuffer(b"".join(chosen), np.uint8), np.array([len(w) for w in chosen], np.int64)
