@@ -129,10 +129,14 @@ def nominated(nodes: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
 
 
 def likeliest(sketches: np.ndarray, roots: np.ndarray, sides: np.ndarray, crossing: bool, most: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs (i, j) of members of different roots: for each member the `most` partners whose sketches agree best, in
-    the other part if `crossing`; and whether some member has more."""
+    """Pairs (i, j) of members of different roots: for each member outside the largest component the `most` partners whose
+    sketches agree best, in the other part if `crossing`; and whether some member has more.
+
+    Of two members of different components one at least is outside the largest, so no pair is left out, and in a list that
+    one component has nearly all of only the few at its rim look for partners."""
     out, more = set(), False
-    for i in range(len(sketches)):
+    counts = np.bincount(roots)
+    for i in np.flatnonzero(roots != counts.argmax()).tolist():
         agree = (sketches == sketches[i]).sum(axis=1)
         agree[(roots == roots[i]) | (sides == sides[i] if crossing else False)] = 0
         found = np.flatnonzero(agree >= LEAST_ALIKE)
