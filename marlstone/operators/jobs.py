@@ -184,6 +184,10 @@ def index_step(reviews: DataFrame, messages: DataFrame, dimensions: int = C.EMBE
     return parts, judged.select("id", F.coalesce("r", "m").alias("sentiment"), F.when(F.col("r").isNotNull(), "rating").otherwise("model").alias("sentiment_source"))
 
 
+#: Slots that are put in order together: a table of blocks is as long as the time that passed, whatever happened in it.
+FLUSH_BLOCK = 1000
+
+
 def buffered_flush(events: DataFrame, every_s: int = 5) -> DataFrame:
     """Counts gathered by project and month and written every few seconds: one row for each flush.
 
@@ -191,13 +195,16 @@ def buffered_flush(events: DataFrame, every_s: int = 5) -> DataFrame:
     the end are lost, and are in rows whose `flush` is null.
     """
     slot = F.floor(F.unix_seconds("ts") / every_s) + 1
-    ok = events.filter("flushed").select("project_id", slot.alias("flush")).distinct()
-    waiting = events.select("project_id", F.trunc("ts", "MM").alias("month"), slot.alias("slot"), "cache_hit").groupBy("project_id", "month", "slot").agg(F.count(F.lit(1)).alias("queries"), F.sum("cache_hit").alias("cache_hits"))
-    marked = waiting.select("project_id", "month", F.col("slot").alias("at"), "queries", "cache_hits", F.lit(None).cast("bigint").alias("flush")).unionByName(ok.select("project_id", F.lit(None).cast("date").alias("month"), F.col("flush").alias("at"), F.lit(None).cast("bigint").alias("queries"), F.lit(None).cast("bigint").alias("cache_hits"), "flush"))
-    # One row for each project and slot: the next flush at or after the slot takes its counts.
-    later = Window.partitionBy("project_id").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
-    taken = marked.withColumn("flush", F.min("flush").over(later)).filter("queries IS NOT NULL")
-    return taken.groupBy("project_id", "month", "flush").agg(F.sum("queries").alias("queries"), F.sum("cache_hits").alias("cache_hits"))
+    marked = events.select("project_id", F.trunc("ts", "MM").alias("month"), slot.alias("slot"), "cache_hit", F.when(F.col("flushed"), slot).alias("ok"))
+    waiting = marked.groupBy("project_id", "month", "slot").agg(F.count(F.lit(1)).alias("queries"), F.sum("cache_hit").alias("cache_hits"), F.max("ok").alias("ok")).withColumn("block", F.floor(F.col("slot") / FLUSH_BLOCK))
+    # The next flush at or after a slot: backwards within its block, so that each row is looked at once, or else the first of a later block.
+    own = F.min("ok").over(Window.partitionBy("project_id", "block").orderBy(F.col("slot").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    behind = F.min("first").over(Window.partitionBy("project_id").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    later = waiting.groupBy("project_id", "block").agg(F.min("ok").alias("first")).select("project_id", "block", behind.alias("later"))
+    taken = waiting.withColumn("own", own).join(later, ["project_id", "block"], "left")
+    # What has no project or time waits for no flush.
+    flush = F.when(F.col("project_id").isNotNull() & F.col("slot").isNotNull(), F.coalesce("own", "later"))
+    return taken.groupBy("project_id", "month", flush.alias("flush")).agg(F.sum("queries").alias("queries"), F.sum("cache_hits").alias("cache_hits"))
 
 
 def marker_state(marks: DataFrame, now_s: int, ttl_s: int = 3600) -> DataFrame:

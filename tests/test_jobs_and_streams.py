@@ -201,6 +201,16 @@ def test_buffered_counts_wait_for_a_flush_that_succeeds(spark):
     assert got == {(1, 1): 2, (1, 3): 2, (1, None): 1, (2, 1): 1}
 
 
+def test_flushes_are_found_across_blocks_looking_at_each_row_once(spark):
+    rows = [(1, 3, False), (1, 20_000, False), (1, 20_001, True), (1, 90_000, False), (1, None, True), (None, 3, True)]
+    events = spark.createDataFrame(rows, "project_id int, s bigint, flushed boolean").select("project_id", F.timestamp_seconds("s").alias("ts"), "flushed", F.lit(1).alias("cache_hit"))
+    out = jobs.buffered_flush(events)
+    got = {(r.project_id, r.flush): r.n for r in out.groupBy("project_id", "flush").agg(F.sum("queries").alias("n")).collect()}
+    assert got == {(1, 4001): 3, (1, None): 2, (None, None): 1}
+    # A frame that ends at the last row is summed anew for every row.
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_sweep_markers_expire(spark):
     marks = spark.createDataFrame([(1, "mark", 100), (2, "mark", 100), (2, "clear", 150), (3, "mark", 5000)], "project_id int, kind string, at_s bigint")
     assert {r.project_id: r.pending for r in jobs.marker_state(marks, 5100).collect()} == {1: False, 2: False, 3: True}
