@@ -140,6 +140,18 @@ def test_crossover_keeps_every_piece():
         assert sorted(i for x in c for i in x) == list(range(200)) and max(sum(sizes[i] for i in x) for x in c) <= 100
 
 
+def test_an_epoch_improves_on_best_fit():
+    """Pieces too large to fill sequences by best-fit: islands must find packings with fewer."""
+    saved = 0
+    for seed in range(3):
+        sizes = sorted(np.random.default_rng(seed).integers(1100, 2000, 800).tolist())
+        first = packing.best_fit(np.argsort(-np.array(sizes), kind="stable"), sizes, 4096)
+        best = packing.evolve(sizes, 4096, seed, [])
+        assert sorted(i for x in best for i in x) == list(range(800))
+        saved += len(first) - len(best)
+    assert saved >= 7
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(docs(spark, []), vocabulary_path()).collect() == []
 
