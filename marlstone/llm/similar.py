@@ -11,12 +11,14 @@ whole texts:
 
 A list of texts that share a key is never expanded into pairs.  First it becomes a minimum spanning forest by the distance of
 fingerprints (`nearest_forest`), whose links are verified.  Links that fail leave texts apart that another pair could join, so
-rounds follow: each text of a list offers its likeliest partners in other components, one at first and sixteen times as many
-each round, until no text has a partner left that was not tried.  Partners are told by sketches, a byte of each minimum:
-two texts at 0.8 agree in 38 of 48 bytes on average, and those that agree in fewer than LEAST_ALIKE, which happens to some
-five such pairs in 100,000, are not tried.  Lists whose texts are all in one component are done.
-
-A list longer than LONG_LIST is dealt into parts, and rounds compare each part with each: no pair of a list is left out,
+the lists that still have several components are gone through once more, with the shingles of their texts beside them
+(`joined_within`): each text is tried with its partners in other components, the likeliest first, and what joins is one component at
+once, so partners that it brings along are not tried.  Only the links that join come out, fewer than a list has texts.
+Partners are told by sketches, a byte of each minimum: two texts at 0.8 agree in 38 of 48 bytes on average, and those that
+agree in fewer than LEAST_ALIKE, which happens to some five such pairs in 100,000, are not tried.  Lists whose texts are all
+in one component are done, and a pair that shares several keys is tried under the first.
+
+A list longer than LONG_LIST is dealt into parts, and each part is compared with each: no pair of a list is left out,
 however long it is, and no task holds more than two parts.
 
 Equal texts are one node from the start.  Cases: as in `simhash`; texts without words are alike.
@@ -36,12 +38,10 @@ from .simhash import links, shingle_hashes, simhash_of
 ship(__name__)
 
 BANDS, MINIMA = 12, 4
-#: Links of the first forests differ in so many bits at most; what they leave out the rounds find.
+#: Links of the first forests differ in so many bits at most; what they leave out `joined_within` finds.
 FAR = 24
 LONG_LIST = 4096
 LEAST_ALIKE = 27
-#: How many times as many partners each round offers as the one before.
-MORE = 16
 
 
 def multipliers(n: int = BANDS * MINIMA) -> np.ndarray:
@@ -120,8 +120,8 @@ def _forests_of(posted: DataFrame) -> DataFrame:
 
 
 def nominated(nodes: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
-    """key, node, fp, sketch, part, parts of `nodes` that share a key with another; parts hold some `long_list` nodes."""
-    posted = nodes.select(F.explode("keys").alias("key"), "node", "fp", "sketch")
+    """key, node, fp, keys, sketch, part, parts of `nodes` that share a key with another; parts hold some `long_list` nodes."""
+    posted = nodes.select(F.explode("keys").alias("key"), "node", "fp", "keys", "sketch")
     counts = materialise(posted.groupBy("key").count().filter("count > 1"), "key-counts")
     parts = F.ceil(F.col("count") / long_list).cast("int")
     told = posted.join(counts, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -147,30 +147,89 @@ def likeliest(sketches: np.ndarray, roots: np.ndarray, sides: np.ndarray, crossi
     return sorted(out), more
 
 
-def offers(posted: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """a, b, more: the likeliest partners in other components (`roots`: node, root; others are their own) within each list."""
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of shingle hashes (sorted, each once) are as similar as that; empty ones are alike."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def joined_within(key: int, keys: np.ndarray, sketches: np.ndarray, roots: np.ndarray, sides: np.ndarray, crossing: bool, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) of members of one list that join its components, as far as pairs of that similarity do.
+
+    Every pair of different components that agrees enough is tried, or has been joined by others meanwhile."""
+    links, parent = [], list(range(int(roots.max()) + 1))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def tried(i: int, j: int) -> bool:
+        a, b = find(int(roots[i])), find(int(roots[j]))
+        if a == b or not alike(sets[i], sets[j], similarity):
+            return False
+        parent[max(a, b)] = min(a, b)
+        links.append((i, j))
+        return True
+
+    for i, j in likeliest(sketches, roots, sides, crossing, 1)[0]:
+        tried(i, j)
+    now = lambda: np.array([find(x) for x in range(len(parent))])[roots]
+    own = now()
+    # One of two members of different components is outside the largest.
+    outside = own != np.bincount(own).argmax()
+    place = keys == key
+    for i in np.flatnonzero(outside).tolist():
+        shared = keys == keys[i]
+        worth = (own != own[i]) & (place & shared).any(axis=1) & (shared.argmax(axis=1) == place[i].argmax())
+        worth[:i] &= ~outside[:i]  # those have tried this one
+        if crossing:
+            worth &= sides != sides[i]
+        near = np.flatnonzero(worth)
+        agree = (sketches[near] == sketches[i]).sum(axis=1)
+        near, agree = near[agree >= LEAST_ALIKE], agree[agree >= LEAST_ALIKE]
+        if any([tried(i, j) for j in near[np.argsort(-agree, kind="stable")].tolist()]):
+            own = now()
+    return links
+
+
+def further_links(posted: DataFrame, roots: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that join components (`roots`: node, root; others are their own) within each list."""
+
+    def joined(group: tuple, rows: list[dict]) -> list[tuple[bytes, bytes]]:
+        numbers: dict[bytes, int] = {}
+        own = np.array([numbers.setdefault(r["root"], len(numbers)) for r in rows])
+        if len(numbers) < 2:
+            return []
+        keys, bytes_of = np.array([r["keys"] for r in rows], np.int64), np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
+        found = joined_within(group[0], keys, bytes_of, own, np.array([r["part"] for r in rows]), group[1] != group[2], [np.frombuffer(r["hashes"], "<u8") for r in rows], similarity)
+        return [(rows[x]["node"], rows[y]["node"]) for x, y in found]
 
     def made(batches):
+        last, waiting = None, []
         for batch in batches:
-            a, b, more = [], [], []
-            for i, j, members in zip(*batches_of(["i", "j", "members"], batch), strict=True):
-                numbers: dict[bytes, int] = {}
-                own = np.array([numbers.setdefault(m["root"], len(numbers)) for m in members])
-                sketches = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
-                pairs, left = likeliest(sketches, own, np.array([m["part"] for m in members]), i != j, most)
-                for x, y in pairs:
-                    a.append(members[x]["node"])
-                    b.append(members[y]["node"])
-                    more.append(left)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(more, pa.bool_())], ["a", "b", "more"])
+            out = []
+            for r in batch.to_pylist():
+                group = (r["key"], r["i"], r["j"])
+                if group != last:
+                    out += joined(last, waiting) if waiting else []
+                    last, waiting = group, []
+                waiting.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+        out = joined(last, waiting) if waiting else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     told = posted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = told.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     # Every part meets every part; lists of one part, nearly all, meet once.
     meets = told.join(apart, "key").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    meets = meets.withColumns({"i": F.least("part", "with"), "j": F.greatest("part", "with")})
-    lists = meets.groupBy("key", "i", "j").agg(F.sort_array(F.collect_list(F.struct("node", "sketch", "root", "part"))).alias("members"))
-    return lists.select("i", "j", "members").mapInArrow(made, "a binary, b binary, more boolean")
+    meets = meets.withColumns({"i": F.least("part", "with"), "j": F.greatest("part", "with")}).join(shingles, "node")
+    dealt = meets.select("key", "i", "j", "node", "root", "part", "keys", "sketch", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return dealt.mapInArrow(made, "a binary, b binary")
 
 
 def further_joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -182,48 +241,32 @@ def further_joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(every.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
 
 
-def joined_in_rounds(first: DataFrame, posted: DataFrame, verify) -> DataFrame:
-    """node, root from the links of `first` and of all rounds that `verify` upholds."""
-    tried, most = first, 1
-    roots = components(materialise(verify(tried), "links"))
-    while True:
-        told = materialise(offers(posted, roots, most), "offers")
-        new = materialise(told.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "nominated-links")
-        if not new.isEmpty():
-            roots = further_joined(roots, materialise(verify(new), "links"))
-            tried = tried.unionByName(new)
-        elif told.filter("more").isEmpty():
-            return roots
-        most *= MORE
-
-
-def alike(text_a: str, text_b: str, size: int, similarity: float) -> bool:
-    a, b = (np.unique(shingle_hashes(t, size)) for t in (text_a, text_b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return not (len(a) or len(b)) or both >= similarity * (len(a) + len(b) - both)
+def shingles_of(members: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """node, hashes: the shingle hashes of some nodes' texts, sorted, each once, in eight bytes."""
 
+    def made(batches):
+        for batch in batches:
+            own, texts = batches_of(["end", "t"], batch)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in texts], pa.binary())], ["node", "hashes"])
 
-def texts_of(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """n, t: the texts of some nodes (column node), each once."""
     # Texts are fetched by their least doc_id as well, so the copies of one text are dealt to many tasks and drop out there.
     ends = members.distinct().join(nodes, "node").select(F.col("node").alias("end"), F.coalesce("least", F.lit(0)).alias("at"))
     text = text_or_empty(text_col)
     known = docs.select(F.unhex(F.md5(text)).alias("n"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("d"), text.alias("t"))
-    return materialise(known.join(ends, (known.n == ends.end) & (known.d == ends["at"]), "left_semi").groupBy("n").agg(F.min("t").alias("t")), "texts", "zstd")
+    once = known.join(ends, (known.n == ends.end) & (known.d == ends["at"]), "left_semi").groupBy(F.col("n").alias("end")).agg(F.min("t").alias("t"))
+    return materialise(once.mapInArrow(made, "node binary, hashes binary"), "shingles")
 
 
-def verified(edges: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+def verified(edges: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     """The links whose texts are as similar as that."""
 
     def told(batches):
         for batch in batches:
-            yield batch.filter(pa.array([alike(x, y, size, similarity) for x, y in zip(*batches_of(["ta", "tb"], batch), strict=True)], pa.bool_())).select(["a", "b"])
+            sets = ([np.frombuffer(x, "<u8") for x in column] for column in batches_of(["ha", "hb"], batch))
+            yield batch.filter(pa.array([alike(x, y, similarity) for x, y in zip(*sets, strict=True)], pa.bool_())).select(["a", "b"])
 
-    # Only the texts that these links ask for move.
-    ends = edges.select(F.col("a").alias("n")).union(edges.select("b")).distinct()
-    known = materialise(texts.join(ends, "n", "left_semi"), "texts-asked", "zstd")
-    first = edges.join(known.select(F.col("n").alias("a"), F.col("t").alias("ta")), "a")
-    return first.join(known.select(F.col("n").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(told, "a binary, b binary")
+    first = edges.join(shingles.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+    return first.join(shingles.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb").mapInArrow(told, "a binary, b binary")
 
 
 def similar_texts(docs: DataFrame, size: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,8 +283,9 @@ def similar_texts(docs: DataFrame, size: int, similarity: float, id_col: str = "
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialise(edges, "nominated-links")
     members = posted.select("node").union(edges.select("a")).union(edges.select("b"))
-    texts = texts_of(members, nodes, docs, id_col, text_col)
-    roots = joined_in_rounds(edges, posted, lambda new: verified(new, texts, size, similarity))
+    shingles = shingles_of(members, nodes, docs, size, id_col, text_col)
+    roots = components(materialise(verified(edges, shingles, similarity), "links"))
+    roots = further_joined(roots, materialise(further_links(posted, roots, shingles, similarity).distinct(), "links"))
     named = materialise(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = named.join(least, "root").select("node", "root", "component_id")

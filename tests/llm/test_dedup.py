@@ -274,3 +274,17 @@ def test_likeliest_partners_are_of_other_components_and_parts():
     assert more and len([p for p in pairs if 2 in p]) >= 1 and not {(0, 1), (0, 4), (1, 4)} & set(pairs)
     alone = np.array([0, 0, 0, 0, 1])
     assert similar.likeliest(np.zeros((5, 48), np.uint8), alone, sides, False, 2)[0] in ([(0, 4), (1, 4)], [(0, 4), (2, 4)], [(0, 4), (3, 4)], [(1, 4), (2, 4)], [(1, 4), (3, 4)], [(2, 4), (3, 4)])
+
+
+def test_a_list_gives_fewer_links_than_it_has_texts():
+    """Of 80 texts whose pairs are nearly all alike, and 80 of which none are: no pair is left out, and pairs don't come out."""
+    rng = np.random.default_rng(3)
+    one, other = (np.sort(rng.integers(0, 1 << 62, 100).astype(np.uint64)) for _ in range(2))
+    sets = [np.sort(np.concatenate([one[k % 5 :], rng.integers(0, 1 << 62, 3).astype(np.uint64)])) for k in range(80)]
+    sets += [np.sort(np.concatenate([other[:60], rng.integers(0, 1 << 62, 40).astype(np.uint64)])) for _ in range(80)]
+    sketches = np.repeat(np.array([[1] * 48, [2] * 48], np.uint8), 80, axis=0)
+    keys, roots, sides = np.full((160, 12), 7), np.arange(160), np.arange(160) % 2
+    for crossing in (False, True):
+        links = similar.joined_within(7, keys, sketches, roots, sides, crossing, sets, 0.8)
+        assert len(links) == 79 and all(i < 80 and j < 80 for i, j in links)
+        assert not crossing or all(sides[i] != sides[j] for i, j in links)
