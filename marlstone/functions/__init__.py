@@ -10,6 +10,16 @@ def ship(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+#: Texts that a Python function has in hand at once, with what it makes of them; an Arrow batch has ten thousand rows.
+SLICE = 256
+
+
+def slices(batch):
+    """An Arrow batch in parts, so what Python holds does not follow the size of the batch."""
+    for at in range(0, batch.num_rows, SLICE):
+        yield batch.slice(at, SLICE)
+
+
 def arrow(schema: str):
     """A vectorised function of pandas Series as a function of columns; made when first used, when there is a session."""
 

@@ -17,11 +17,16 @@ from .queries import EPOCH, query
 TEXTS = "SELECT doc_id::VARCHAR AS id, lang, source, md5(coalesce(text, '')) AS digest FROM documents"
 
 
+#: Records of one uploaded JSON file, about; a CSV file has up to ten times as many.
+RECORDS = 1000
+
+
 def _csv(spark, d, delimiter):
     """All documents as CSV files with every field in quotes, doubled ones inside."""
     path = fresh_path(spark, "csv")
     docs = views.table(spark, d, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    docs.write.csv(path, header=True, sep=delimiter, quoteAll=True, escape='"', lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
+    # Files of a bounded size, as uploads are.
+    docs.write.option("maxRecordsPerFile", 10 * RECORDS).csv(path, header=True, sep=delimiter, quoteAll=True, escape='"', lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
     return path
 
 
@@ -48,8 +53,11 @@ def json_files(spark, d):
     i, path = F.col("doc_id"), fresh_path(spark, "json")
     record = F.struct(i.alias("id"), F.struct(F.col("lang")).alias("in"), (i % 2 == 0).alias("even"), F.coalesce("text", F.lit("")).alias("text"))
     tags = F.concat(F.lit(',"tags":['), (i % 5).cast("string"), F.lit(',"x"],"nothing":null}'))
-    rows = views.table(spark, d, "documents").select((i % 8).alias("file"), F.concat(F.regexp_replace(F.to_json(record), "\\}$", ""), tags).alias("json"))
-    whole = rows.groupBy("file").agg(F.concat(F.lit('{"results": ['), F.array_join(F.collect_list("json"), ","), F.lit("]}")).alias("value"))  # files are bounded: a fixed share of a fixture
+    docs = views.table(spark, d, "documents")
+    # An upload has a bounded size, so more documents are more files.
+    n = max(1, -(-docs.count() // RECORDS))
+    rows = docs.select(F.pmod(F.xxhash64(i), F.lit(n)).alias("file"), F.concat(F.regexp_replace(F.to_json(record), "\\}$", ""), tags).alias("json"))
+    whole = rows.groupBy("file").agg(F.concat(F.lit('{"results": ['), F.array_join(F.collect_list("json"), ","), F.lit("]}")).alias("value"))
     whole.write.partitionBy("file").text(path)
     cells = files.json_cells(spark, path).select(F.map_from_arrays("headers", "cells").alias("c"))
     return cells.select(F.col("c")["id"].alias("id"), F.col("c")["in.lang"].alias("in_lang"), F.col("c")["even"].alias("even"), F.col("c")["tags"].alias("tags"), F.col("c")["nothing"].alias("nothing"), F.md5(F.col("c")["text"]).alias("digest"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import json
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import ship
+from ..functions import ship, slices
 
 ship(__name__)
 
@@ -85,6 +87,30 @@ def parse_csv(text: str) -> tuple[list[str], list[list[str]]]:
     return [h.strip() for h in rows[0]] if rows else [], rows[1:]
 
 
+#: Bytes of a file that are parsed at once, and records that are given out together.
+PART = 1 << 20
+
+
+def csv_parts(content: bytes) -> Iterator[tuple[list[str], list[list[str]]]]:
+    """Headers and rows of a file as `parse_csv` gives them, in parts: the text and its rows are never there as a whole."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    texts = (decoder.decode(content[at : at + PART], at + PART >= len(content)) for at in range(0, len(content), PART))
+    # The delimiter is told from the first line, however long.
+    head = ""
+    for text in texts:
+        head += text
+        if len(head.lstrip("\ufeff").splitlines()) > 1:
+            break
+    first = next(iter(head.lstrip("\ufeff").splitlines()), "") if head.strip() else ""
+    records, headers = Records(detect_delimiter(first)), None
+    for found in chain([records.write(head)], (records.write(t) for t in texts), [records.end()]):
+        rows = list(found)
+        if headers is None and rows:
+            headers, rows = [h.strip() for h in rows[0]], rows[1:]
+        if rows:
+            yield headers, rows
+
+
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """path, row (from 1), and cells of large CSV files in RFC 4180 form, read line by line in parallel.
 
@@ -107,8 +133,9 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            cells = [next(iter([*(r := Records(delimiter)).write(t), *r.end()]), None) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.string()))], ["path", "record", "cells"])
+            for part in slices(batch):
+                cells = [next(iter([*(r := Records(delimiter)).write(t), *r.end()]), None) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells, pa.list_(pa.string()))], ["path", "record", "cells"])
 
     # Blank records take no number, and the first that is left is the header.
     filled = whole.filter(F.trim("text") != "").mapInArrow(run, "path string, record bigint, cells array<string>")
@@ -128,10 +155,12 @@ def csv_cells(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                headers, rows = parse_csv(content.decode("utf-8", "replace"))
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(1, n + 1), pa.int64()), pa.array([headers] * n, pa.list_(pa.string())), pa.array(rows, pa.list_(pa.string()))], ["path", "row", "headers", "cells"])
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                done = 0
+                for headers, rows in csv_parts(content.as_py()):
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * n, pa.string()), pa.array(range(done + 1, done + n + 1), pa.int64()), pa.array([headers] * n, pa.list_(pa.string())), pa.array(rows, pa.list_(pa.string()))], ["path", "row", "headers", "cells"])
+                    done += n
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, row bigint, headers array<string>, cells array<string>")
 

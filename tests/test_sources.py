@@ -185,3 +185,16 @@ def test_a_parted_table_swapped_as_a_whole_has_only_the_new_rows(spark, tmp_path
     assert got.count() == (6 if broken and stop == 0 else 3 if not broken or stop > 1 else got.count())
     assert got.count() in (3, 6) and tables.parted_by(spark, path) == ["project_id", "environment"]
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_csv_files_are_parsed_in_parts_as_a_whole(monkeypatch):
+    """However a file is cut, also within characters, line ends and quotes; and no part has all of its rows."""
+    text = "\ufeffid;text\r\n1;\"a\nb;\"\"é\"\"\"\r\n\r\n2;日本\r3;\"open"
+    for size in (1, 2, 3, 7, 1 << 20):
+        monkeypatch.setattr(files, "PART", size)
+        parts = list(files.csv_parts(text.encode()))
+        assert [r for _, rows in parts for r in rows] == files.parse_csv(text)[1] and all(h == ["id", "text"] for h, _ in parts)
+    monkeypatch.setattr(files, "PART", 1000)
+    parts = list(files.csv_parts(("n,t\n" + "".join(f"{i},{'x' * 50}\n" for i in range(400))).encode()))
+    assert sum(len(rows) for _, rows in parts) == 400 and max(len(rows) for _, rows in parts) < 40
+    assert list(files.csv_parts(b"")) == [] and list(files.csv_parts("\ufeff".encode())) == []
