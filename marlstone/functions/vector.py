@@ -83,19 +83,28 @@ def embed_tokens(text: str) -> list[str]:
     return [t for t in every if t not in C.EMBED_STOP_WORDS] or every
 
 
-def hashed_vector(text: str, dimensions: int = C.EMBEDDING_DIMENSIONS) -> list[float]:
+class Hashes(dict):
+    """The hashes of words; each word of some texts is hashed once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = fnv1a(word)
+        return found
+
+
+def hashed_vector(text: str, dimensions: int = C.EMBEDDING_DIMENSIONS, hashes: Hashes | None = None) -> list[float]:
     tokens = embed_tokens(text)
     if not tokens:
         raise ValueError("an empty text has no embedding")
     v = np.zeros(dimensions)
     for t in tokens:
-        v[fnv1a(t) % dimensions] += 1
+        v[(fnv1a(t) if hashes is None else hashes[t]) % dimensions] += 1
     return (v / np.sqrt((v * v).sum())).tolist()
 
 
 def embedded(texts: pd.Series, dimensions: int = C.EMBEDDING_DIMENSIONS) -> list:
     """The vectors of texts; those without words have none."""
-    return [hashed_vector(t, dimensions) if t and TOKEN.search(t.lower()) else None for t in texts]
+    hashes = Hashes()
+    return [hashed_vector(t, dimensions, hashes) if t and TOKEN.search(t.lower()) else None for t in texts]
 
 
 def hashed_embedding(dimensions: int = C.EMBEDDING_DIMENSIONS):
