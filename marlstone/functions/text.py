@@ -10,6 +10,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,37 +192,48 @@ def _kind(c: str) -> str:
     return {"Lu": "upper", "Lt": "upper", "Ll": "lower", "Lo": "other", "Lm": "other", "Nd": "digit", "Mn": "ext", "Me": "ext", "Mc": "ext", "Cf": "ext"}.get(cat, "any")
 
 
+class _Kinds(dict):
+    """The class of each character, told once."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = found = _kind(c)
+        return found
+
+
+KINDS = _Kinds()
+#: What can end a sentence; between these nothing has to be looked at.
+ENDING = re.compile("[\n\r\x85\u2028\u2029.\u2024\ufe52\uff0e!?\u203c\u2047\u2048\u2049\u3002\uff01\uff1f]")
+
+
 def boundaries(text: str) -> list[int]:
     """Where sentences end, by the rules of Unicode text segmentation (code points)."""
-    kinds, out, i, n = [_kind(c) for c in text], [], 0, len(text)
-    while i < n:
-        k = kinds[i]
+    kinds, out, i, n = KINDS, [], 0, len(text)
+    while found := ENDING.search(text, i):
+        i = found.start()
+        k = kinds[text[i]]
         if k == "sep":
             i += 2 if text[i : i + 2] == "\r\n" else 1
             out.append(i)
             continue
-        if k not in ("aterm", "sterm"):
-            i += 1
-            continue
         j = i + 1
-        if k == "aterm" and j < n and (kinds[j] == "digit" or (kinds[j] == "upper" and i and kinds[i - 1] in ("upper", "lower"))):
+        if k == "aterm" and j < n and (kinds[text[j]] == "digit" or (kinds[text[j]] == "upper" and i and kinds[text[i - 1]] in ("upper", "lower"))):
             i = j  # inside a number or an abbreviation
             continue
-        while j < n and kinds[j] in ("close", "ext"):
+        while j < n and kinds[text[j]] in ("close", "ext"):
             j += 1
-        while j < n and kinds[j] in ("sp", "ext"):
+        while j < n and kinds[text[j]] in ("sp", "ext"):
             j += 1
-        if j < n and kinds[j] in ("cont", "aterm", "sterm") and kinds[j] != "sep":
-            i = j if kinds[j] != "cont" else j + 1
+        if j < n and kinds[text[j]] in ("cont", "aterm", "sterm"):
+            i = j if kinds[text[j]] != "cont" else j + 1
             continue
         if k == "aterm":
             m = j
-            while m < n and kinds[m] not in ("other", "upper", "lower", "sep", "aterm", "sterm"):
+            while m < n and kinds[text[m]] not in ("other", "upper", "lower", "sep", "aterm", "sterm"):
                 m += 1
-            if m < n and kinds[m] == "lower":
+            if m < n and kinds[text[m]] == "lower":
                 i = j
                 continue
-        if j < n and kinds[j] == "sep":
+        if j < n and kinds[text[j]] == "sep":
             j += 2 if text[j : j + 2] == "\r\n" else 1
         out.append(j)
         i = j
@@ -278,8 +290,16 @@ def windows(count: int, width: int = 3, step: int = 2) -> list[tuple[int, int]]:
     return out
 
 
-def utf16(text: str, at: int) -> int:
-    return len(text[:at].encode("utf-16-le", "surrogatepass")) // 2
+def utf16(text: str, places: list[int]) -> list[int]:
+    """Rising places of a text (code points) in UTF-16 units; the text is gone through once."""
+    units = lambda a, b: len(text[a:b].encode("utf-16-le", "surrogatepass")) // 2
+    if units(0, len(text)) == len(text):
+        return list(places)
+    out, at, n = [], 0, 0
+    for place in places:
+        n, at = n + units(at, place), place
+        out.append(n)
+    return out
 
 
 def excerpts(text: str, width: int = 3, step: int = 2, least: int = 4, single: bool = True) -> list[tuple[str, str, int]]:
@@ -287,12 +307,13 @@ def excerpts(text: str, width: int = 3, step: int = 2, least: int = 4, single: b
     if not text.strip():
         raise ValueError("an empty text has no excerpts")
     out, spans = [("full", text, 0)], sentences(text)
+    offsets = utf16(text, [a for a, _ in spans])
     if len(spans) >= least:
         for a, b in windows(len(spans), width, step):
             if (a, b) != (0, len(spans)):
-                out.append(("window", text[spans[a][0] : spans[b - 1][1]], utf16(text, spans[a][0])))
+                out.append(("window", text[spans[a][0] : spans[b - 1][1]], offsets[a]))
     if single and len(spans) >= 2:
-        out += [("sentence", text[a:b], utf16(text, a)) for a, b in spans if (a, b) != (0, len(text))]
+        out += [("sentence", text[a:b], offset) for (a, b), offset in zip(spans, offsets, strict=True) if (a, b) != (0, len(text))]
     return out
 
 
@@ -301,14 +322,40 @@ def is_verbatim(text: str, excerpt: str, offset: int) -> bool:
     return bool(own) and offset >= 0 and raw[2 * offset : 2 * offset + len(own)] == own
 
 
-@arrow("array<struct<kind:string,text:string,start_offset:int>>")
-def excerpt_array(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [dict(zip(("kind", "text", "start_offset"), e, strict=True)) for e in excerpts(t)] if t and t.strip() else [])
+#: Texts whose excerpts Python has in hand at once.
+AT_ONCE = 64
+EXCERPT = pa.struct([("kind", pa.string()), ("text", pa.string()), ("start_offset", pa.int32())])
+
+
+def _excerpts_of(texts: list[str | None]) -> pa.Array:
+    """The excerpts of some texts, put together as columns."""
+    each = [excerpts(t) if t and t.strip() else [] for t in texts]
+    ends = [0]
+    for e in each:
+        ends.append(ends[-1] + len(e))
+    flat = [x for e in each for x in e]
+    parts = [pa.array([x[k] for x in flat], EXCERPT[k].type) for k in range(3)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(EXCERPT)))
+
+
+def excerpted(reviews: DataFrame, id_col: str = "id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """review_id, excerpts (kind, text, start_offset) and, if asked for, the text of every review, a few at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                columns = [*part.columns[: 1 + with_text], _excerpts_of(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays(columns, ["review_id", *(["text"] if with_text else []), "excerpts"])
+
+    kind = reviews.select(id_col).schema[0].dataType.simpleString()
+    schema = f"review_id {kind}, " + "text string, " * with_text + "excerpts array<struct<kind:string,text:string,start_offset:int>>"
+    return reviews.select(F.col(id_col).alias("review_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def chunked(reviews: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """review_id, kind, text, start_offset: the excerpts of every review with text."""
-    return reviews.select(F.col(id_col).alias("review_id"), F.explode_outer(excerpt_array(text_col)).alias("e")).filter("e IS NOT NULL").select("review_id", "e.*")
+    return excerpted(reviews, id_col, text_col).select("review_id", F.explode("excerpts").alias("e")).select("review_id", "e.*")
 
 
 def sentiment_of(text: str, threshold: float = C.NEUTRAL_THRESHOLD) -> tuple[str, float]:

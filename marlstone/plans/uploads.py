@@ -163,13 +163,14 @@ def place_reviews(spark, d):
 def excerpts_are_slices(spark, d):
     """Every excerpt of every document against its text: one of the whole, all verbatim at their offsets (UTF-16 units)."""
     docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").filter(F.rlike("text", F.lit(r"\S")))
-    parts = T.chunked(docs)
-    # UTF-16 units as pairs of bytes, so offsets are those of the excerpts whatever characters a text has.
-    units = lambda c: F.hex(F.encode(c, "UTF-16BE"))
-    joined = parts.select("review_id", "kind", "start_offset", F.col("text").alias("excerpt")).join(docs.withColumnRenamed("id", "review_id"), "review_id")
-    size = F.length(units(F.col("excerpt")))
-    slice_ = F.substring(units(F.col("text")), F.col("start_offset") * 4 + 1, size)
-    return joined.groupBy(F.col("review_id").alias("id")).agg(F.count_if(F.col("kind") == "full").alias("wholes"), F.every(slice_ == units(F.col("excerpt"))).alias("verbatim"), F.every((F.col("start_offset") >= 0) & (size > 0)).alias("inside"))
+    # A text beside its excerpts, as UTF-16 units of two bytes: each excerpt is one slice of them, whatever characters the text has.
+    units = lambda c: F.encode(c, "UTF-16BE")
+    agrees = lambda whole, e: S.let(units(e["text"]), lambda own: F.substring(whole, e["start_offset"] * 2 + 1, F.octet_length(own)) == own)
+    verbatim = S.let(units(F.col("text")), lambda whole: F.forall("excerpts", lambda e: agrees(whole, e)))
+    inside = F.forall("excerpts", lambda e: (e["start_offset"] >= 0) & (F.length(e["text"]) > 0))
+    each = T.excerpted(docs, with_text=True).groupBy(F.col("review_id").alias("id"))
+    wholes = F.size(F.filter("excerpts", lambda e: e["kind"] == "full"))
+    return each.agg(F.sum(wholes).alias("wholes"), F.every(verbatim).alias("verbatim"), F.every(inside).alias("inside"))
 
 
 @query("""WITH t AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS own FROM documents)

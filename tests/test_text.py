@@ -102,3 +102,27 @@ def test_hash_and_embedding(spark):
         hashed_vector("!!", 64)
     frame = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [round(r.c, 6) for r in frame.select(cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [0.707107, 0.0]
+
+
+def test_excerpts_of_a_long_text_take_time_in_proportion():
+    """Offsets were counted from the start for every sentence: minutes for a text like this one."""
+    import time
+
+    text = "\U0001f600 came on time. Mr. Fox left at 3.15 p.m. sharp! " * 20_000
+    began = time.time()
+    found = T.excerpts(text)
+    assert time.time() - began < 20 and len(found) > 60_000
+    raw = text.encode("utf-16-le")
+    for _, own, at in found[1::997]:
+        assert raw[2 * at : 2 * at + 2 * len(own.encode("utf-16-le")) // 2].startswith(own.encode("utf-16-le"))
+
+
+def test_a_few_texts_are_in_hand_at_once(spark):
+    """What Python returns of a batch does not follow its size, and nothing is listed row by row."""
+    import pyarrow as pa
+
+    rows = spark.range(300).select("id", F.lit("One is here. Two is there. Three.").alias("text"))
+    made = T.excerpted(rows)
+    assert made.count() == 300 and "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    assert T._excerpts_of(["One. Two.", None, " "]).to_pylist() == [[dict(zip(("kind", "text", "start_offset"), e, strict=True)) for e in T.excerpts("One. Two.")], [], []]
+    assert isinstance(T._excerpts_of(["One. Two."]), pa.ListArray)
