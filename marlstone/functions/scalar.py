@@ -74,7 +74,8 @@ def parse_rating(cell: Column) -> Column:
             .otherwise(word)
         )
 
-    return let(let(parts, value), lambda found: F.when((found >= 1) & (found <= 5), found.cast("int")))
+    found = let(let(parts, value), lambda found: F.when((found >= 1) & (found <= 5), found.cast("int")))
+    return F.when(~F.rlike(cell, F.lit(WORDS_FIRST)), found)
 
 
 def rating_from_stars(name: Column) -> Column:
@@ -109,6 +110,14 @@ def stars(rating: Column) -> Column:
 MONTH_NUMBERS = {m: i + 1 for i, m in enumerate(C.MONTHS)} | {m[:3]: i + 1 for i, m in enumerate(C.MONTHS)} | {"sept": 9}
 
 
+#: A letter before lower case; two others become some of a to z.
+LETTER = r"[A-Za-z\u0130\u212a]"
+#: Seven words besides those that a date may repeat.  A date has two at most, its clock a t before and three after ("p. m. z"), so prose ends here.
+MANY_WORDS = rf"^(?:(?:[^A-Za-z\u0130\u212a]+|(?i:at|st|nd|rd|th)(?!{LETTER}))*+{LETTER}++){{7}}"
+#: Four words before any figure: no rating begins so.
+WORDS_FIRST = rf"^(?:[^A-Za-z\u0130\u212a0-9]*+{LETTER}++){{4}}"
+
+
 def parse_date_ms(cell: Column) -> Column:
     """Milliseconds since 1970, from ISO 8601, m/d/y, d.m.yyyy, "Jan 5, 2026 at 3:04 PM", "5 Jan 2026" or Unix time; else null.
 
@@ -116,7 +125,8 @@ def parse_date_ms(cell: Column) -> Column:
     the form, and the form decides which number is what.
     """
     tokens = F.regexp_extract_all(F.regexp_replace(F.lower(trimmed(cell)), f"{SPACE}+", " "), F.lit("[0-9]+|[a-z]+|[^0-9a-z]"), F.lit(0))
-    return let(tokens, lambda t: F.when(F.size(t) == 1, _unix_ms(F.get(t, F.lit(0)))).otherwise(let(_two_parts(t), _date_and_clock)))
+    parsed = let(tokens, lambda t: F.when(F.size(t) == 1, _unix_ms(F.get(t, F.lit(0)))).otherwise(let(_two_parts(t), _date_and_clock)))
+    return F.when(~F.rlike(cell, F.lit(MANY_WORDS)), parsed)
 
 
 def _unix_ms(figures: Column) -> Column:
