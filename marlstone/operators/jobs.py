@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import ship
+from ..storage import written
 
 ship(__name__)
 
@@ -216,23 +217,28 @@ def marker_state(marks: DataFrame, now_s: int, ttl_s: int = 3600) -> DataFrame:
 def suggested_query(texts: DataFrame, stop_words: list[str], least: int = 20, text_col: str = "text") -> DataFrame:
     """Two words that describe the texts: the one in most of them, and the one most often found with it; in their usual order.
 
-    Counts are aggregated; only the winning words, one row each, are carried on.
+    Texts are taken apart once, and what is counted is written: vocabulary and the different words of each text.  Stop words, short
+    words and numbers are told among the words counted, not in every text; only the winning words, one row each, are carried on.
     """
-    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
-    words = F.transform(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"([\p{L}\p{N}']+)"), F.lit(1)), lambda w: F.regexp_replace(F.regexp_replace(w, "^'+|'+$", ""), "'s$", ""))
-    docs = texts.select(F.filter(words, lambda w: (F.length(w) >= 3) & ~F.rlike(w, F.lit(r"^\d+$")) & ~F.array_contains(stop, w)).alias("w")).filter("size(w) > 0")
+    marks = lambda w: F.regexp_replace(F.regexp_replace(w, "^'+|'+$", ""), "'s$", "")
+    words = F.transform(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"([\p{L}\p{N}']+)"), F.lit(1)), lambda w: F.when(F.contains(w, F.lit("'")), marks(w)).otherwise(w))
+    docs = written(texts.select(words.alias("w")).select("w", F.array_distinct("w").alias("d")), "words")
     tf = docs.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("tf"))
-    df = docs.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    counts = df.join(tf, "word")
+    df = docs.select(F.explode("d").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    telling = (F.length("word") >= 3) & ~F.rlike("word", F.lit(r"^\d+$")) & ~F.col("word").isin(stop_words)
+    counts = written(df.join(tf, "word").filter(telling), "counts")
     best = lambda rows, c: rows.orderBy(F.col(c).desc(), F.col("tf").desc(), F.length("word").desc(), "word").limit(1)
     first = best(counts, "df").select(F.col("word").alias("first"))
-    with_first = docs.join(F.broadcast(first), F.array_contains("w", F.col("first")))
-    co = with_first.select(F.explode(F.array_distinct("w")).alias("word"), "first").filter("word <> first").groupBy("word").agg(F.count(F.lit(1)).alias("co")).join(counts, "word")
+    with_first = docs.select("d").join(F.broadcast(first), F.array_contains("d", F.col("first")))
+    co = with_first.select(F.explode("d").alias("word"), "first").filter("word <> first").groupBy("word").agg(F.count(F.lit(1)).alias("co")).join(counts, "word")
     together = best(co, "co").filter("co >= 2").select(F.col("word").alias("second"), F.lit(0).alias("o"))
     overall = best(counts.join(F.broadcast(first), F.col("word") != F.col("first")), "df").select(F.col("word").alias("second"), F.lit(1).alias("o"))
     second = together.union(overall).orderBy("o").limit(1).select("second")
-    pair = first.join(F.broadcast(second), F.lit(True), "left")  # one row against one row
-    lead = docs.join(F.broadcast(pair), F.array_contains("w", F.col("first")) & F.array_contains("w", F.col("second"))).agg(F.sum(F.when(F.array_position("w", F.col("first")) < F.array_position("w", F.col("second")), 1).otherwise(-1)).alias("lead"))
-    total = texts.agg(F.count(F.lit(1)).alias("n"))
+    pair = written(first.join(F.broadcast(second), F.lit(True), "left"), "pair")  # one row against one row
+    # Different words stand in the order in which they first appear, so they say which comes first.
+    place = lambda c: F.array_position("d", F.col(c))
+    both = docs.select("d").join(F.broadcast(pair), F.array_contains("d", F.col("first")) & F.array_contains("d", F.col("second")))
+    lead = both.agg(F.sum(F.when(place("first") < place("second"), 1).otherwise(-1)).alias("lead"))
+    total = docs.agg(F.count(F.lit(1)).alias("n"))
     told = pair.join(F.broadcast(lead), F.lit(True)).join(F.broadcast(total), F.lit(True))
     return told.select(F.when(F.col("n") >= least, F.when(F.col("second").isNull(), F.col("first")).when(F.coalesce("lead", F.lit(0)) >= 0, F.concat_ws(" ", "first", "second")).otherwise(F.concat_ws(" ", "second", "first"))).alias("suggestion"))

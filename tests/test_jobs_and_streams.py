@@ -237,3 +237,9 @@ def test_poll_takes_what_is_newer_and_moves_the_cursor(spark):
     page = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 3, 5)], "location string, id int, update_ms bigint")
     fresh, moved = index.poll(page, spark.createDataFrame([("a", 10), ("c", 1)], "location string, cursor_ms bigint"))
     assert sorted(r.id for r in fresh.collect()) == [2, 3] and {r.location: r.cursor_ms for r in moved.collect()} == {"a": 20, "b": 5, "c": 1}
+
+
+def test_suggested_query_takes_texts_apart_once(spark):
+    frame = spark.createDataFrame([("The crew's roof leak. Roof!",)] * 21 + [("A leak.",)], "text string")
+    plan = jobs.suggested_query(frame, ["the"])
+    assert plan.first().suggestion == "roof leak" and "regexp_extract_all" not in plan._jdf.queryExecution().optimizedPlan().toString()
