@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-#: Levels of objects within objects that are taken apart before lineage is cut.
-LEVELS = 4
-
-
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """row, json: the lines of files, numbered so that numbers differ and keep the order of lines."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
@@ -49,17 +45,16 @@ def _one_level(objects: DataFrame) -> DataFrame:
 
 def cells(records: DataFrame, row: str = "row", text: str = "json") -> DataFrame:
     """row, name, value, place of records (row, a text each): the leaves of their objects; place is where each stands in its record."""
-    objects = records.select(F.col(row).alias("row"), F.array().cast("array<int>").alias("place"), F.lit("").alias("name"), F.col(text).alias("json"))
-    out, level = None, 0
+    # Dealt out, since parsing costs more than moving and a file may be one task.
+    objects = records.repartition(row).select(F.col(row).alias("row"), F.array().cast("array<int>").alias("place"), F.lit("").alias("name"), F.col(text).alias("json"))
+    out = None
     while True:
-        each = _one_level(objects)
-        level += 1
-        if level % LEVELS == 0:  # variants go as JSON; what is below is parsed again anyway
-            each = written(each.withColumn("value", F.to_json("value")), "cells").withColumn("value", F.parse_json("value"))
-        nested = F.startswith("kind", F.lit("OBJECT"))
-        leaves = each.filter(~nested).select("row", "name", _scalar(F.col("value"), F.col("kind")).alias("value"), "place")
+        each, nested = _one_level(objects), F.startswith("kind", F.lit("OBJECT"))
+        # Written, so that each level is parsed once, whoever reads its leaves and the objects within.
+        level = written(each.select("row", "name", F.when(~nested, _scalar(F.col("value"), F.col("kind"))).alias("value"), "place", nested.alias("nested"), F.when(nested, F.col("json")).alias("json")), "cells")
+        leaves = level.filter("NOT nested").select("row", "name", "value", "place")
         out = leaves if out is None else out.unionByName(leaves)
-        objects = each.filter(nested).select("row", "place", "name", "json")
+        objects = level.filter("nested").select("row", "place", "name", "json")
         if objects.isEmpty():
             return out
 

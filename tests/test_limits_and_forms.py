@@ -128,3 +128,21 @@ RATINGS = {
 def test_ratings_cell_by_cell(spark):
     rows = spark.createDataFrame([(c,) for c in RATINGS], "c string").select("c", S.parse_rating(F.col("c")).alias("r")).collect()
     assert {r.c: r.r for r in rows} == RATINGS
+
+
+def test_each_level_of_nested_json_is_parsed_once(spark):
+    deep = spark.createDataFrame([(1, '{"a": {"b": {"c": {"d": {"e": 1.50}}}}, "f": null}')], "row bigint, json string")
+    table = variants.cells(deep)
+    assert "parse_json" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.name, r.value, r.place) for r in table.collect()) == [("a.b.c.d.e", "1.5", [1, 1, 1, 1, 1]), ("f", "", [2])]
+
+
+def test_prose_is_no_date_and_no_rating(spark):
+    """Dates and ratings in the longest forms are read still; texts of many words are refused before they are taken apart."""
+    dates = ["sunday at at Jan 5 th , 2026 at 3:04 p . m .", "jan 5, 2026", "2026-01-05T10:00:00 u t c", "one two three four five six seven 5 jan 2026", "İ Jan 5, 2026"]
+    ratings = ["4 out of 5 and many more words than these here", "five stars", "Rated 4/5", "it is a good four", "rated 4 stars", "three _-stars"]
+    from marlstone.functions import scalar as S
+
+    got = spark.createDataFrame([(i, d, r) for i, (d, r) in enumerate(zip([*dates, ""], ratings, strict=True))], "i int, d string, r string").select(S.parse_date_ms(F.col("d")).isNotNull().alias("d"), S.parse_rating(F.col("r")).alias("r"), F.rlike("d", F.lit(S.MANY_WORDS)).alias("prose")).collect()
+    assert [r.r for r in got] == [4, 5, 4, None, 4, 3]
+    assert [r.prose for r in got] == [False, False, False, True, False, False] and got[1].d and not got[3].d
