@@ -61,6 +61,45 @@ def lexemes(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else vector_of(t, stems))
 
 
+#: Words whose stems a task remembers.
+STEMS = 1_000_000
+
+
+def places_of(texts: list[str | None], lexemes: frozenset[str], stems: dict[str, str | None]) -> Iterator[tuple[int, str, list[int]]]:
+    """(number of the text, lexeme, positions) of some lexemes, as `vector_of` gives them; `stems` says which word is one of them."""
+    for k, text in enumerate(texts):
+        found: dict[str, list[int]] = {}
+        at = 0
+        for word in WORD.findall((text or "").lower()):
+            for w in [word, *PART.findall(word)] if "-" in word else (word,):
+                at += 1
+                if w not in stems:
+                    stem = lexeme(w)
+                    stems[w] = stem if stem in lexemes else None
+                if lex := stems[w]:
+                    found.setdefault(lex, []).append(at)
+        yield from ((k, lex, places) for lex, places in found.items())
+        if len(stems) > STEMS:
+            stems.clear()
+
+
+def lexeme_places(texts: DataFrame, lexemes: list[str], id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """id, lexeme, positions: where some lexemes stand in each text; of the others nothing leaves Python."""
+    wanted = frozenset(lexemes)
+
+    def run(batches):
+        stems: dict[str, str | None] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                rows = list(places_of(part.column(1).to_pylist(), wanted, stems))
+                k, lex, places = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k, pa.int64())), pa.array(lex, pa.string()), pa.array(places, pa.list_(pa.int32()))], ["id", "lexeme", "positions"])
+
+    kind = texts.select(id_col).schema[0].dataType.simpleString()
+    return texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lexeme string, positions array<int>")
+
+
 # ---- queries --------------------------------------------------------------------------------------------------
 
 #: A query is a list of alternatives; each is a list of (negated, phrase), a phrase being lexemes with their distances.

@@ -126,3 +126,17 @@ def test_a_few_texts_are_in_hand_at_once(spark):
     assert made.count() == 300 and "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
     assert T._excerpts_of(["One. Two.", None, " "]).to_pylist() == [[dict(zip(("kind", "text", "start_offset"), e, strict=True)) for e in T.excerpts("One. Two.")], [], []]
     assert isinstance(T._excerpts_of(["One. Two."]), pa.ListArray)
+
+
+def test_places_of_some_lexemes_are_those_of_all(spark):
+    texts = ["Well-known roofs - a ROOF leak_leak", None, "", "no such word", "re-roof re-re-roof leaking leaks " * 3]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = {(r.id, r.lexeme): r.positions for r in T.lexeme_places(rows, ["roof", "leak", "re-roof"]).collect()}
+    assert got == {(i, lex): at for i, t in enumerate(texts) for lex, at in T.vector_of(t).items() if lex in ("roof", "leak", "re-roof")} and len(got) == 5
+
+
+def test_hybrid_batch_carries_no_words_to_pairs(spark):
+    from marlstone.plans.queries import QUERIES
+
+    plan = QUERIES["search_hybrid_batch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "lexemes" not in plan and "ArrowEvalPython" not in plan
