@@ -53,14 +53,19 @@ def _texts(rows: DataFrame, text: str, keys: tuple[str, ...]) -> DataFrame:
     return rows.select(*keys, "id", F.col(text).alias("text")).repartition("id").groupBy(*keys, "id").agg(F.collect_list("text").alias("texts"))
 
 
-def postings_of(rows: DataFrame, lexemes: str | None = None, text: str = "text", keys: tuple[str, ...] = TENANT) -> DataFrame:
+def postings_of(rows: DataFrame, lexemes: str | None = None, text: str = "text", keys: tuple[str, ...] = TENANT, only: list[str] | None = None) -> DataFrame:
     """lexeme, keys, id, positions (from 1) of excerpts (keys, id): of a column of lexeme positions, or else of a text's plain words.
 
     The words of an excerpt are put in order within its row, where each lexeme's places then stand side by side; texts move, words don't.
+    With `only`, texts are cut whole as well, and of their words these lexemes' are put in order.
     """
     if lexemes:
+        if only is not None:
+            rows = rows.withColumn(lexemes, F.map_filter(lexemes, lambda k, _: k.isin(only)))
         return rows.select(F.explode(lexemes).alias("lexeme", "positions"), *keys, "id").select("lexeme", *keys, "id", "positions")
     placed = F.transform("texts", lambda t: F.transform(plain_words(t), lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("at"))))
+    if only is not None:
+        placed = F.transform(placed, lambda words: F.filter(words, lambda w: w["lexeme"].isin(only)))
 
     def of_starts(words: Column, starts: Column) -> Column:
         end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(words)) - 1

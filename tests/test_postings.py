@@ -111,3 +111,11 @@ def test_density_of_common_words_takes_time_in_proportion(spark):
     began = time.time()
     got = P.judge(P.postings_of(one), asked, "all").first()
     assert got.word_rank == pytest.approx(T.cover_rank(T.vector_of(text, lexeme=lambda w: w, compounds=False), asked[0].alternatives)) and time.time() - began < 40
+
+
+def test_an_index_of_some_lexemes_has_their_postings_of_all_texts(spark, rows):
+    """What a search never asks for is not put in order, written or moved; places are those in the whole text."""
+    told = lambda p: sorted((r.lexeme, r.project_id, r.id, r.positions) for r in p.collect())
+    for more in ((rows,), (rows.withColumn("lexemes", T.lexemes("text")), "lexemes")):
+        want = [x for x in told(P.postings_of(*more)) if x[0] in ("roof", "my")]
+        assert want and told(P.postings_of(*more, only=["roof", "my", "zzz"])) == want
