@@ -308,7 +308,8 @@ def _goes_on(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
     ending = text[a[0] : a[1]]
     if len(ending) == 2 and ending[1] == "." and ending[0].isupper():
         return True
-    m = TRAILING.search(ending)
+    # A token has no spaces, so only the last word can end in one.
+    m = TRAILING.search(ending.rsplit(None, 1)[-1]) if ending.endswith(".") else None
     token = m[1].lower() if m else ""
     return token in C.ALWAYS_MERGED or (token in C.ABBREVIATIONS and text[b[0]].islower())
 
@@ -341,19 +342,24 @@ def utf16(text: str, places: list[int]) -> list[int]:
     return out
 
 
+def excerpt_ranges(spans: list[tuple[int, int]], length: int, width: int = 3, step: int = 2, least: int = 4, single: bool = True) -> list[tuple[str, int, int]]:
+    """(kind, first sentence, end) of the excerpts of a text with these sentences."""
+    out, n = [("full", 0, len(spans))], len(spans)
+    if n >= least:
+        out += [("window", a, b) for a, b in windows(n, width, step) if (a, b) != (0, n)]
+    if single and n >= 2:
+        out += [("sentence", k, k + 1) for k, span in enumerate(spans) if span != (0, length)]
+    return out
+
+
 def excerpts(text: str, width: int = 3, step: int = 2, least: int = 4, single: bool = True) -> list[tuple[str, str, int]]:
     """(kind, text, UTF-16 offset): the whole, windows from four sentences on, sentences from two on; none twice."""
     if not text.strip():
         raise ValueError("an empty text has no excerpts")
-    out, spans = [("full", text, 0)], sentences(text)
+    spans = sentences(text)
     offsets = utf16(text, [a for a, _ in spans])
-    if len(spans) >= least:
-        for a, b in windows(len(spans), width, step):
-            if (a, b) != (0, len(spans)):
-                out.append(("window", text[spans[a][0] : spans[b - 1][1]], offsets[a]))
-    if single and len(spans) >= 2:
-        out += [("sentence", text[a:b], offset) for (a, b), offset in zip(spans, offsets, strict=True) if (a, b) != (0, len(text))]
-    return out
+    ranges = excerpt_ranges(spans, len(text), width, step, least, single)
+    return [(kind, text, 0) if kind == "full" else (kind, text[spans[a][0] : spans[b - 1][1]], offsets[a]) for kind, a, b in ranges]
 
 
 def is_verbatim(text: str, excerpt: str, offset: int) -> bool:

@@ -72,7 +72,7 @@ def from_half(vector: Column) -> Column:
 def fnv1a(text: str) -> int:
     """32-bit FNV-1a over UTF-16 code units."""
     h = 0x811C9DC5
-    for unit in np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").tolist():
+    for unit in text.encode() if text.isascii() else np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").tolist():
         h = ((h ^ unit) * 0x01000193) & 0xFFFFFFFF
     return h
 

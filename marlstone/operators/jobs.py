@@ -168,19 +168,21 @@ def index_step(reviews: DataFrame, messages: DataFrame, dimensions: int = C.EMBE
     Unknown, hidden and empty reviews are skipped.  The same messages give the same rows, so a batch can be repeated.
     `known` are excerpts that are stored: those that are the same again keep their vectors, and only the rest are embedded.
     """
+    from ..functions.indexing import indexed
     from ..functions.text import chunked, lexemes, lexicon_sentiment
     from ..functions.vector import embedded
 
     named = messages.select(F.col("review_id").alias("id")).distinct()
     wanted = reviews.join(named, "id", "left_semi").filter(~F.col("hidden") & F.rlike("text", F.lit(r"\S")))
-    parts = chunked(wanted)
+    # Dealt out, since words cost more than moving and a file may be one task.
+    dealt = wanted.repartition("id")
     if known is None:
-        parts = parts.withColumn("embedding", F.lit(None).cast("array<float>"))
+        parts = indexed(dealt, dimensions)
     else:
-        same = ["review_id", "kind", "start_offset"]
+        parts, same = chunked(dealt), ["review_id", "kind", "start_offset"]
         old = known.filter(F.col("embedding").isNotNull()).select(*[F.col(c).cast(parts.schema[c].dataType).alias(c) for c in same], F.col("text").alias("_text"), F.col("embedding").cast("array<float>").alias("_old")).dropDuplicates(same)
         parts = parts.join(old, same, "left").withColumn("embedding", F.when(F.col("_text") == F.col("text"), F.col("_old"))).drop("_text", "_old")
-    parts = embed_pending(parts, lambda texts: embedded(texts, dimensions)).withColumn("lexemes", lexemes("text"))
+        parts = embed_pending(parts, lambda texts: embedded(texts, dimensions)).withColumn("lexemes", lexemes("text"))
     judged = wanted.select("id", F.when(F.col("rating").isNotNull(), F.when(F.col("rating") >= 4, "positive").when(F.col("rating") == 3, "neutral").otherwise("negative")).alias("r"), lexicon_sentiment("text")["sentiment"].alias("m"))
     return parts, judged.select("id", F.coalesce("r", "m").alias("sentiment"), F.when(F.col("r").isNotNull(), "rating").otherwise("model").alias("sentiment_source"))
 
