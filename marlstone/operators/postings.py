@@ -63,9 +63,12 @@ def postings_of(rows: DataFrame, lexemes: str | None = None, text: str = "text",
         if only is not None:
             rows = rows.withColumn(lexemes, F.map_filter(lexemes, lambda k, _: k.isin(only)))
         return rows.select(F.explode(lexemes).alias("lexeme", "positions"), *keys, "id").select("lexeme", *keys, "id", "positions")
-    placed = F.transform("texts", lambda t: F.transform(plain_words(t), lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("at"))))
-    if only is not None:
-        placed = F.transform(placed, lambda words: F.filter(words, lambda w: w["lexeme"].isin(only)))
+    placed = lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("at"))
+    if only is None:
+        each_text = lambda t: F.transform(plain_words(t), placed)
+    else:
+        # Other words become nothing at once and are taken out together.
+        each_text = lambda t: F.array_compact(F.transform(plain_words(t), lambda w, i: F.when(w.isin(only), placed(w, i))))
 
     def of_starts(words: Column, starts: Column) -> Column:
         end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(words)) - 1
@@ -75,7 +78,7 @@ def postings_of(rows: DataFrame, lexemes: str | None = None, text: str = "text",
         starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i)["lexeme"] != F.get(words, i - 1)["lexeme"]))
         return F.when(F.size(words) > 0, let(starts, lambda s: of_starts(words, s)))
 
-    each = let(F.sort_array(F.flatten(placed)), of_words)
+    each = let(F.sort_array(F.flatten(F.transform("texts", each_text))), of_words)
     return _texts(rows, text, keys).select(*keys, "id", F.explode(each).alias("p")).select("p.lexeme", *keys, "id", "p.positions")
 
 
